@@ -40,9 +40,12 @@ def to_fixed(x: Column, places: int) -> Column:
     tie_twice = F.round(near_up * steps * 2).cast("decimal(38,0)") - 1
     text = size.try_cast("decimal(38,17)")
     looks_tied = text * (2 * steps) == tie_twice.cast("decimal(38,0)")
-    k = F.lit(55) - F.floor(F.log2(size))
-    whole = F.round(size * F.pow(F.lit(2.0), k.cast("double"))).try_cast("decimal(20,0)")
-    unit = F.pow(F.lit(2.0), k.cast("double")).try_cast("decimal(24,0)")
+    k = (F.lit(55) - F.floor(F.log2(size))).cast("int")
+    whole = (size * F.pow(F.lit(2.0), k.cast("double"))).try_cast("bigint").cast("decimal(19,0)")
+    one = F.lit(1).cast("bigint")
+    unit = F.call_function("shiftleft", one, F.lit(30)).cast("decimal(10,0)") * F.call_function(
+        "shiftleft", one, k - 30
+    ).cast("decimal(19,0)")
     below = whole * F.lit(2 * steps).cast("decimal(12,0)") < tie_twice.cast("decimal(14,0)") * unit
     risky = F.coalesce((size < 1e6) & (size > 1e-7) & looks_tied, F.lit(False))
     shown = F.when(risky & below, near_up - 1.0 / steps).otherwise(size)
@@ -56,12 +59,11 @@ def _finite(x: Column) -> Column:
 
 def compact_number(x: Column) -> Column:
     size = F.abs(x)
+    unit = F.when(size >= 1e9, 1e9).when(size >= 1e6, 1e6).when(size >= 1e3, 1e3).otherwise(1.0)
+    mark = F.when(size >= 1e9, "B").when(size >= 1e6, "M").when(size >= 1e3, "K").otherwise("")
     return (
         F.when(~_finite(x), "--")
-        .when(size >= 1e9, F.concat(to_fixed(x / 1e9, 2), F.lit("B")))
-        .when(size >= 1e6, F.concat(to_fixed(x / 1e6, 2), F.lit("M")))
-        .when(size >= 1e3, F.concat(to_fixed(x / 1e3, 2), F.lit("K")))
-        .when(size >= 1, to_fixed(x, 2))
+        .when(size >= 1, F.concat(to_fixed(x / unit, 2), mark))
         .otherwise(to_fixed(x, 4))
     )
 
@@ -82,8 +84,9 @@ def subscript_price(x: Column) -> Column:
 
 def age_seconds(unix_ts: Column, now: Column) -> Column:
     """Whole seconds since the time, never negative; milliseconds are recognised."""
-    millis = F.when(unix_ts > MILLIS_FROM, unix_ts).otherwise(unix_ts * 1000)
-    return F.floor(F.greatest(now * 1000 - millis, F.lit(0)) / 1000).cast("bigint")
+    ts = unix_ts.cast("bigint")
+    millis = F.when(ts > MILLIS_FROM, ts).otherwise(ts * 1000)
+    return F.floor(F.greatest(now.cast("bigint") * 1000 - millis, F.lit(0)) / 1000).cast("bigint")
 
 
 def relative_age(unix_ts: Column, now: Column) -> Column:
