@@ -251,7 +251,8 @@ def chain_log(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n % 2 == 0, "logs").otherwise("inner_cpi").alias("event_source"),
         "event_unix_ts",
         refs.alias("refs"),
-        payload.alias("payload"),
+        # kept apart so that the text is built once, as a stored column would be read once
+        F.inline(F.array(F.struct(payload.alias("payload")))),
     )
 
 
