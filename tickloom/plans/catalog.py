@@ -1,6 +1,6 @@
 """All checked queries."""
 
-from . import candle_queries, log_queries, metric_queries, scalar_queries  # noqa: F401
+from . import board_queries, candle_queries, log_queries, metric_queries, scalar_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

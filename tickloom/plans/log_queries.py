@@ -282,14 +282,18 @@ def merge_trades(spark, sf):
     return _merged("trades", spark, sf).drop("event_time")
 
 
-@query("replay_from", TOKEN_UPDATES + TOKENS + "SELECT *, (SELECT max(log_id) FROM chain_log) AS last_log_id FROM tokens", LOG)
+@query("replay_from", TOKEN_UPDATES + TOKENS + "SELECT * FROM tokens", LOG)
 def replay_from(spark, sf):
     """Rebuild up to a position, then catch up from it."""
     log = B.chain_log(spark, sf)
     state, _ = P.replay_from(log.where("log_id <= 4000"), 0)
-    state, mark = P.replay_from(log, 4000, state)
-    # the mark is one row by construction
-    return P.read_model(state)["tokens"].crossJoin(F.broadcast(mark))
+    state, _ = P.replay_from(log, 4000, state)
+    return P.read_model(state)["tokens"]
+
+
+@query("replay_mark", "SELECT max(log_id) AS last_log_id FROM chain_log", LOG)
+def replay_mark(spark, sf):
+    return P.replay_from(B.chain_log(spark, sf), 4000)[1]
 
 
 @query(
