@@ -1,6 +1,13 @@
 """All checked queries."""
 
-from . import board_queries, candle_queries, log_queries, metric_queries, scalar_queries  # noqa: F401
+from . import (  # noqa: F401
+    board_queries,
+    candle_queries,
+    log_queries,
+    metric_queries,
+    scalar_queries,
+    stream_queries,
+)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
