@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     board_queries,
     candle_queries,
+    decode_queries,
     log_queries,
     metric_queries,
     scalar_queries,

@@ -14,6 +14,9 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # With this on, 4.1 loses rows where a union of two co-partitioned inputs meets a reused
+    # exchange: the union then counts as partitioned although the reused side is not.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
