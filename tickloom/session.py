@@ -18,6 +18,9 @@ RUNTIME = {
     # exchange: the union then counts as partitioned although the reused side is not.
     "spark.sql.unionOutputPartitioning": "false",
 }
+# Fixed when the session starts. Call sites in error messages cost several round trips per
+# column expression, seconds for the wide queries here.
+AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -30,7 +33,7 @@ def build(app: str = "tickloom", master: str | None = None, **conf: str) -> Spar
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME, **conf}.items():
+    for key, value in {**RUNTIME, **AT_START, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
