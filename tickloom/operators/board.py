@@ -180,9 +180,9 @@ def board(
     log: DataFrame,
     view: str = "hot",
     window: str = "24h",
-    limit: int = 100,
+    limit: int | None = 100,
 ) -> DataFrame:
-    """Ranked list of tokens with the chosen window's numbers.
+    """Ranked list of tokens with the chosen window's numbers; no limit means all of them.
 
     The page is cut before liquidity is computed, so the log is asked for its rows only.
     """
@@ -206,8 +206,10 @@ def board(
     )
     order = {"hot": [F.desc("txns_window"), F.desc("volume_window")], "new": [F.desc_nulls_last("active_since")]}[view]
     order = [*order, F.desc("first_seen_at"), F.asc("asset_id")]
-    page = rows.orderBy(*order).limit(limit)
-    chosen = log.join(page.select(F.col("asset_id").alias("_a")), F.col("refs.mint") == F.col("_a"), "left_semi")
+    page, chosen = rows, log
+    if limit is not None:
+        page = rows.orderBy(*order).limit(limit)
+        chosen = log.join(page.select(F.col("asset_id").alias("_a")), F.col("refs.mint") == F.col("_a"), "left_semi")
     out = page.join(liquidity(chosen, page), "asset_id", "left")
     return out.drop("anchor_price").orderBy(*order)
 

@@ -15,11 +15,6 @@ def display_key(prefix: str = "") -> Column:
     return F.struct(*(F.col(prefix + c) for c in ("event_time", "slot", "insert_seq")))
 
 
-def chain_key() -> Column:
-    """Execution order on the chain; a null inner index (outer instruction) sorts lowest."""
-    return F.struct("slot", "tx_index", "outer_index", "inner_index")
-
-
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One row per key, the first in order.
 

@@ -256,16 +256,6 @@ def chain_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def ev_requests(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    return e.select(
-        F.col("event_type").alias("route"),
-        F.when(k % 10 == 0, 500).otherwise(200).alias("status"),
-        (F.col("value") * 10).alias("latency_ms"),
-    )
-
-
 def latest_time(spark: SparkSession, sf: str) -> int:
     """Newest event second: the 'now' of every checked query (one value, from file statistics)."""
     row = table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("t")).select(F.unix_seconds("t")).first()

@@ -97,7 +97,7 @@ def board_new(spark, sf):
 
 @query("liquidity", CURRENT + MODEL + BOARD + "SELECT asset_id, liquidity_quote FROM deep WHERE liquidity_quote IS NOT NULL", ALL)
 def liquidity(spark, sf):
-    return _board(spark, sf, "hot", "24h", 1000000).where("liquidity_quote IS NOT NULL").select("asset_id", "liquidity_quote")
+    return _board(spark, sf, "hot", "24h", None).where("liquidity_quote IS NOT NULL").select("asset_id", "liquidity_quote")
 
 
 @query(
@@ -128,7 +128,7 @@ def _heat(x, t):
     ALL,
 )
 def board_labels(spark, sf):
-    return G.board_labels(_board(spark, sf, "new", "24h", 1000000), B.latest_time(spark, sf) + 900)
+    return G.board_labels(_board(spark, sf, "new", "24h", None), B.latest_time(spark, sf) + 900)
 
 
 def _search_sql(text: str, limit: int) -> str:

@@ -22,7 +22,7 @@ col = F.col
 
 
 def as_stream(spark: SparkSession, df: DataFrame, order: str, cuts: list, repeat_first: bool = False, first_last: bool = False) -> DataFrame:
-    """The rows written as files in order of ``order``, cut at ``cuts``, and read back as a stream."""
+    """The rows written in parts cut at ``cuts`` of ``order``, and read back as a stream, a part per batch."""
     path = scratch(spark, "source")
     edges = [None, *cuts, None]
     parts = []
@@ -37,10 +37,11 @@ def as_stream(spark: SparkSession, df: DataFrame, order: str, cuts: list, repeat
         parts.append(parts[0])
     if first_last:
         parts = parts[1:] + parts[:1]
+    files = spark.sparkContext.defaultParallelism
     for part in parts:
-        # one file per part: the file source takes them in the order written
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        # the file source takes files in the order written, so a batch is a part
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _cuts(spark, sf) -> list[int]:

@@ -12,6 +12,9 @@ TX = ["slot", "signature", "tx_index"]
 
 
 def read_tx_views(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Transactions from JSON. Records that span lines make a file one task; large inputs
+    should hold one record per line and be read with ``multi_line=False``.
+    """
     return spark.read.schema(TX_VIEW).option("multiLine", multi_line).json(path)
 
 
