@@ -9,7 +9,7 @@ from ..operators import board as G
 from ..operators import metrics as M
 from ..operators import project as P
 from . import bindings as B
-from .log_queries import ACTIVITY, FACT_TRADES, MARKETS, TOKEN_UPDATES, TOKENS
+from .log_queries import ACTIVITY, MARKETS, TOKEN_UPDATES, TOKENS
 from .metric_queries import CURRENT, LATEST, POINTS, STATS, _anchor_sql, _current
 from .registry import query, rounded
 from .sqlparts import scaled
