@@ -8,13 +8,14 @@ of registers give candidate pairs, a joint likelihood of both cardinalities and
 drops the hopeless ones, and the rest is confirmed on the full sets.
 
 Hot groups: equal sets are one class before any pair is formed. A bucket links its classes to
-three leaders only; what stays unconnected in it after that is compared across components, so
-a group of copies never becomes all its pairs. Components are found by repeated joins on tables
+three leaders only. What stays unconnected in it after that is compared across components inside
+the task that holds the bucket, in blocks of bounded size; only links leave the task, so a group
+of copies never becomes rows for all its pairs. Components are found by repeated joins on tables
 written to the shared folder; nothing of the size of the corpus reaches the driver.
 
 Recall of the bands: a pair at the threshold of 0.85 meets in at least one of 20 bands of 5
-registers with probability 1 - (1 - 0.85**5)**20, above 0.99999. The likelihood filter is set more than
-five standard deviations below the threshold.
+registers with probability 1 - (1 - 0.85**5)**20, above 0.99999. The likelihood filter on all 200
+registers lies five standard deviations below the threshold.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with
 nothing and is kept; a text shorter than a shingle is one shingle. A row without doc_id is
@@ -35,12 +36,13 @@ from . import textops as tx
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 20, 5
-REGISTERS = BANDS * BAND_ROWS
+REGISTERS = 200  # the first BANDS * BAND_ROWS of them make the bands
+BLOCK = 2048  # classes of a bucket that are compared at once
 LOG_BASE = np.log(1.01)
 RATE = 20.0
 TOP = 2**16 - 1
 LINK = (85, 100)  # 100 * intersection >= 85 * union
-SLACK = 0.2  # how far below the threshold an estimate may lie and still be confirmed
+SLACK = 0.125  # how far below the threshold an estimate may lie and still be confirmed
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -118,9 +120,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             regs = registers(sets)
             keys = np.tile(seeds, (len(sets), 1))
             for r in range(BAND_ROWS):
-                keys = tx.mix(keys + regs[:, r::BAND_ROWS].astype(np.uint64) * tx.FACTORS[r])
+                keys = tx.mix(keys + regs[:, r : BANDS * BAND_ROWS : BAND_ROWS].astype(np.uint64) * tx.FACTORS[r])
             # two independent sums over the set stand for it
-            marks = [np.array([(s * f).sum(dtype=np.uint64), tx.mix(s ^ f).sum(dtype=np.uint64), len(s)], np.uint64).tobytes() for s in sets for f in tx.FACTORS[:1]]
+            marks = [np.array([s.sum(dtype=np.uint64), tx.mix(s ^ tx.FACTORS[0]).sum(dtype=np.uint64), len(s)], np.uint64).tobytes() for s in sets]
             yield pa.record_batch(
                 [
                     batch.column("doc_id").slice(i, j - i),
@@ -140,46 +142,152 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1).astype(np.int32) for c in ("registers_a", "registers_b"))
         n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b"))
-        yield batch.select(["a", "b", "key_a", "key_b"]).filter(pa.array(estimate(a, b, n_a, n_b) >= LINK[0] / LINK[1] - SLACK))
+        yield batch.select(["a", "b"]).filter(pa.array(estimate(a, b, n_a, n_b) >= LINK[0] / LINK[1] - SLACK))
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small) or len(small) * LINK[1] < len(large) * LINK[0]:
+        return False
+    at = np.searchsorted(large, small)
+    shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return shared * LINK[1] >= (len(a) + len(b) - shared) * LINK[0]
+
+
+def _sets_of(column: pa.Array) -> list[np.ndarray]:
+    return [s for _, _, data, offsets in tx.pieces(column) for s in shingle_sets(data, offsets)]
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets: list[list[np.ndarray]] = [[], []]
-        for side, name in enumerate(("text_a", "text_b")):
-            for _, _, data, offsets in tx.pieces(batch.column(name)):
-                sets[side] += shingle_sets(data, offsets)
-        good = []
-        for a, b in zip(*sets):
-            small, large = (a, b) if len(a) <= len(b) else (b, a)
-            if not len(small) or len(small) * LINK[1] < len(large) * LINK[0]:
-                good.append(False)
-                continue
-            at = np.searchsorted(large, small)
-            shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            good.append(shared * LINK[1] >= (len(a) + len(b) - shared) * LINK[0])
+        good = [_similar(a, b) for a, b in zip(_sets_of(batch.column("text_a")), _sets_of(batch.column("text_b")))]
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole groups of rows that arrive sorted by band, low and high block."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("band", "lo", "hi")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            key = tuple(keys[:, i])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _open_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of pairs of a group that may be linked and are not connected yet, likeliest first.
+
+    A pair that shares several bands is taken in the first of them.
+    """
+    regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), "<u2").reshape(group.num_rows, -1)
+    size, label, block, number = (group.column(c).to_numpy() for c in ("n_shingles", "component", "block", "band_no"))
+    lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+    band = int(number[0])
+    found = []
+    for x in range(len(regs) - 1):
+        y = np.arange(x + 1, len(regs)) if lo == hi else np.flatnonzero(block == hi) if block[x] == lo else np.zeros(0, int)
+        close = np.minimum(size[y], size[x]) * LINK[1] >= np.maximum(size[y], size[x]) * LINK[0]
+        y = y[close & (label[y] != label[x])]
+        if not len(y):
+            continue
+        equal = regs[y] == regs[x]
+        # two sets of a link share ten deviations more registers than this
+        near = equal.mean(axis=1) >= 0.6
+        if band:
+            near &= ~equal[:, : band * BAND_ROWS].reshape(len(y), band, BAND_ROWS).all(axis=2).any(axis=1)
+        y = y[near]
+        if len(y):
+            rank = estimate(regs[x : x + 1].astype(np.int32), regs[y].astype(np.int32), np.full(len(y), float(size[x])), size[y].astype(float))
+            likely = rank >= LINK[0] / LINK[1] - SLACK
+            found.append((np.full(int(likely.sum()), x), y[likely], rank[likely]))
+    if not found:
+        none = np.zeros(0, int)
+        return none, none, label, none
+    a, b, rank = (np.concatenate(v) for v in zip(*found))
+    order = np.argsort(-rank, kind="stable")
+    return a[order], b[order], label, rank[order]
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a group that are in at least one open pair."""
+    for group in _groups(batches):
+        a, b, _, _ = _open_pairs(group)
+        if len(a):
+            yield from group.take(pa.array(np.unique(np.concatenate([a, b])))).combine_chunks().to_batches()
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed pairs of a group, as many as connect what can be connected in it."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for group in _groups(batches):
+        first, second, label, _ = _open_pairs(group)
+        ids = group.column("id").to_numpy()
+        sets = _sets_of(group.column("text")) if len(first) else []
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        out = []
+        for x, y in zip(first.tolist(), second.tolist()):
+            u, v = top(int(label[x])), top(int(label[y]))
+            if u != v and _similar(sets[x], sets[y]):
+                root[u] = v
+                out.append((int(ids[x]), int(ids[y])))
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
-    side = classes.select("id", "text_key", "n_shingles", "registers")
     for c in ("a", "b"):
-        named = side.select(F.col("id").alias(c), F.col("text_key").alias(f"key_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"registers_{c}"))
-        pairs = pairs.join(named, c)
+        pairs = pairs.join(classes.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"registers_{c}")), c)
     # sizes alone rule out a link where the smaller set is too small
     close = F.least("n_a", "n_b") * LINK[1] >= F.greatest("n_a", "n_b") * LINK[0]
-    likely = pairs.where(close).mapInArrow(_likely, "a bigint, b bigint, key_a int, key_b int")
+    likely = pairs.where(close).mapInArrow(_likely, "a bigint, b bigint")
     for c in ("a", "b"):
-        text = docs.select(F.col("doc_id").alias(c), F.col("text_key").alias(f"key_{c}"), F.col("text").alias(f"text_{c}"))
-        likely = likely.join(text, [c, f"key_{c}"])
-    return likely.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a bigint, b bigint").distinct()
+        likely = likely.join(texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")), c)
+    return likely.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a bigint, b bigint")
+
+
+def connect(crowd: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between different components that share a bucket.
+
+    A bucket of more than ``BLOCK`` classes is cut into blocks and every pair of blocks is a
+    group of its own, so no task holds more than two blocks.
+    """
+    placed = crowd.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    facing = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    rows = placed.join(mixed, "band").select("band", "band_no", "id", "component", block.alias("block"), facing)
+    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other")
+    rows = rows.join(classes.select("id", "n_shingles", "registers"), "id")
+    kind = "band bigint, band_no int, id bigint, component bigint, block int, lo int, hi int, n_shingles bigint, registers binary"
+    order = ["band", "lo", "hi"]
+    shape = rows.select(*[c.split()[0] for c in kind.split(", ")])
+    needed = shape.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(_needed, kind)
+    full = needed.join(texts, "id").select(*shape.columns, "text")
+    return full.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(_links, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,23 +330,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # among rows of the smallest doc_id with an equal set any text will do: the set is the same
     first = full.select("set_key", F.col("doc_id").alias("id"), "text_key", "n_shingles", "bands", "registers").join(members, ["set_key", "id"])
     classes = _stored(first.dropDuplicates(["id", "set_key"]), "classes")
-    buckets = classes.select("id", F.explode("bands").alias("band"))
+    rows_with_id = rows.where("doc_id IS NOT NULL")
+    buckets = classes.select("id", F.posexplode("bands").alias("band_no", "band"))
     shared = buckets.groupBy("band").agg(
         F.min("id").alias("low"), F.max("id").alias("high"), F.max_by("id", F.xxhash64("id")).alias("other")
     ).where("low < high")
     crowd = _stored(buckets.join(shared, "band"), "buckets")
     stars = crowd.select("id", F.explode(F.array_distinct(F.array("low", "high", "other"))).alias("leader")).where("id <> leader")
-    tried = _stored(stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "pairs")
-    rows_with_id = rows.where("doc_id IS NOT NULL")
-    links = _stored(confirm(tried, classes, rows_with_id), "links")
-    # what the leaders did not connect is compared across components, bucket by bucket
+    tried = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    # the texts of classes that share a bucket with another one
+    wanted = classes.join(crowd.select("id").distinct(), "id", "left_semi").select("id", "text_key")
+    held = rows_with_id.select(F.col("doc_id").alias("id"), "text_key", "text").join(wanted, ["id", "text_key"])
+    texts = _stored(held.dropDuplicates(["id", "text_key"]).select("id", "text"), "texts")
+    links = _stored(confirm(tried, classes, texts), "links")
     labels = _stored(components(links), "labels")
-    placed = crowd.select("id", "band").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    open_ = placed.join(mixed, "band").select("band", F.col("id").alias("a"), F.col("component").alias("ca"))
-    other = open_.select("band", F.col("a").alias("b"), F.col("ca").alias("cb"))
-    rest = open_.join(other, "band").where("ca <> cb AND a < b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = confirm(rest, classes, rows_with_id)
+    more = connect(crowd.select("id", "band_no", "band"), labels, classes, texts)
     final = _stored(components(links.unionByName(more)), "labels")
     owner = members.join(final, "id", "left").select("set_key", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
     # rows without a set or an id meet no owner
