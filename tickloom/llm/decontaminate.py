@@ -212,12 +212,14 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[dict[int,
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per row: doc_id, text and the sorted ids of the items found in it."""
+    """The rows of ``docs`` with the sorted ids of the items found in each, as column ``items``.
+
+    An input column of that name is replaced.
+    """
     spark = docs.sparkSession
     known = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     blocks = max(1, -(-known.count() // block))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.array().cast("array<bigint>").alias("items"))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("items", pa.list_(pa.int64()))])
+    rows = docs.withColumn("items", F.array().cast("array<bigint>"))
     for number in range(blocks):
         own = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number).orderBy("item_id", "text").collect()
         held = spark.sparkContext.broadcast(([r.item_id for r in own], [r.text for r in own]))
@@ -225,11 +227,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> D
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             items = Items(*held.value)
             for batch in batches:
-                before = batch.column("items").to_pylist()
-                for i, j, data, offsets in tx.pieces(batch.column("text"), PIECE):
-                    found = find(data, offsets, items)
-                    names = [sorted({*b, *(items.ids[k] for k in f)}) for b, f in zip(before[i:j], found)]
-                    yield pa.record_batch([batch.column("doc_id").slice(i, j - i), batch.column("text").slice(i, j - i), pa.array(names, pa.list_(pa.int64()))], schema=schema)
-
-        rows = rows.mapInArrow(run, "doc_id bigint, text string, items array<bigint>")
+                names = []
+                for _, _, data, offsets in tx.pieces(batch.column("text"), PIECE):
+                    names += [[items.ids[k] for k in f] for f in find(data, offsets, items)]
+                at = batch.schema.get_field_index("items")
+                whole = [sorted({*old, *new}) for old, new in zip(batch.column(at).to_pylist(), names)]
+                yield batch.set_column(at, batch.schema.field(at), pa.array(whole, batch.schema.field(at).type))
+
+        rows = rows.mapInArrow(run, rows.schema)
     return rows

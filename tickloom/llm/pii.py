@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -180,20 +180,25 @@ _OUT = pa.schema(
 )
 
 
-def _sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc, text, terms in zip(*(_column(batch, c) for c in ("doc_id", "text", "terms"))):
-            base = base_spans(text)
-            name = [f"{KINDS[k]}:{s}:{e}" for s, k, e in base]
-            found = {(t["start"], 4, t["stop"]): t["share"] for t in terms or ()}
-            spans = sorted([*base, *found])
-            removed = {s[0] for s, share in found.items() if share >= REMOVE}
-            counts = [sum(k == i for _, k, _ in base) for i in range(4)]
-            said = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-            rows.append((doc, *counts, hashlib.sha256(",".join(name).encode()).hexdigest(), said, len(found), _rewrite(text, spans, removed) if spans else text))
-        if rows:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
+def _sanitise(carry: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, terms in zip(*(_column(batch, c) for c in ("doc_id", "text", "terms"))):
+                base = base_spans(text)
+                name = [f"{KINDS[k]}:{s}:{e}" for s, k, e in base]
+                found = {(t["start"], 4, t["stop"]): t["share"] for t in terms or ()}
+                spans = sorted([*base, *found])
+                removed = {s[0] for s, share in found.items() if share >= REMOVE}
+                counts = [sum(k == i for _, k, _ in base) for i in range(4)]
+                said = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+                rows.append((doc, *counts, hashlib.sha256(",".join(name).encode()).hexdigest(), said, len(found), _rewrite(text, spans, removed) if spans else text))
+            if rows:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)]
+                kept = [batch.column(f"kept_{i}") for i in range(len(carry))]
+                yield pa.record_batch(columns + kept, names=[*_OUT.names, *carry])
+
+    return run
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
@@ -261,10 +266,13 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return found.join(terms, "term").groupBy("term").agg(F.count_distinct("doc_id").alias("n_t"))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """Per row: the base counts and digest, all spans, n_term and clean_text."""
+def sanitise(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Per row: the base counts and digest, all spans, n_term, clean_text, and the columns to carry."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    terms = disclosures(rows).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop", "share")).alias("terms"))
+    keep = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(carry)]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), *keep)
+    terms = disclosures(rows.select("doc_id", "text", "text_key")).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop", "share")).alias("terms"))
     kind = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_term bigint, clean_text string"
-    return rows.join(terms, ["doc_id", "text_key"], "left").select("doc_id", "text", "terms").mapInArrow(_sanitise, kind)
+    kind += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    joined = rows.join(terms, ["doc_id", "text_key"], "left")
+    return joined.select("doc_id", "text", "terms", *[f"kept_{i}" for i in range(len(carry))]).mapInArrow(_sanitise(list(carry)), kind)

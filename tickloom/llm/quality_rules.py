@@ -52,19 +52,24 @@ def _repeated_positions(hashes: Column, again: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum, the base counts and the measures of ``RULES`` for every row."""
+    """doc_id, stratum, the base counts and the measures of ``RULES`` for every row.
+
+    ``text_key`` tells texts under one doc_id apart. Store the result before filtering it: a
+    filter would be pushed below the measures and compute them again.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     step = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.when(F.col("lang").isNull(), "none").otherwise(F.concat(F.lit("="), "lang")).alias("stratum"),
         text.alias("text"),
+        F.xxhash64(text).alias("text_key"),
         F.filter(F.split(text, SPACES), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     # a window is the hash of its three words
     triple = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
     step = step.select(
-        "doc_id", "stratum",
+        "doc_id", "stratum", "text_key",
         F.size("words").cast("bigint").alias("n_words"),
         F.length(F.regexp_replace("text", SPACES, "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
@@ -83,7 +88,7 @@ def measures(docs: DataFrame) -> DataFrame:
     step = step.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0), lambda a, x: a + x).cast("bigint"))
     words = F.greatest("n_words", F.lit(1))
     return step.select(
-        "doc_id", "stratum", *_COUNTS,
+        "doc_id", "stratum", "text_key", *_COUNTS,
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         (F.col("n_symbols") / F.greatest("word_chars", F.lit(1))).alias("symbol_share"),
         (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("dup_line_share"),
@@ -135,5 +140,5 @@ def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     joined = measured.join(chosen, "stratum", "left")
     hits = F.array_compact(F.array(*[F.when(F.col(r) > F.col("limits")[r], F.lit(r)) for r in RULES]))
     return joined.select(
-        "doc_id", *_COUNTS, "base_failed", (~F.col("base_failed") & (F.size(hits) == 0)).alias("kept"), F.concat_ws(",", hits).alias("rejected_by")
+        "doc_id", "text_key", *_COUNTS, "base_failed", (~F.col("base_failed") & (F.size(hits) == 0)).alias("kept"), F.concat_ws(",", hits).alias("rejected_by")
     )
