@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 WORDS_HELD = 250_000  # in each of two generations
+PAIRS_HELD = 50_000  # pieces whose right neighbours are known
+SHORT = 64  # longest word that is held
 
 
 def default_model() -> str:
@@ -123,7 +125,8 @@ class Segmenter:
 
     def __init__(self, path: str):
         self.m = compile_model(path)
-        self.pair: dict[tuple[str, str], bool] = {}
+        self.pair: dict[str, dict[str, bool]] = {}
+        self.tails: dict[str, str] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # a line end that no longer piece holds stands alone and parts the lattice
@@ -156,12 +159,27 @@ class Segmenter:
 
     def weight(self, left: str, right: str) -> bool:
         """Whether the arc from one piece to the next has a finite weight."""
-        key = (left, right)
-        known = self.pair.get(key)
-        if known is None:
-            if len(self.pair) > 2_000_000:
+        right_of = self.pair.get(left)
+        if right_of is None:
+            if len(self.pair) > PAIRS_HELD:
                 self.pair.clear()
-            known = self.pair[key] = self.merge(left + right) == ([left, right] if left else [right])
+            right_of = self.pair[left] = {}
+        known = right_of.get(right)
+        if known is None:
+            known = right_of[right] = self.merge(left + right) == ([left, right] if left else [right])
+        return known
+
+    def tail(self, text: str) -> str:
+        """The last piece of the path through a short text; beginnings are shared by many words."""
+        known = self.tails.get(text)
+        if known is None:
+            ids, n = self.m.ids, len(text)
+            # the longest pieces first: usually the first finite arc
+            for start in range(max(0, n - self.m.longest), n):
+                piece = text[start:]
+                if (piece in ids or start == n - 1) and self.weight(self.tail(text[:start]) if start else "", piece):
+                    break
+            known = self.tails[text] = piece
         return known
 
     def path(self, word: str) -> list[str]:
@@ -170,9 +188,14 @@ class Segmenter:
         n = len(word)
         if not self.m.merges:
             return self._best_scores(word)
+        if n <= SHORT:
+            out, rest = [], word
+            while rest:
+                out.append(self.tail(rest))
+                rest = rest[: -len(out[-1])]
+            return out[::-1]
         last: list[str | None] = [""] + [None] * n
         for end in range(1, n + 1):
-            # the longest pieces first: usually the first finite arc
             for start in range(max(0, end - longest), end):
                 if last[start] is None:
                     continue
@@ -222,13 +245,14 @@ class Segmenter:
         """Ids as 32-bit integers."""
         if len(self.words) > WORDS_HELD:
             self.words, self.older = {}, self.words
+            self.tails.clear()
         held, older, out = self.words, self.older, []
         for w in self.cut.findall(self.normalise(text)):
             ids = held.get(w)
             if ids is None:
                 ids = older.get(w) or self.solve(w)
                 # words as long as a text are not worth holding
-                if len(w) <= 64:
+                if len(w) <= SHORT:
                     held[w] = ids
             out.append(ids)
         return b"".join(out)
