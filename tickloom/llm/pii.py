@@ -4,7 +4,7 @@ Base spans (emails, IP addresses, cards, phone numbers) are found by patterns in
 text; their normalised values are the protected entities. A term discloses an entity by their
 pointwise mutual information over documents, log2(N * n(e, t) / (n(e) * n(t))), as a share of
 the entity's own information log2(N / n(e)). n(e, t) counts documents where the term stands
-within ``NEAR`` words of the entity, n(t) all documents with the term, N all documents. Near an
+within ``NEAR`` words of the entity, n(t) all rows with the term, N all documents. Near an
 entity, terms above ``REMOVE`` are taken out and terms above ``GENERALISE`` are replaced by the
 class of their shape. A pair must occur in ``SUPPORT`` documents: a term next to an entity once
 says nothing about either.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch
+from . import sketch
 
 # The patterns and the order of kinds.
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -43,7 +45,6 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 NEAR = 5
 SUPPORT = 2
 GENERALISE, REMOVE = 0.85, 0.95
-BITMAP_BITS = 24  # of the term bitmap: 2 MB whatever the corpus
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -184,7 +185,7 @@ def _sanitise(carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, terms in zip(*(_column(batch, c) for c in ("doc_id", "text", "terms"))):
+            for doc, text, terms in zip(*(_column(batch, c) for c in ("doc_id", "text", "found"))):
                 base = base_spans(text)
                 name = [f"{KINDS[k]}:{s}:{e}" for s, k, e in base]
                 found = {(t["start"], 4, t["stop"]): t["share"] for t in terms or ()}
@@ -201,16 +202,6 @@ def _sanitise(carry: list[str]):
     return run
 
 
-def _bitmap(terms: DataFrame) -> np.ndarray:
-    """One bit per hash cell of the terms; merged on the cluster, fixed in size."""
-    cell = F.pmod(F.xxhash64("term"), F.lit(1 << BITMAP_BITS))
-    words = terms.groupBy(F.shiftright(cell, 5).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(cell, F.lit(32)).cast("int"))).alias("bits"))
-    table = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
-    found = words.toArrow()
-    table[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
-    return table
-
-
 def disclosures(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, start, stop, share: term occurrences above the lower threshold."""
     spark = docs.sparkSession
@@ -233,10 +224,9 @@ def disclosures(docs: DataFrame) -> DataFrame:
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n_t: in how many documents each term occurs, over the whole corpus."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(_bitmap(terms))
-    cells = 1 << BITMAP_BITS
+    """term, n_t: in how many rows each term occurs, over the whole corpus; summed per batch first."""
+    table = sketch.bitmap(F.xxhash64("term"), terms)
+    cells = 1 << sketch.MARK_BITS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -244,8 +234,8 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         bits = table.value
         known: dict[str, str | None] = {}  # words seen, with their term if it may be wanted
         for batch in batches:
-            ids, out = [], []
-            for doc, text in zip(_column(batch, "doc_id"), _column(batch, "text")):
+            out: Counter[str] = Counter()
+            for text in _column(batch, "text"):
                 if len(known) > 200_000:
                     known.clear()
                 hits = set()
@@ -257,13 +247,12 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                         known[word] = term = term if len(term) >= 3 and bits[cell >> 5] >> np.uint32(cell & 31) & 1 else None
                     if term is not None:
                         hits.add(term)
-                ids += [doc] * len(hits)
-                out += hits
-            if ids:
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "term"])
+                out.update(hits)
+            if out:
+                yield pa.record_batch([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["term", "n"])
 
-    found = docs.where("doc_id IS NOT NULL").mapInArrow(scan, "doc_id bigint, term string")
-    return found.join(terms, "term").groupBy("term").agg(F.count_distinct("doc_id").alias("n_t"))
+    found = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(scan, "term string, n bigint")
+    return found.groupBy("term").agg(F.sum("n").alias("n_t")).join(terms, "term", "left_semi")
 
 
 def sanitise(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -271,8 +260,7 @@ def sanitise(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     keep = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(carry)]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), *keep)
-    terms = disclosures(rows.select("doc_id", "text", "text_key")).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop", "share")).alias("terms"))
+    terms = disclosures(rows.select("doc_id", "text", "text_key")).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop", "share")).alias("found"))
     kind = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_term bigint, clean_text string"
     kind += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    joined = rows.join(terms, ["doc_id", "text_key"], "left")
-    return joined.select("doc_id", "text", "terms", *[f"kept_{i}" for i in range(len(carry))]).mapInArrow(_sanitise(list(carry)), kind)
+    return sketch.with_found(rows, terms, _sanitise(list(carry)), kind)

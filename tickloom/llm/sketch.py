@@ -15,7 +15,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..session import scratch
 
 ROWS = 2
 SEGMENT_BITS = 20  # cells of a segment
@@ -103,3 +106,48 @@ def repeated_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
         row, at = divmod(part * segment, size)
         tables[row][at : at + segment] = np.frombuffer(cells, np.uint8)
     return spark.sparkContext.broadcast(Repeated(bits, tables))
+
+
+MARK_BITS = 24
+
+
+def bitmap(cell: Column, df: DataFrame, bits: int = MARK_BITS) -> Broadcast:
+    """A broadcast bitmap with the given cell of every row set; merged on the cluster, ``2**bits / 8`` bytes."""
+    cell = F.pmod(cell, F.lit(1 << bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(cell, F.lit(32)).cast("int"))
+    found = df.groupBy(F.shiftright(cell, 5).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    table[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    return df.sparkSession.sparkContext.broadcast(table)
+
+
+def split(marks: Broadcast, batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose doc_id is marked, or those that are not; a null doc_id is not."""
+    table = marks.value
+    for batch in batches:
+        ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+        hit = (table[(ids >> 5) & ((1 << (MARK_BITS - 5)) - 1)] >> (ids & 31).astype(np.uint32)) & 1 == 1
+        hit &= ~batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(hit if marked else ~hit))
+
+
+def with_found(rows: DataFrame, found: DataFrame, finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
+    """``finish`` over all rows, with column ``found`` joined on doc_id and text_key.
+
+    Rows whose doc_id is not in the bitmap of ``found`` have nothing to join and are not shuffled.
+    ``found`` is stored first: it is read twice.
+    """
+    path = scratch(rows.sparkSession, "found")
+    found.write.parquet(path)
+    found = rows.sparkSession.read.parquet(path)
+    marks = bitmap(F.col("doc_id"), found)
+    none = found.limit(0).select("found").toArrow().schema.field("found").type
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return finish(b.append_column("found", pa.nulls(b.num_rows, none)) for b in split(marks, batches, False))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return split(marks, batches, True)
+
+    joined = rows.mapInArrow(hits, rows.schema).join(found, ["doc_id", "text_key"], "left")
+    return rows.mapInArrow(plain, kind).unionByName(joined.mapInArrow(finish, kind))

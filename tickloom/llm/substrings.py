@@ -142,4 +142,4 @@ def keyed(docs: DataFrame) -> DataFrame:
 def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and kept_text (words joined by a space)."""
     found = repeated_windows(docs, window, gram, bits)
-    return keyed(docs).join(found, ["doc_id", "text_key"], "left").mapInArrow(*_keep(window))
+    return sketch.with_found(keyed(docs), found, *_keep(window))
