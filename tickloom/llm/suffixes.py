@@ -1,16 +1,19 @@
 """Removal of byte strings of 100 that already start earlier in the corpus, by suffix arrays.
 
 Every 100-byte window has an anchor: its smallest 50-byte gram. A count-min sketch of anchors
-(``sketch``) tells which may occur twice; only their windows go on. The bytes of neighbouring
-windows with one anchor are a context. Contexts are collapsed to distinct ones with their
-earliest place before they meet, so a passage that a third of all documents share is one row per
-task, not one per document. Anchors with one distinct context are settled by that. The contexts of
-the others form shards: a shard's suffix array is built by induced sorting (suffixes are
-classified, leftmost-smaller substrings sorted recursively, the rest induced), the permuted common
-prefixes give neighbours that agree in 100 bytes, and each such run the earliest place.
-
-Equal windows have equal anchors at equal offsets, so they always meet in one shard. A shard holds
-whole anchors and is closed at ``SHARD`` bytes.
+(``sketch``) tells which may occur twice; only their windows go on. Neighbouring windows with one
+anchor form a context, known by a hash of its bytes. Contexts are collapsed to distinct ones with
+their earliest place, so a passage that a third of all documents share is one row per task and not
+one per document. Anchors with one distinct context are settled by that. Of the others the bytes of
+every distinct context are fetched once, and whole anchors are packed into shards. A shard's suffix
+array is built by induced sorting: suffixes are classified, the leftmost-smaller substrings sorted
+and named, their order found on the names, and all others induced, bucket by bucket in numpy. The
+permuted common prefixes give neighbours that agree in 100 bytes, and each such run its earliest
+place. The string of names has an alphabet as large as itself; it is ordered by doubling ranks
+instead of another round of buckets, and only as deep as windows reach.
+
+Equal windows have equal anchors at equal offsets, so they always meet in one shard. A shard is
+closed at ``SHARD`` bytes.
 
 Defined results: a null or empty text has no bytes; shorter texts keep all; rows with one doc_id
 are one document whose texts are compared by start; a row without doc_id keeps all its bytes and
@@ -27,112 +30,143 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from . import sketch
 from . import textops as tx
 from .substrings import keyed
 
 LENGTH = 100
 GRAM = 50
-SHARD = 1 << 18
+SHARD = 1 << 20
 
 
 # --- suffix arrays ------------------------------------------------------------------
 
 
-def _bucket_ends(counts: list[int]) -> list[int]:
-    out, total = [], 0
-    for c in counts:
-        total += c
-        out.append(total)
-    return out
+def _place(order: np.ndarray, found: np.ndarray, symbols: np.ndarray, edge: np.ndarray, filled: np.ndarray, way: int) -> None:
+    """Append ``found`` to the buckets of their symbols, in order, forwards or backwards."""
+    by = np.argsort(symbols, kind="stable")
+    symbols = symbols[by]
+    count = np.bincount(symbols, minlength=len(filled))
+    rank = np.arange(len(by)) - np.repeat((np.cumsum(count) - count)[count > 0], count[count > 0])
+    order[edge[symbols] + way * (filled[symbols] + rank)] = found[by]
+    filled += count
 
 
-def _induce(text: list[int], smaller: list[bool], counts: list[int], lms: list[int]) -> list[int]:
-    """Place sorted leftmost-smaller suffixes at their buckets' ends, then induce all others."""
+def _induce(text: np.ndarray, smaller: np.ndarray, alphabet: int, lms: np.ndarray) -> np.ndarray:
+    """The order of all suffixes that the order of the leftmost-smaller ones induces."""
     n = len(text)
-    order = [-1] * n
-    ends = _bucket_ends(counts)
-    for i in reversed(lms):
-        c = text[i]
-        ends[c] -= 1
-        order[ends[c]] = i
-    heads = [e - c for e, c in zip(_bucket_ends(counts), counts)]
-    # the last suffix is larger-type and induced by the end of the text
-    c = text[n - 1]
-    order[heads[c]] = n - 1
-    heads[c] += 1
-    for k in range(n):
-        i = order[k] - 1
-        if i >= 0 and not smaller[i]:
-            c = text[i]
-            order[heads[c]] = i
-            heads[c] += 1
-    ends = _bucket_ends(counts)
-    for k in range(n - 1, -1, -1):
-        i = order[k] - 1
-        if i >= 0 and smaller[i]:
-            c = text[i]
-            ends[c] -= 1
-            order[ends[c]] = i
+    count = np.bincount(text, minlength=alphabet)
+    tail = np.cumsum(count) - 1
+    head = tail + 1 - count
+    order = np.full(n, -1, np.int64)
+    larger, lesser = np.zeros(alphabet, np.int64), np.zeros(alphabet, np.int64)
+    seeds = lms[np.argsort(text[lms], kind="stable")]
+    cuts = np.searchsorted(text[seeds], np.arange(alphabet + 1))
+
+    def forward(now: np.ndarray) -> None:
+        back = now[now > 0] - 1
+        back = back[~smaller[back]]
+        if len(back):
+            _place(order, back, text[back], head, larger, 1)
+
+    # the last suffix is larger-type and comes first in its bucket
+    _place(order, np.array([n - 1]), text[-1:], head, larger, 1)
+    for c in range(alphabet):
+        done = 0
+        while done < larger[c]:
+            done, start = int(larger[c]), done
+            forward(order[head[c] + start : head[c] + done])
+        forward(seeds[cuts[c] : cuts[c + 1]])
+
+    def backward(now: np.ndarray) -> None:
+        back = now[now > 0] - 1
+        back = back[smaller[back]]
+        if len(back):
+            _place(order, back, text[back], tail, lesser, -1)
+
+    for c in range(alphabet - 1, -1, -1):
+        done = 0
+        while done < lesser[c]:
+            done, start = int(lesser[c]), done
+            backward(order[tail[c] - done + 1 : tail[c] - start + 1][::-1])
+        backward(order[head[c] : head[c] + larger[c]][::-1])
     return order
 
 
-def suffix_array(text: list[int], alphabet: int) -> list[int]:
-    """Starts of the suffixes in order; symbols are 0..alphabet-1 and a prefix sorts first."""
+def _double(names: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes of a string of names by their first ``depth`` names at least."""
+    rank, step = names.astype(np.int64), 1
+    while True:
+        ahead = np.zeros(len(rank), np.int64)
+        ahead[:-step] = rank[step:] + 1
+        _, both = np.unique(rank * (int(rank.max()) + 2) + ahead, return_inverse=True)
+        step *= 2
+        rank = both
+        if step >= min(depth, len(rank)) or int(rank.max()) + 1 == len(rank):
+            return np.argsort(rank, kind="stable")
+
+
+def suffix_array(text: np.ndarray, alphabet: int, depth: int | None = None) -> np.ndarray:
+    """Starts of the suffixes in order; symbols are 0..alphabet-1 below 256, a prefix sorts first.
+
+    With ``depth`` suffixes that agree in that many symbols may come in any order.
+    """
     n = len(text)
-    if n <= 2:
-        return sorted(range(n), key=lambda i: text[i:])
-    smaller = [False] * n
-    for i in range(n - 2, -1, -1):
-        smaller[i] = text[i] < text[i + 1] or (text[i] == text[i + 1] and smaller[i + 1])
-    counts = [0] * alphabet
-    for c in text:
-        counts[c] += 1
-    lms = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
-    if not lms:
-        return _induce(text, smaller, counts, [])
-    order = _induce(text, smaller, counts, lms)
-    follows = dict(zip(lms, lms[1:] + [n]))
-    # equal leftmost-smaller substrings get one name
-    name, last, names = -1, None, {}
-    for i in order:
-        stop = follows.get(i)
-        if stop is not None:
-            part = text[i : stop + 1] if stop < n else None
-            if part is None or part != last:
-                name += 1
-            names[i], last = name, part
-    if name + 1 < len(lms):
-        reduced = [names[i] for i in lms]
-        lms = [lms[k] for k in suffix_array(reduced, name + 1)]
-    else:
-        lms = sorted(lms, key=names.__getitem__)
-    return _induce(text, smaller, counts, lms)
-
-
-def neighbours_agree(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Common prefixes of neighbours in the order, computed in text order (permuted) and cut at
-    ``length``: True where a suffix agrees with the one before it in ``length`` symbols."""
+    if n < 2:
+        return np.arange(n)
+    text = text.astype(np.int64)
+    # a suffix is smaller than the next one by the first place where symbols differ
+    change = np.sign(np.diff(text))
+    last = np.where(change != 0, np.arange(n - 1), n)
+    last = np.minimum.accumulate(last[::-1])[::-1]
+    smaller = np.zeros(n, bool)
+    known = last < n
+    smaller[:-1][known] = change[last[known]] > 0
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    if len(lms) < 2:
+        return _induce(text, smaller, alphabet, lms)
+    order = _induce(text, smaller, alphabet, lms)
+    is_lms = np.zeros(n, bool)
+    is_lms[lms] = True
+    sequence = order[is_lms[order]]
+    stop = np.full(n, n, np.int64)
+    stop[lms[:-1]] = lms[1:] + 1
+    sums = tx.prefix_hash(text.astype(np.uint8))
+    mark = tx.span_hash(sums, sequence, stop[sequence])
+    new = np.ones(len(sequence), bool)
+    new[1:] = (mark[1:] != mark[:-1]) | ((stop[sequence] - sequence)[1:] != (stop[sequence] - sequence)[:-1])
+    name = np.empty(n, np.int64)
+    name[sequence] = np.cumsum(new) - 1
+    if new.all():
+        return _induce(text, smaller, alphabet, sequence)
+    # every name stands for two symbols or more
+    return _induce(text, smaller, alphabet, lms[_double(name[lms], n if depth is None else depth // 2 + 2)])
+
+
+def permuted_common_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """In text order, how many symbols a suffix shares with the one before it in the order.
+
+    Found by halving on running hashes and cut at ``length`` rounded up to a power of two, less one.
+    """
     n = len(order)
+    sums = tx.prefix_hash(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    text, common, h = data.tobytes(), np.zeros(n, np.int32), 0
-    prior = before.tolist()
-    for i in range(n):
-        j = prior[i]
-        if j < 0:
-            h = 0
-            continue
-        # the common prefix shrinks by one at most from one place of the text to the next
-        if text[i + h : i + length] == text[j + h : j + length]:
-            h = max(h, min(length, n - i, n - j))
-        else:
-            while h < length and i + h < n and j + h < n and text[i + h] == text[j + h]:
-                h += 1
-        common[i] = h
-        if h:
-            h -= 1
-    return common[order] >= length
+    shared = np.zeros(n, np.int64)
+    here = np.flatnonzero(before >= 0)
+    there = before[here]
+    got = np.zeros(len(here), np.int64)
+    room = n - np.maximum(here, there)
+    step = 1 << (length.bit_length() - 1)
+    while step:
+        fits = np.flatnonzero(got + step <= room)
+        a, b = here[fits] + got[fits], there[fits] + got[fits]
+        same = tx.span_hash(sums, a, a + step) == tx.span_hash(sums, b, b + step)
+        got[fits[same]] += step
+        step //= 2
+    shared[here] = got
+    return shared
 
 
 def earliest(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -145,11 +179,10 @@ def earliest(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray, length
     inside[heads + sizes] = False
     data[inside] = np.frombuffer(b"".join(contexts), np.uint8)
     symbol[inside] = data[inside].astype(np.int64) + 1
-    # only symbols that occur need a bucket
+    # only symbols that occur need a bucket; utf-8 never uses them all, so one byte holds them
     present, dense = np.unique(symbol, return_inverse=True)
-    order = np.array(suffix_array(dense.tolist(), len(present)), np.int64)
-    # the separator may equal a zero byte: windows never reach one, so agreement stays exact
-    agree = neighbours_agree(dense.astype(np.uint8) if len(present) <= 256 else data, order, length)
+    order = suffix_array(dense, len(present), 2 * length)
+    agree = permuted_common_prefixes(dense.astype(np.uint8), order, length)[order] >= length
     group = np.empty(len(data), np.int64)
     group[order] = np.cumsum(~agree)
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)
@@ -194,11 +227,12 @@ def _keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             yield found[0][np.unique(found[2])]
 
 
-_FOUND = "anchor bigint, context bigint, doc_id bigint, text_key int, start bigint, span int"
+_FOUND = "anchor int, context bigint, doc_id bigint, text_key int, start bigint, span int"
 
 
-def _contexts(repeated, with_bytes: bool):
-    fields = [("anchor", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int32()), ("start", pa.int64()), ("span", pa.int32())]
+def _contexts(repeated, wanted=None):
+    with_bytes = wanted is not None
+    fields = [("anchor", pa.int32()), ("context", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int32()), ("start", pa.int64()), ("span", pa.int32())]
     schema = pa.schema(fields + [("bytes", pa.binary())] * with_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +253,12 @@ def _contexts(repeated, with_bytes: bool):
                 last = np.concatenate((cut[1:], [len(whole)])) - 1
                 lo, hi, mid, owner = whole[cut][maybe], whole[last][maybe], anchor[cut][maybe], row[cut][maybe]
                 mark = tx.span_hash(sums, lo, hi + LENGTH) + (mid - lo).astype(np.uint64) * tx.FACTORS[0]
-                columns = [
-                    grams[mid].view(np.int64), tx.mix(mark).view(np.int64), ids[i:j][owner], texts[i:j][owner].astype(np.int32), lo - offsets[owner], (hi - lo).astype(np.int32),
-                ]
+                mark = tx.mix(mark).view(np.int64)
+                columns = [(grams[mid] >> tx.U(32)).astype(np.uint32).view(np.int32), mark, ids[i:j][owner], texts[i:j][owner].astype(np.int32), lo - offsets[owner], (hi - lo).astype(np.int32)]
                 if with_bytes:
+                    cell = (mark ^ columns[2] ^ (columns[2] << 9) ^ columns[4]) & ((1 << sketch.MARK_BITS) - 1)
+                    use = (wanted.value[cell >> 5] >> (cell & 31).astype(np.uint32)) & 1 == 1
+                    columns, lo, hi = [c[use] for c in columns], lo[use], hi[use]
                     text = data.tobytes()
                     columns.append(pa.array([text[a:b] for a, b in zip(lo.tolist(), (hi + LENGTH).tolist())], pa.binary()))
                 yield pa.record_batch([pa.array(c) for c in columns], schema=schema)
@@ -230,46 +266,44 @@ def _contexts(repeated, with_bytes: bool):
     return run, _FOUND + (", bytes binary" if with_bytes else "")
 
 
+_KIND = "anchor int, context bigint, first_doc bigint, first_start bigint, windows array<int>, docs array<bigint>, starts array<bigint>"
 _SETTLED = pa.schema(
-    [("anchor", pa.int64()), ("context", pa.int64()), ("first_doc", pa.int64()), ("first_start", pa.int64()), ("windows", pa.list_(pa.int32())), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))]
+    [("anchor", pa.int32()), ("context", pa.int64()), ("first_doc", pa.int64()), ("first_start", pa.int64()), ("windows", pa.list_(pa.int32())), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))]
 )
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The earliest place of every window of every context; rows arrive sorted by anchor."""
-    held: list[tuple] = []
-    group: list[tuple] = []
-    size = 0
+def _solved(shard: pa.Table) -> pa.RecordBatch:
+    number = {c: shard.column(c).to_numpy() for c in ("anchor", "context", "n", "first_doc", "first_start")}
+    found = earliest(shard.column("bytes").to_pylist(), number["first_doc"], number["first_start"])
+    # a context that stands once and has nothing earlier says nothing
+    use = np.array([n > 1 or len(w) > 0 for n, (w, _, _) in zip(number["n"].tolist(), found)], bool)
+    lists = [[f[k].tolist() for f, u in zip(found, use) if u] for k in range(3)]
+    columns = [number[c][use] for c in ("anchor", "context", "first_doc", "first_start")] + lists
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _SETTLED)], schema=_SETTLED)
 
-    def solved(rows: list[tuple]) -> pa.RecordBatch:
-        docs, starts = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-        found = earliest([r[5] for r in rows], docs, starts)
-        out = [(r[0], r[1], r[3], r[4], w.tolist(), d.tolist(), s.tolist()) for r, (w, d, s) in zip(rows, found) if r[2] > 1 or len(w)]
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 7, _SETTLED)], schema=_SETTLED)
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The earliest place of every window of every context; rows arrive sorted by anchor."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        alone = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "first_doc", "first_start", "bytes"))):
-            if group and row[0] != group[0][0]:
-                if len(group) == 1:
-                    if group[0][2] > 1:
-                        alone.append((*group[0][:2], *group[0][3:5], [], [], []))
-                else:
-                    held += group
-                    size += sum(len(r[5]) for r in group)
-                    if size >= SHARD:
-                        yield solved(held)
-                        held, size = [], 0
-                group = []
-            group.append(row)
-        if alone:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*alone), _SETTLED)], schema=_SETTLED)
-    if len(group) == 1 and group[0][2] > 1:
-        yield pa.record_batch([pa.array([c], f.type) for c, f in zip((*group[0][:2], *group[0][3:5], [], [], []), _SETTLED)], schema=_SETTLED)
-    elif len(group) > 1:
-        held += group
+        if not batch.num_rows:
+            continue
+        anchor = batch.column("anchor").to_numpy()
+        sizes = np.cumsum(np.diff(tx.raw(batch.column("bytes"))[1]))
+        begin = 0
+        # cut where a shard is full and an anchor ends
+        for edge in (np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist():
+            full = sum(b.nbytes for b in held) + int(sizes[edge - 1] - (sizes[begin - 1] if begin else 0)) >= SHARD
+            if held and begin == 0 and full or not held and full:
+                yield _solved(pa.Table.from_batches([*held, batch.slice(begin, edge - begin)]))
+                held, begin = [], edge
+        rest = batch.slice(begin)
+        if held and begin == 0 and held[-1].column("anchor")[-1].as_py() != anchor[0] and sum(b.nbytes for b in held) >= SHARD:
+            yield _solved(pa.Table.from_batches(held))
+            held = []
+        held.append(rest)
     if held:
-        yield solved(held)
+        yield _solved(pa.Table.from_batches(held))
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,14 +339,25 @@ def repeated_spans(docs: DataFrame, bits: int | None = None) -> DataFrame:
     if bits is None:
         bits = sketch.bits_for(rows.count() * 150)
     repeated = sketch.repeated_keys(rows, _keys_of, bits)
-    found = rows.mapInArrow(*_contexts(repeated, True))
-    distinct = found.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "start", "bytes")).alias("first"), F.count("*").alias("n"))
-    distinct = distinct.select("anchor", "context", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"), F.col("first.bytes").alias("bytes"))
+    found = rows.mapInArrow(*_contexts(repeated))
+    distinct = found.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
+    path = scratch(docs.sparkSession, "contexts")
+    distinct.select("anchor", "context", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")).write.parquet(path)
+    distinct = docs.sparkSession.read.parquet(path)
+    many = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    mixed = distinct.join(many, "anchor", "left_semi")
+    alone = distinct.where("n > 1").join(many, "anchor", "left_anti")
+    # the bytes of every distinct context, from its first place
+    cell = F.col("context").bitwiseXOR(F.col("first_doc")).bitwiseXOR(F.shiftleft("first_doc", 9)).bitwiseXOR(F.col("first_start"))
+    wanted = sketch.bitmap(cell, mixed)
+    first = rows.mapInArrow(*_contexts(repeated, wanted)).select("anchor", "context", F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"), "bytes")
+    first = first.dropDuplicates(["anchor", "context", "first_doc", "first_start"])
+    shards = mixed.join(first, ["anchor", "context", "first_doc", "first_start"]).select("anchor", "context", "n", "first_doc", "first_start", "bytes")
     # shards hold whole anchors
-    settled = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-        _settle, "anchor bigint, context bigint, first_doc bigint, first_start bigint, windows array<int>, docs array<bigint>, starts array<bigint>"
-    )
-    places = rows.mapInArrow(*_contexts(repeated, False))
+    solved = shards.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settle, _KIND)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("windows", "array<int>"), ("docs", "array<bigint>"), ("starts", "array<bigint>"))]
+    settled = solved.unionByName(alone.select("anchor", "context", "first_doc", "first_start", *none))
+    places = rows.mapInArrow(*_contexts(repeated))
     return places.join(settled, ["anchor", "context"]).mapInArrow(_spans, "doc_id bigint, text_key int, at bigint, to bigint")
 
 
@@ -345,4 +390,4 @@ def dedup_bytes(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
     found = repeated_spans(docs, bits).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "to")).alias("found"))
     kind = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    return keyed(docs).join(found, ["doc_id", "text_key"], "left").mapInArrow(_cut, kind)
+    return sketch.with_found(keyed(docs), found, _cut, kind)
