@@ -1,0 +1,247 @@
+"""Every operator against its plain version, on given and on awkward rows."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+import corpus_pipeline
+from tickloom.llm import byte_cnn, decontaminate, pieces, pii, quality_rules, queries, setsketch, shards, sketch, substrings, suffixes, toxicity
+
+from . import brute
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()), ("items", T.StringType()), ("stratum", T.StringType()))])
+
+
+def rows_of(seed=4):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeéß🙂") for _ in range(rng.randint(1, 6))) for _ in range(80)]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 20, 90, 200]))) for _ in range(12)]
+    texts = [None, "", "  \n\t ", "one", "A b", base[0], base[0], base[1].upper(), "x " * 4000, "ab" * 3000, "word " * 30 + "\n" + "word " * 30]
+    for t in base * 2:
+        w = t.split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w) + rng.choice(["", "\nmail a.b+c@x-y.example.org or +1 (555) 010-2030, 10.0.0.255 4111 1111 1111 1111"]))
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, None if i is None or i % 3 else "en", None if i is None or i % 4 == 0 else f"s{i % 2}", 1, "clash", None) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return rows_of(), frame(spark, rows_of()).repartition(3)
+
+
+def got(df, n):
+    return sorted(tuple(r)[:n] for r in df.collect())
+
+
+def test_near_duplicates(awkward):
+    rows, df = awkward
+    assert got(setsketch.near_duplicates(df), 4) == brute.near(rows)
+
+
+def test_windows(awkward):
+    rows, df = awkward
+    assert got(substrings.dedup_windows(df), 4) == brute.windows(rows)
+
+
+def test_full_sketch_loses_nothing(awkward, monkeypatch):
+    rows, df = awkward
+    monkeypatch.setattr(sketch.Repeated, "test", lambda self, keys: np.ones(len(keys), bool))
+    assert got(substrings.dedup_windows(df), 4) == brute.windows(rows)
+
+
+def test_bytes(awkward):
+    rows, df = awkward
+    assert got(suffixes.dedup_bytes(df), 5) == brute.byte_windows(rows)
+
+
+def test_suffix_array():
+    rng = random.Random(1)
+    for n in (1, 2, 3, 40, 700):
+        for alphabet in (1, 2, 4, 200):
+            text = [rng.randrange(alphabet) for _ in range(n)]
+            assert suffixes.suffix_array(np.array(text), alphabet).tolist() == sorted(range(n), key=lambda i: text[i:])
+
+
+def test_personal_data(awkward):
+    rows, df = awkward
+    for r, (i, t) in zip(sorted(pii.sanitise(df, ["lang", "items"]).collect()), rows):
+        spans = brute.personal(t)
+        assert r.doc_id == i and r.base_sha256 == brute.sha(",".join(s[2] for s in spans)) and r["items"] == "clash"
+        assert set(s[2] for s in spans) <= set(r.spans.split(","))
+        assert not brute.personal(r.clean_text)
+
+
+def test_disclosing_terms(spark):
+    rows = [(i, f"plain words here {i}") for i in range(40)]
+    rows += [(100 + i, f"filler {i} the zanzibar office is at 10.1.2.3 today {i}") for i in range(3)]
+    out = {r.doc_id: r for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert "zanzibar" not in out[100].clean_text and "10.1.2.3" not in out[100].clean_text
+    assert out[5].clean_text == "plain words here 5"
+
+
+def test_quality_base(awkward, spark):
+    rows, df = awkward
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = got(quality_rules.verdicts(df, none).select("doc_id", *quality_rules._COUNTS, "base_failed", "kept"), 8)
+    assert [r[:7] for r in out] == sorted((i, *brute.quality(t)) for i, t in rows)
+    assert all(r[7] != r[6] for r in out)
+
+
+def test_binomial_tail(spark):
+    from math import comb
+
+    cases = [(0, 50), (1, 400), (3, 900), (5, 1000)]
+    df = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality_rules.binomial_tail(F.col("k"), F.col("n"), 0.01).alias("p"))
+    for k, n, p in df.collect():
+        assert p == pytest.approx(1.0 if k >= n * 0.01 else sum(comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(k + 1)))
+
+
+def test_certified_cutoffs_hold(spark):
+    good = [(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(6000)]
+    bad = [(10_000 + i, " ".join(f"w{i}y{k}***" for k in range(60))) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in good + bad], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id long, quality int")
+    out = quality_rules.verdicts(docs, labels)
+    assert out.where("doc_id < 10000 AND NOT kept").count() == 0 and out.where("doc_id >= 10000 AND kept").count() == 0
+
+
+def test_shards(spark):
+    rows = [(i, "é" * (i % 7) if i % 11 else None) for i in range(503)] + [(7, "x"), (7, "x")]
+    out = shards.interleave(frame(spark, rows)).collect()
+    sizes = {}
+    for r in out:
+        sizes.setdefault(r.shard, []).append(r.slot)
+    assert len(out) == 505 and set(sizes) == set(range(40))
+    assert all(sorted(s) == list(range(len(s))) for s in sizes.values())
+    assert max(map(len, sizes.values())) - min(map(len, sizes.values())) <= 1
+    for s in {r.stratum for r in out}:
+        count = [sum(r.shard == k and r.stratum == s for r in out) for k in range(40)]
+        assert max(count) - min(count) <= 2
+    one = next(r for r in out if r.doc_id == 5)
+    assert (one.size, one.text_crc32) == (16 + 2 * 5, zlib.crc32(("é" * 5).encode()))
+
+
+def test_pieces_equal_the_library(awkward):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rows, df = awkward
+    plain = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    extra = ["  a  b", "\n\n x", "▁a", "日本語 漢字", "x" * 300, " " * 40 + "y", "a\tb"]
+    machine = pieces.segmenter(pieces.default_model())
+    for t in [t or "" for _, t in rows] + extra:
+        ids = np.frombuffer(machine.encode(t), "<i4")
+        assert ids.tolist() == plain.encode(t)
+        assert machine.decode(ids) == t.replace("▁", " ")
+    coded = pieces.encode(df)
+    assert coded.where("NOT restored").count() == 0
+    assert got(pieces.decode(coded), 2) == sorted((i, t or "") for i, t in rows)
+
+
+def test_grammar():
+    machine, lexicon = toxicity.grammar(), {"idiot": 5.0}
+
+    def score(t):
+        return sum(toxicity.clause_scores(t, lexicon, machine))
+
+    assert score("a quiet text") == 0
+    assert score("you are an idiot") > score("an idiot") > score("not an idiot")
+    assert score("they said an idiot came") < score("an idiot came")
+    assert score("i will kill you") > 0 and score("kill the process") == 0
+    assert score("not now. an idiot") == score("an idiot")
+
+
+@pytest.mark.parametrize("name,label", [("op8_toxicity", "toxic"), ("op9_quality_classifier", "quality")])
+def test_held_out_accuracy(spark, name, label):
+    sf = "/root/testdata/sf0.1"
+    scored = queries.QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    right, n, low, high = scored.agg(F.count_if(F.col("predicted") == F.col(label)), F.count("*"), F.min("score"), F.max("score")).first()
+    assert right / n > 0.95 and 0 <= low and high <= 1
+
+
+def test_classifiers_without_labels(awkward, spark):
+    _, df = awkward
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert byte_cnn.score(df, byte_cnn.fit(df, none)).where("score = 0.5").count() == df.count()
+    assert toxicity.score(df, toxicity.fit(df, none)).where("score BETWEEN 0 AND 1").count() == df.count()
+
+
+def test_edit_distance():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = (bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14))) for _ in range(2))
+        last = [0] * (len(b) + 1)
+        for i, c in enumerate(a, 1):
+            now = [i]
+            for j, d in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (c != d)))
+            last = now
+        assert decontaminate.edit_distance_within(a, b) == min(last)
+
+
+def test_decontamination(spark):
+    rng = random.Random(3)
+    items = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(900, None), (901, "")], "item_id long, text string")
+    clean = [t for _, t in rows_of()]
+    rows, want = [(i, t) for i, t in enumerate(clean)], {}
+    for n, t in enumerate(items):
+        edited = list(t)
+        for _ in range(n % 3 * len(t) // 40):
+            edited[rng.randrange(len(edited))] = rng.choice("abc ")
+        rows.append((1000 + n, "start of it " + "".join(edited).upper() + " and the end"))
+        want[1000 + n] = n
+    out = {r.doc_id: r["items"] for r in decontaminate.contaminated(frame(spark, rows), bench, block=15).collect()}
+    found = sum(want[i] in out[i] for i in want)
+    assert found >= 0.9 * len(want) and all(not out[i] for i in range(len(clean)))
+
+
+def test_empty_tables(spark):
+    none, bench = frame(spark, []), spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for df in (
+        setsketch.near_duplicates(none), substrings.dedup_windows(none), suffixes.dedup_bytes(none), pii.sanitise(none), pieces.encode(none), quality_rules.verdicts(none, labels),
+        shards.interleave(none), decontaminate.contaminated(none, bench), toxicity.score(none, toxicity.fit(none, labels)), byte_cnn.score(none, byte_cnn.fit(none, labels)),
+    ):
+        assert df.count() == 0
+
+
+def test_rows_without_id_or_repeated(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    df = frame(spark, [(None, text), (None, None), (3, text), (3, text), (5, text)])
+    near = got(setsketch.near_duplicates(df).where("doc_id IS NOT NULL"), 4)
+    assert near == [(3, 56, 3, True), (3, 56, 3, True), (5, 56, 3, False)]
+    for op in (substrings.dedup_windows, suffixes.dedup_bytes):
+        out = op(df).select("doc_id", "n_removed").collect()
+        assert sorted((r.doc_id or 0, r.n_removed > 0) for r in out) == [(0, False), (0, False), (3, False), (3, False), (5, True)]
+    assert pii.sanitise(df).count() == 5 and pieces.encode(df).count() == 5 and shards.interleave(df).count() == 5
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage keeps what the plain rules keep of its input."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    steps = dict(corpus_pipeline.STAGES)
+    first = steps["quality_rules"](spark, docs, SF)
+    left = sorted((r.doc_id, r.text) for r in first.collect())
+    assert left == sorted((i, t) for i, t in rows if not brute.quality(t)[5])
+    second = steps["minhash_near_dedup"](spark, first, SF)
+    left = sorted((r.doc_id, r.text) for r in second.collect())
+    heads = {r[0] for r in brute.near(sorted((r.doc_id, r.text) for r in first.collect())) if r[3]}
+    assert [i for i, _ in left] == sorted(heads)
+    third = steps["benchmark_decontamination"](spark, second, SF)
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert sorted(r.doc_id for r in third.collect()) == [i for i, t in left if not any(x in t for x in items)]
+    fourth = steps["pii"](spark, third, SF)
+    assert fourth.columns == docs.columns and not any(brute.personal(r.text) for r in fourth.collect())
+    last = steps["sentencepiece"](spark, fourth, SF)
+    assert last.where("NOT restored").count() == 0
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r.doc_id for r in last.collect())
