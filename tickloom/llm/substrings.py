@@ -2,7 +2,7 @@
 
 A first pass sketches window keys (``sketch``): the key of a window is its smallest gram, so a
 window's count is never above the count of its key and neighbouring windows share one. A second
-pass groups exactly the windows whose key may be repeated, on 96 bits of their words' hash.
+pass groups exactly the windows whose key may be repeated, on 80 bits of their words' hash.
 Windows are judged on the input.
 
 Defined results: a null or empty text has no words; a text shorter than a window keeps all its
@@ -54,7 +54,7 @@ def _row_keys(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _suspects(repeated, window: int, gram: int):
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64())])
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int16()), ("doc_id", pa.int64()), ("at", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = repeated.value.test
@@ -75,10 +75,10 @@ def _suspects(repeated, window: int, gram: int):
                 owner = row[start]
                 place = (texts[i:j][owner] << 32) | (start - first[owner])
                 yield pa.record_batch(
-                    [h1.view(np.int64), (h2 >> tx.U(32)).astype(np.uint32).view(np.int32), ids[i:j][owner], place], schema=schema
+                    [h1.view(np.int64), (h2 >> tx.U(48)).astype(np.uint16).view(np.int16), ids[i:j][owner], place], schema=schema
                 )
 
-    return run, "h1 bigint, h2 int, doc_id bigint, at bigint"
+    return run, "h1 bigint, h2 smallint, doc_id bigint, at bigint"
 
 
 def _keep(window: int):
@@ -126,7 +126,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bi
         bits = sketch.bits_for(rows.count() * 200)
     repeated = sketch.repeated_keys(rows, _anchors(window, gram), bits)
     found = rows.mapInArrow(*_suspects(repeated, window, gram))
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
     later = found.join(first, ["h1", "h2"]).where("doc_id > first")
     return later.groupBy("doc_id", F.shiftright("at", 32).cast("int").alias("text_key")).agg(
         F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("found")
