@@ -21,7 +21,7 @@ from .registry import query, rounded
 col = F.col
 
 
-def as_stream(spark: SparkSession, df: DataFrame, order: str, cuts: list, repeat_first: bool = False, first_last: bool = False) -> DataFrame:
+def as_stream(spark: SparkSession, df: DataFrame, order: str, cuts: list, repeat_first: bool = False, first_last: bool = False, newest_first: bool = False) -> DataFrame:
     """The rows written in parts cut at ``cuts`` of ``order``, and read back as a stream, a part per batch."""
     path = scratch(spark, "source")
     edges = [None, *cuts, None]
@@ -37,6 +37,8 @@ def as_stream(spark: SparkSession, df: DataFrame, order: str, cuts: list, repeat
         parts.append(parts[0])
     if first_last:
         parts = parts[1:] + parts[:1]
+    if newest_first:
+        parts = parts[::-1]
     files = spark.sparkContext.defaultParallelism
     for part in parts:
         # the file source takes files in the order written, so a batch is a part
@@ -62,7 +64,27 @@ def ingest_stream(spark, sf):
     """Four files, the first one twice, unknown kinds among them."""
     log = B.chain_log(spark, sf).withColumn("event_type", F.when(col("log_id") % 41 == 0, "burn").otherwise(col("event_type")))
     stream = as_stream(spark, log, "log_id", _cuts(spark, sf), repeat_first=True)
-    return _sink(spark, S.ingest_stream(stream, "60 days")).select("log_id", "event_id", "event_type")
+    return _sink(spark, S.ingest_stream(stream)).select("log_id", "event_id", "event_type")
+
+
+@query("ingest_stream_late", "SELECT log_id, event_id FROM chain_log", ["chain_log"])
+def ingest_stream_late(spark, sf):
+    """The newest file first: events of any age arrive once."""
+    stream = as_stream(spark, B.chain_log(spark, sf), "log_id", _cuts(spark, sf), newest_first=True)
+    return _sink(spark, S.ingest_stream(stream)).select("log_id", "event_id")
+
+
+@query("replay_then_live_restarted", "SELECT log_id, event_id FROM chain_log WHERE log_id > 500", ["chain_log"])
+def replay_then_live_restarted(spark, sf):
+    """Stopped after the first live files and run again; the second run brings old rows too."""
+    log, cuts = B.chain_log(spark, sf), _cuts(spark, sf)
+    source, path, checkpoint = scratch(spark, "source"), scratch(spark, "feed"), scratch(spark, "checkpoint")
+    for low, high, seen in ((cuts[0], cuts[2], cuts[1]), (cuts[1], None, None)):
+        part = log.where(col("log_id") >= low)
+        (part if high is None else part.where(col("log_id") < high)).write.mode("append").parquet(source)
+        live = spark.readStream.schema(log.schema).parquet(source)
+        S.replay_then_live(log if seen is None else log.where(col("log_id") < seen), live, 500, path, checkpoint)
+    return VersionedTable(path).all(spark).select("log_id", "event_id")
 
 
 @query("ingest_exact", "SELECT log_id, event_id, event_type FROM chain_log", ["chain_log"])
@@ -82,7 +104,10 @@ def dead_letters_stream(spark, sf):
 def _projected(spark, sf):
     path = scratch(spark, "model")
     stream = as_stream(spark, B.chain_log(spark, sf), "log_id", _cuts(spark, sf))
-    version = S.project_stream(stream, path, scratch(spark, "checkpoint"))
+    checkpoint = scratch(spark, "checkpoint")
+    S.project_stream(stream, path, checkpoint)
+    # a restart with nothing new stands at the same version
+    version = S.project_stream(stream, path, checkpoint)
     return S.projected(spark, path, version)
 
 

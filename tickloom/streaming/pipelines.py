@@ -20,9 +20,16 @@ def with_event_time(log: DataFrame) -> DataFrame:
 # --- ingest -------------------------------------------------------------------------
 
 
-def ingest_stream(source: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Known kinds only, each event id once within the delay; state is dropped behind it."""
+def ingest_stream(source: DataFrame, delay: str | None = None) -> DataFrame:
+    """Known kinds only, each event id once, events of any age included.
+
+    The state then holds every id. With a ``delay`` it is dropped behind the watermark, and so
+    is every event that arrives later than that: use it where the source bounds lateness, or
+    ``ingest_exact``, which keeps the ids in the log itself.
+    """
     known = parse_payload(source, []).where(payload_error().isNull()).drop("doc")
+    if delay is None:
+        return with_event_time(known).dropDuplicates(["event_id"])
     return with_event_time(known).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -60,7 +67,7 @@ def topic_fanout(source: DataFrame) -> DataFrame:
 
 
 def project_stream(source: DataFrame, path: str, checkpoint: str) -> int:
-    """Continuous projection; returns the version the state stands at.
+    """Continuous projection; returns the version the state stands at, after an idle run too.
 
     Each batch merges into the state before it and writes everything under its own id; the
     high-water mark is written last, so a reader that starts from the mark never sees half
@@ -82,7 +89,8 @@ def project_stream(source: DataFrame, path: str, checkpoint: str) -> int:
             table.write(delta[name], batch_id)
         marks.write(batch.agg(F.max("log_id").alias("last_log_id")), batch_id)
 
-    return drain(source.writeStream.foreachBatch(step), checkpoint)
+    drain(source.writeStream.foreachBatch(step), checkpoint)
+    return marks.newest(source.sparkSession)
 
 
 def projected(spark: SparkSession, path: str, version: int) -> dict[str, DataFrame]:
@@ -152,20 +160,33 @@ def late_trades(source: DataFrame, path: str, checkpoint: str, size: int = 60) -
 def replay_then_live(log: DataFrame, live: DataFrame, since: int, path: str, checkpoint: str, asset: str | None = None) -> int:
     """History after ``since``, then live rows above what the replay reached, in one table.
 
-    No row is missed or repeated: the replay's last position is the live filter.
+    No row is missed or repeated: the replay's last position is the live filter. It is stored
+    beside the table, after the history, so a restart goes on from it; a row delivered again is
+    looked up among the stored rows of the batch's range of positions.
     """
+    spark = log.sparkSession
+    table, end = VersionedTable(path), VersionedTable(f"{path.rstrip('/')}-end")
+
     def mine(df: DataFrame) -> DataFrame:
         return df if asset is None else df.where(F.col("refs.mint") == asset)
 
-    history = mine(log).where(F.col("log_id") > since)
-    table = VersionedTable(path)
-    table.write(history, -1)
+    if end.newest(spark) < 0:
+        table.write(mine(log).where(F.col("log_id") > since), -1)
+        end.write(table.read(spark, -1).agg(F.coalesce(F.max("log_id"), F.lit(since)).alias("reached")), 0)
     # one number, read back from what was written
-    reached = table.read(log.sparkSession, -1).agg(F.max("log_id")).first()[0]
-    fresh = mine(live).where(F.col("log_id") > (since if reached is None else reached))
-    return drain(
-        fresh.writeStream.foreachBatch(lambda df, i: table.write(first_per_key(df, ["log_id"], F.col("event_id")), i)), checkpoint
-    )
+    reached = end.read(spark, 0).first()[0]
+    fresh = mine(live).where(F.col("log_id") > reached)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = first_per_key(batch, ["log_id"], F.col("event_id"))
+        low, high = batch.agg(F.min("log_id"), F.max("log_id")).first()
+        if batch_id > 0 and low is not None:
+            # versions of this and later batches are left over from a failed attempt
+            seen = table.all(batch.sparkSession).where(F.col("v").between(0, batch_id - 1) & F.col("log_id").between(low, high))
+            rows = rows.join(seen.select("log_id"), "log_id", "left_anti").select(*batch.columns)
+        table.write(rows, batch_id)
+
+    return drain(fresh.writeStream.foreachBatch(step), checkpoint)
 
 
 def tracked_stream(source: DataFrame, known: DataFrame, path: str, checkpoint: str) -> int:

@@ -7,6 +7,7 @@ the shared folder, so it survives the loss of any executor and carries no lineag
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +31,29 @@ class VersionedTable:
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(self.at(version))
 
+    def newest(self, spark: SparkSession) -> int:
+        """The newest version written, -1 where there is none."""
+        try:
+            return self.all(spark).agg(F.coalesce(F.max("v"), F.lit(-1))).first()[0]
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return -1
+            raise
+
     def all(self, spark: SparkSession) -> DataFrame:
         """Every version's rows, with the version as column ``v``."""
         return spark.read.parquet(self.path)
 
 
-def drain(writer, checkpoint: str, seconds: int = 600) -> int:
-    """Run a stream over what is there now; the last batch id, -1 where there was nothing."""
+def drain(writer, checkpoint: str, seconds: int | None = None) -> int:
+    """Run a stream over what is there now; the last batch id, -1 where there was nothing.
+
+    It runs as long as it takes; ``seconds`` sets a limit where one is wanted.
+    """
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    if not query.awaitTermination(seconds):
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"stream still running after {seconds} s")
     if query.exception() is not None:
