@@ -21,11 +21,21 @@ def _as_decimal_text(c: Column) -> Column:
     return c.cast("bigint").cast("string")
 
 
+def asset_name(number: Column) -> Column:
+    """Asset id of a whole number; at least two digits."""
+    return F.format_string("A%02d", number.cast("bigint"))
+
+
+def meta_number(partkey: Column) -> Column:
+    """Asset number of a part's metadata: every part has one, every fifth asset has none."""
+    return partkey + F.floor(partkey / 4)
+
+
 def ev_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Event log with kinds create, migrate and trade."""
+    """Event log with kinds create, migrate and trade; two users share an asset."""
     e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
-    asset = F.concat(F.lit("A"), F.lpad((F.col("user_id") % 25).cast("string"), 2, "0"))
+    asset = asset_name(F.floor(F.col("user_id") / 2))
     kind = F.when(F.col("event_type") == "signup", "create").when(
         F.col("event_type") == "error", "migrate"
     ).otherwise("trade")
@@ -67,10 +77,10 @@ def ev_trades(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ev_meta(spark: SparkSession, sf: str) -> DataFrame:
-    """Metadata of twenty of the 25 assets."""
-    p = table(spark, sf, "part").where("p_partkey < 25 AND p_partkey % 5 <> 3")
+    """Metadata of four in five assets, one row per part."""
+    p = table(spark, sf, "part")
     return p.select(
-        F.concat(F.lit("A"), F.lpad(F.col("p_partkey").cast("string"), 2, "0")).alias("asset_id"),
+        asset_name(meta_number(F.col("p_partkey"))).alias("asset_id"),
         F.col("p_name").alias("name"),
         F.col("p_brand").alias("symbol"),
         F.concat(F.lit("ipfs://doc/"), F.col("p_partkey").cast("string")).alias("uri"),
@@ -92,7 +102,7 @@ def part_docs(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     image = F.when(F.col("p_size") % 7 == 0, "").otherwise(F.concat(F.lit("ipfs://img/"), key))
     return p.select(
-        F.concat(F.lit("A"), F.lpad(key, F.greatest(F.length(key), F.lit(2)), "0")).alias("asset_id"),
+        asset_name(F.col("p_partkey")).alias("asset_id"),
         F.to_json(
             F.struct(F.col("p_name").alias("name"), F.col("p_brand").alias("symbol"), image.alias("image"))
         ).alias("document"),
@@ -256,6 +266,11 @@ def chain_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def position(spark: SparkSession, sf: str, tenths: int) -> int:
+    """Log position that many tenths of the way through the log (one value, from file statistics)."""
+    return int(table(spark, sf, "events").agg(F.max("event_id")).first()[0]) * tenths // 10
+
+
 def latest_time(spark: SparkSession, sf: str) -> int:
     """Newest event second: the 'now' of every checked query (one value, from file statistics)."""
     row = table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("t")).select(F.unix_seconds("t")).first()
@@ -276,20 +291,20 @@ _cte(
     f"""
     SELECT event_id AS log_id, event_id AS insert_seq, 'e' || event_id AS event_id, ts AS event_time,
       epoch_us(ts) // 1000000 AS event_unix_ts,
-      'A' || lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') AS asset_id,
+      printf('A%02d', user_id // 2) AS asset_id,
       CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'migrate' ELSE 'trade' END AS kind,
       CASE event_type WHEN 'purchase' THEN 'buy' WHEN 'view' THEN 'sell'
                       WHEN 'click' THEN 'buy_exact_sol_in' END AS side,
       CAST(round(value * 100) AS BIGINT) AS quote_amount_raw,
       CAST(json_extract_string(props, '$.k') AS BIGINT) AS token_amount_raw,
       'U' || user_id AS user_address,
-      (CASE event_type WHEN 'error' THEN 'Q' ELSE 'C' END) || 'A' || lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') AS market_id,
+      (CASE event_type WHEN 'error' THEN 'Q' ELSE 'C' END) || printf('A%02d', user_id // 2) AS market_id,
       events.event_id // 4 AS slot, 3 - events.event_id % 4 AS tx_index,
       CAST(user_id % 3 AS INTEGER) AS outer_index,
       CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 1
            THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS inner_index,
-      CASE WHEN user_id % 2 = 0 THEN 'A' || lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') ELSE '{NATIVE}' END AS base_mint,
-      CASE WHEN user_id % 2 = 0 THEN '{NATIVE}' ELSE 'A' || lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') END AS quote_mint
+      CASE WHEN user_id % 2 = 0 THEN printf('A%02d', user_id // 2) ELSE '{NATIVE}' END AS base_mint,
+      CASE WHEN user_id % 2 = 0 THEN '{NATIVE}' ELSE printf('A%02d', user_id // 2) END AS quote_mint
     FROM events
     """,
 )
@@ -306,11 +321,11 @@ _cte(
 _cte(
     "ev_meta",
     f"""
-    SELECT 'A' || lpad(CAST(p_partkey AS VARCHAR), 2, '0') AS asset_id, p_name AS name, p_brand AS symbol,
+    SELECT printf('A%02d', p_partkey + p_partkey // 4) AS asset_id, p_name AS name, p_brand AS symbol,
       'ipfs://doc/' || p_partkey AS uri, CAST(NULL AS VARCHAR) AS image_uri, p_size % 3 AS decimals,
       CAST(round(p_retailprice * 100) AS BIGINT) AS total_supply_raw, '{NATIVE}' AS quote_mint,
       2 AS quote_decimals, CASE WHEN p_size % 2 = 0 THEN 'M' || p_partkey END AS creator
-    FROM part WHERE p_partkey < 25 AND p_partkey % 5 <> 3
+    FROM part
     """,
 )
 _cte(
@@ -351,6 +366,10 @@ _cte(
 )
 
 
+def position_sql(tenths: int) -> str:
+    return f"(SELECT max(event_id) * {tenths} // 10 FROM events)"
+
+
 def checked(sql: str, *needs: str) -> str:
     """Put the named inputs in front of a SELECT (which may itself start with ``, name AS (...)``)."""
     order: list[str] = []

@@ -35,10 +35,10 @@ def snapshots(spark, sf):
     return G.snapshots(tokens, meta, 15).select(*SNAP_COLS)
 
 
-@query("snapshot_of_one", MODEL + SNAP + f"SELECT {', '.join(SNAP_COLS)} FROM snap WHERE asset_id = 'A08'", ["chain_log", "ev_meta"])
+@query("snapshot_of_one", MODEL + SNAP + f"SELECT {', '.join(SNAP_COLS)} FROM snap WHERE asset_id = 'A04'", ["chain_log", "ev_meta"])
 def snapshot_of_one(spark, sf):
     _, tokens, meta, _ = _model(spark, sf)
-    return G.snapshots(tokens, meta, asset="A08").select(*SNAP_COLS)
+    return G.snapshots(tokens, meta, asset="A04").select(*SNAP_COLS)
 
 
 def _own(dec: str, raw: str) -> str:
@@ -181,12 +181,12 @@ def _shown(source: str) -> str:
 
 @query(
     "trades_of",
-    _shown("ev_trades") + """SELECT event_id, side, event_unix_ts, token_amount, quote_amount, price FROM shown WHERE asset_id = 'A10'
+    _shown("ev_trades") + """SELECT event_id, side, event_unix_ts, token_amount, quote_amount, price FROM shown WHERE asset_id = 'A06'
       ORDER BY event_time DESC, slot DESC, insert_seq DESC LIMIT 100""",
     ["ev_trades", "ev_meta"],
 )
 def trades_of(spark, sf):
-    return G.trades_of(B.ev_trades(spark, sf), B.ev_meta(spark, sf), "A10", 100).select("event_id", "side", "event_unix_ts", "token_amount", "quote_amount", "price")
+    return G.trades_of(B.ev_trades(spark, sf), B.ev_meta(spark, sf), "A06", 100).select("event_id", "side", "event_unix_ts", "token_amount", "quote_amount", "price")
 
 
 PAGE_COLS = "event_id, activity_type, event_unix_ts, slot, insert_seq, quantity, total_quote, price, has_more, next_event_unix_ts, next_slot, next_insert_seq, snapshot_log_id"
@@ -196,23 +196,23 @@ def _page_sql(where: str, limit: int) -> str:
     return f"""
     , page AS (SELECT event_id, activity_type, event_unix_ts, slot, insert_seq, token_amount AS quantity, quote_amount AS total_quote, price,
         row_number() OVER (ORDER BY event_unix_ts DESC, slot DESC, insert_seq DESC) AS rn, count(*) OVER () AS total
-      FROM shown WHERE asset_id = 'A10' AND {where}),
+      FROM shown WHERE asset_id = 'A06' AND {where}),
     edge AS (SELECT event_unix_ts AS u, slot AS sl, insert_seq AS iq FROM page WHERE rn = {limit} AND total > {limit})
     SELECT page.* EXCLUDE (rn, total), total > {limit} AS has_more, u AS next_event_unix_ts, sl AS next_slot, iq AS next_insert_seq,
-      5000::BIGINT AS snapshot_log_id FROM page LEFT JOIN edge ON TRUE WHERE rn <= {limit}
+      {B.position_sql(5)} AS snapshot_log_id FROM page LEFT JOIN edge ON TRUE WHERE rn <= {limit}
     """
 
 
 @query("activity_page", ACTIVITY + _shown("activity") + _page_sql("TRUE", 60), ["chain_log", "ev_meta"])
 def activity_page(spark, sf):
     rows = P.project_activity(B.chain_log(spark, sf))
-    return G.activity_page(rows, B.ev_meta(spark, sf), "A10", 60, None, 5000).select(*PAGE_COLS.split(", "))
+    return G.activity_page(rows, B.ev_meta(spark, sf), "A06", 60, None, B.position(spark, sf, 5)).select(*PAGE_COLS.split(", "))
 
 
 @query("activity_page_next", ACTIVITY + _shown("activity") + _page_sql("(event_unix_ts, slot, insert_seq) < (1705000000, 1000, 4000)", 500), ["chain_log", "ev_meta"])
 def activity_page_next(spark, sf):
     rows = P.project_activity(B.chain_log(spark, sf))
-    return G.activity_page(rows, B.ev_meta(spark, sf), "A10", 500, (1705000000, 1000, 4000), 5000).select(*PAGE_COLS.split(", "))
+    return G.activity_page(rows, B.ev_meta(spark, sf), "A06", 500, (1705000000, 1000, 4000), B.position(spark, sf, 5)).select(*PAGE_COLS.split(", "))
 
 
 CREATED = """
@@ -293,21 +293,22 @@ def _feed(name: str, mode: str):
     @query(
         name,
         f"""
-        , page AS (SELECT event_id, log_id, 'page' AS src FROM chain_log WHERE log_id <= 6000 AND log_id % 2 = 0),
+        , page AS (SELECT event_id, log_id, 'page' AS src FROM chain_log WHERE log_id <= {B.position_sql(6)} AND log_id % 2 = 0),
         live AS (SELECT event_id, log_id, 'live' AS src FROM chain_log WHERE log_id % 3 = 0
-          UNION ALL SELECT event_id, log_id + 100000, 'live' FROM chain_log WHERE log_id % 10 = 0)
+          UNION ALL SELECT event_id, log_id + 2 * {B.position_sql(10)}, 'live' FROM chain_log WHERE log_id % 10 = 0)
         SELECT event_id, log_id, src, CASE WHEN src = '{wins}' THEN 0 ELSE 1 END::BIGINT AS part
-        FROM (SELECT * FROM page UNION ALL SELECT * FROM live WHERE log_id > 5000)
+        FROM (SELECT * FROM page UNION ALL SELECT * FROM live WHERE log_id > {B.position_sql(5)})
         QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY src = '{wins}' DESC, {'-' if mode == 'prepend' else ''}log_id) = 1
         """,
         ["chain_log"],
     )
     def run(spark, sf):
         log = B.chain_log(spark, sf).select("event_id", "log_id")
-        page = log.where("log_id <= 6000 AND log_id % 2 = 0").withColumn("src", F.lit("page"))
-        again = log.where("log_id % 10 = 0").withColumn("log_id", col("log_id") + 100000)
+        half, most, top = (B.position(spark, sf, t) for t in (5, 6, 10))
+        page = log.where((col("log_id") <= most) & (col("log_id") % 2 == 0)).withColumn("src", F.lit("page"))
+        again = log.where("log_id % 10 = 0").withColumn("log_id", col("log_id") + 2 * top)
         live = log.where("log_id % 3 = 0").unionByName(again).withColumn("src", F.lit("live"))
-        return G.feed_merge(page, live, 5000, mode)
+        return G.feed_merge(page, live, half, mode)
 
 
 _feed("feed_merge_prepend", "prepend")

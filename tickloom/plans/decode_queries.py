@@ -124,7 +124,7 @@ def pair_ordinal(spark, sf):
 # --- binary -------------------------------------------------------------------------
 
 KEYS = f"""
-, keyed AS (SELECT *, repeat('1', 31) || '{D.ALPHABET}'[CAST(substr(asset_id, 2) AS INT) + 2] AS mint,
+, keyed AS (SELECT *, repeat('1', 31) || '{D.ALPHABET}'[CAST(substr(asset_id, 2) AS BIGINT) % 50 + 2] AS mint,
     repeat('1', 31) || '{D.ALPHABET}'[CAST(substr(user_address, 2) AS BIGINT) % 50 + 2] AS usr FROM ev_log)
 """
 

@@ -55,7 +55,7 @@ def base58_small(number: Column) -> Column:
 
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
     log = B.ev_log(spark, sf)
-    return log.withColumn("mint_no", F.substring("asset_id", 2, 2).cast("bigint") + 1).withColumn(
+    return log.withColumn("mint_no", F.expr("CAST(substring(asset_id, 2) AS BIGINT)") % 50 + 1).withColumn(
         "user_no", F.expr("CAST(substring(user_address, 2) AS BIGINT)") % 50 + 1
     )
 

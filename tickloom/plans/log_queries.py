@@ -298,12 +298,12 @@ def replay_mark(spark, sf):
 
 @query(
     "projection_lag",
-    f"""SELECT greatest(max(log_id) - 6000, 0) AS log_id_lag,
-      greatest({NOW} - arg_max(event_unix_ts, log_id) FILTER (log_id <= 6000), 0) AS event_time_lag_seconds FROM chain_log""",
+    f"""SELECT greatest(max(log_id) - {B.position_sql(6)}, 0) AS log_id_lag,
+      greatest({NOW} - arg_max(event_unix_ts, log_id) FILTER (log_id <= {B.position_sql(6)}), 0) AS event_time_lag_seconds FROM chain_log""",
     ["chain_log", "now"],
 )
 def projection_lag(spark, sf):
-    return P.projection_lag(B.chain_log(spark, sf), 6000, B.latest_time(spark, sf))
+    return P.projection_lag(B.chain_log(spark, sf), B.position(spark, sf, 6), B.latest_time(spark, sf))
 
 
 @query(
@@ -327,8 +327,7 @@ def active_market(spark, sf):
     "enrich_images",
     """
     SELECT m.asset_id, m.name, CASE WHEN p.p_size % 7 <> 0 THEN 'https://ipfs.io/ipfs/img/' || p.p_partkey END AS image_uri
-    FROM ev_meta m JOIN part p ON m.asset_id = 'A' || lpad(CAST(p.p_partkey AS VARCHAR), 2, '0')
-    WHERE p.p_partkey < 100
+    FROM ev_meta m LEFT JOIN part p ON m.asset_id = printf('A%02d', p.p_partkey)
     """,
     ["ev_meta"],
 )
