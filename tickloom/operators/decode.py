@@ -1,14 +1,16 @@
 """Binary events and instructions to columns.
 
-Discriminators, offsets, integers, flags and strings are read by built-in expressions;
-only the base58 text of the 32-byte keys needs Python, in one Arrow call per batch.
+Discriminators and account roles are built-in expressions. The fields are read by one Arrow
+function: it takes the rows of a batch kind by kind and reads each field for all of them at
+once, so its plan stays small however many layouts there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,15 @@ from ..sources import layouts as L
 # fixed value: the alphabet of base58 text
 ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 SIZES = {"key": 32, "u8": 1, "u16": 2, "u64": 8, "i64": 8, "bool": 1, "flag": 1, "flag?": 1}
-SQL_TYPES = {"key": "string", "str": "string", "u8": "int", "u16": "int", "u64": "decimal(20,0)", "i64": "bigint"}
+TYPES = {
+    "key": T.StringType(), "str": T.StringType(), "u8": T.IntegerType(), "u16": T.IntegerType(), "u64": T.DecimalType(20, 0),
+    "i64": T.LongType(), "bool": T.BooleanType(), "flag": T.BooleanType(), "flag?": T.BooleanType(),
+}
+ARROW = {
+    "key": pa.string(), "str": pa.string(), "u8": pa.int32(), "u16": pa.int32(), "u64": pa.decimal128(20, 0),
+    "i64": pa.int64(), "bool": pa.bool_(), "flag": pa.bool_(), "flag?": pa.bool_(),
+}
+DIGITS = 45  # base58 digits of 32 bytes, rounded up to whole steps of five
 
 Layout = list[tuple[str, str]]
 
@@ -32,17 +42,26 @@ def base58(raw: bytes) -> str:
     return "1" * (len(raw) - len(raw.lstrip(b"\0"))) + text
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def base58_all(keys: pd.Series) -> pd.Series:
-    """Text of each key; every distinct key of the batch is converted once."""
-    known: dict[bytes, str] = {}
+def base58_keys(keys: np.ndarray) -> pa.Array:
+    """Text of each row of an (n, 32) byte matrix, by long division of all rows at once."""
+    limbs = np.ascontiguousarray(keys).view(">u4").astype(np.uint64)
+    digits = np.empty((len(keys), DIGITS), np.uint8)
+    for last in range(DIGITS - 1, 0, -5):
+        rest = np.zeros(len(keys), np.uint64)
+        for i in range(limbs.shape[1]):
+            limbs[:, i], rest = np.divmod((rest << np.uint64(32)) | limbs[:, i], np.uint64(58**5))
+        for place in range(last, last - 5, -1):
+            rest, digits[:, place] = np.divmod(rest, np.uint64(58))
 
-    def text(raw: bytes) -> str:
-        if raw not in known:
-            known[raw] = base58(raw)
-        return known[raw]
+    def leading_zeros(matrix: np.ndarray) -> np.ndarray:
+        return np.where((matrix != 0).any(axis=1), (matrix != 0).argmax(axis=1), matrix.shape[1])
 
-    return keys.map(lambda row: None if row is None else [text(bytes(k)) for k in row])
+    # a leading zero byte is a one, as a zero digit is
+    start = leading_zeros(digits) - leading_zeros(keys)
+    chars = np.frombuffer(ALPHABET.encode(), np.uint8)[digits][np.arange(DIGITS) >= start[:, None]]
+    ends = np.zeros(len(keys) + 1, np.int32)
+    np.cumsum(DIGITS - start, out=ends[1:])
+    return pa.StringArray.from_buffers(len(keys), pa.py_buffer(ends), pa.py_buffer(chars.tobytes()))
 
 
 def layout(text: str) -> Layout:
@@ -53,46 +72,104 @@ def _hex(disc: Sequence[int]) -> str:
     return bytes(disc).hex().upper()
 
 
-def _backwards(data: Column) -> Column:
-    """Hex text of the bytes in reverse order, where little-endian numbers read forwards."""
-    return F.reverse(F.regexp_replace(F.hex(data), "(.)(.)", "$2$1"))
-
-
-def _field_hex(at: Column, size: int) -> Column:
-    """Hex text, most significant byte first, of ``size`` bytes from ``at``."""
-    return F.substring("_back", (F.length("data") - at - size) * 2 + 1, F.lit(2 * size))
-
-
-def _number(at: Column, size: int, signed: bool = False) -> Column:
-    return F.conv(_field_hex(at, size), 16, -10 if signed else 10)
-
-
-class _Places:
-    """Where each field of each kind starts: fixed bytes after the start or after the k-th string."""
-
-    def __init__(self, layouts: Mapping[str, Layout]):
-        self.of: dict[str, dict[str, tuple[int, int]]] = {}
-        self.strings: dict[str, list[int]] = {}
-        self.end: dict[str, tuple[int, int]] = {}
-        for kind, fields in layouts.items():
-            level, offset, places, gaps = 0, 8, {}, []
-            for name, type_ in fields:
-                places[name] = (level, offset)
-                if type_ == "str":
-                    gaps.append(offset)
-                    level, offset = level + 1, 0
-                elif type_ != "flag?":
-                    offset += SIZES[type_]
-            self.of[kind], self.strings[kind], self.end[kind] = places, gaps, (level, offset)
-
-    @property
-    def depth(self) -> int:
-        return max(len(s) for s in self.strings.values())
-
+class _Rows:
+    """The bytes of the rows of one kind, and where the next field of each starts."""
+
+    def __init__(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.flat, self.start, self.size = flat, start, size
+        self.at = np.full(len(start), 8, np.int64)
+        self.ok = size >= 8
+
+    def take(self, width: int) -> np.ndarray:
+        """The next bytes of every row, zeros beyond its end."""
+        place = self.at[:, None] + np.arange(width)
+        inside = place < self.size[:, None]
+        found = np.where(inside, self.flat[np.where(inside, self.start[:, None] + place, 0)], 0)
+        self.at = self.at + width
+        return found.astype(np.uint8)
+
+    def number(self, type_: str) -> np.ndarray:
+        width = SIZES[type_]
+        raw = self.take(width).view({1: "u1", 2: "<u2", 8: "<u8"}[width])[:, 0]
+        return raw.view(np.int64) if type_ == "i64" else raw
+
+    def text(self) -> pa.Array:
+        """The next string: four bytes of length, then UTF-8; a row without a sound one fails."""
+        length = self.take(4).view("<u4")[:, 0].astype(np.int64)
+        end = self.at + length
+        self.ok &= end <= self.size
+        found: list[str | None] = [None] * len(end)
+        for i in np.flatnonzero(self.ok).tolist():
+            try:
+                found[i] = self.flat[self.start[i] + self.at[i] : self.start[i] + end[i]].tobytes().decode()
+            except UnicodeDecodeError:
+                self.ok[i] = False
+        self.at = np.where(self.ok, end, self.size + 1)
+        return pa.array(found, pa.string())
+
+    def read(self, type_: str) -> pa.Array:
+        if type_ == "str":
+            return self.text()
+        if type_ == "key":
+            return base58_keys(self.take(SIZES[type_]))
+        if type_ == "flag?":
+            # the last field, if it is there at all
+            there, byte = self.at < self.size, self.take(1)[:, 0]
+            self.at = self.at - 1
+            return pa.array(byte == 1, mask=~there | (byte > 1))
+        number = self.number(type_)
+        if type_ == "flag":
+            self.ok &= number <= 1
+        return pa.array(number != 0) if type_ in ("flag", "bool") else pa.array(number).cast(ARROW[type_])
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One flat byte array (never empty), and start and size of every row."""
+    column = column.cast(pa.large_binary())
+    _, offsets, flat = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(flat, np.uint8) if flat is not None and flat.size else np.zeros(1, np.uint8)
+    return data, ends[:-1], np.diff(ends)
+
+
+def _reader(layouts: Mapping[str, Layout], exact: Sequence[str]):
+    """A function of (kind, data) that gives one struct with the fields of all kinds."""
+    names: dict[str, str] = {}
+    for fields in layouts.values():
+        names.update({f: t for f, t in fields})
 
-def _at(place: tuple[int, int]) -> Column:
-    level, offset = place
-    return F.lit(offset) if level == 0 else F.col(f"_s{level}") + offset
+    def read(kind: pa.Array, data: pa.Array) -> pa.Array:
+        flat, start, size = _bytes_of(data)
+        kinds = kind.to_numpy(zero_copy_only=False)
+        known = ~np.asarray(data.is_null().to_numpy(zero_copy_only=False), bool)
+        # where the value of each row stands in the pieces read kind by kind; -1 is null
+        pieces: dict[str, list[pa.Array]] = {n: [] for n in names}
+        place = {n: np.full(len(kinds), -1, np.int64) for n in names}
+        whole = np.zeros(len(kinds), bool)
+        for name, fields in layouts.items():
+            index = np.flatnonzero((kinds == name) & known)
+            if not len(index):
+                continue
+            rows = _Rows(flat, start[index], size[index])
+            found = [(f, rows.read(t)) for f, t in fields]
+            rows.ok &= rows.at == rows.size if name in exact else rows.at <= rows.size
+            whole[index] = rows.ok
+            for field, values in found:
+                before = sum(map(len, pieces[field]))
+                place[field][index] = np.where(rows.ok, before + np.arange(len(index)), -1)
+                pieces[field].append(values)
+        columns = []
+        for name, type_ in names.items():
+            if not pieces[name]:
+                columns.append(pa.nulls(len(kinds), ARROW[type_]))
+                continue
+            values = pa.concat_arrays(pieces[name])
+            columns.append(values.take(pa.array(place[name], mask=place[name] < 0)))
+        return pa.StructArray.from_arrays(columns, names=list(names), mask=pa.array(~whole))
+
+    fields = [T.StructField(n, TYPES[t]) for n, t in names.items()]
+    # called nondeterministic so that a later filter or field access is not turned into a second call
+    return F.arrow_udf(read, T.StructType(fields)).asNondeterministic()
 
 
 def decode(df: DataFrame, layouts: Mapping[str, Layout], exact: Sequence[str], out: str) -> DataFrame:
@@ -101,79 +178,7 @@ def decode(df: DataFrame, layouts: Mapping[str, Layout], exact: Sequence[str], o
     The struct is null where the bytes are too short, too long for an exact layout, hold
     a bad flag or a string that is not UTF-8.
     """
-    places, data, kind = _Places(layouts), F.col("data"), F.col("kind")
-    size = F.length(data)
-    df = df.select("*", F.inline(F.array(F.struct(_backwards(data).alias("_back")))))
-    # the end of the k-th string, one step each so that later offsets reuse it
-    for level in range(places.depth):
-        end = None
-        for name, gaps in places.strings.items():
-            if len(gaps) > level:
-                at = _at((level, gaps[level]))
-                length = F.when(at + 4 <= size, _number(at, 4).cast("bigint"))
-                step = F.least(at + 4 + length, size + 1).cast("int")
-                end = F.when(kind == name, step) if end is None else end.when(kind == name, step)
-        df = df.select("*", F.inline(F.array(F.struct(end.alias(f"_s{level + 1}")))))
-
-    def by_kind(make, default: Column | None = None) -> Column | None:
-        chain = None
-        for name, fields in layouts.items():
-            value = make(name, fields)
-            if value is not None:
-                chain = F.when(kind == name, value) if chain is None else chain.when(kind == name, value)
-        return chain if chain is None or default is None else chain.otherwise(default)
-
-    def text(name: str, field: str) -> Column:
-        level, offset = places.of[name][field]
-        start = _at((level, offset + 4))
-        return F.try_validate_utf8(F.substring(data, start + 1, F.col(f"_s{level + 1}") - start).cast("string"))
-
-    def flag(name: str, field: str) -> Column:
-        byte = _field_hex(_at(places.of[name][field]), 1)
-        return F.when(byte == "00", False).when(byte == "01", True)
-
-    def sound(name: str, fields: Layout) -> Column:
-        end = _at(places.end[name])
-        ok = size == end if name in exact else size >= end
-        for field, type_ in fields:
-            if type_ == "str":
-                ok = ok & text(name, field).isNotNull()
-            elif type_ == "flag":
-                ok = ok & flag(name, field).isNotNull()
-        return ok
-
-    def keys(name: str, fields: Layout) -> Column | None:
-        cut = [F.substring(data, _at(places.of[name][f]) + 1, F.lit(32)) for f, t in fields if t == "key"]
-        return F.array(*cut) if cut else None
-
-    df = df.select("*", F.inline(F.array(F.struct(F.coalesce(by_kind(sound), F.lit(False)).alias("_ok")))))
-    df = df.withColumn("_keys", base58_all(F.when(F.col("_ok"), by_kind(keys))))
-
-    def value(name: str, fields: Layout, field: str, type_: str) -> Column:
-        at = _at(places.of[name][field])
-        if type_ == "key":
-            index = [f for f, t in fields if t == "key"].index(field)
-            return F.get("_keys", F.lit(index))
-        if type_ == "str":
-            return text(name, field)
-        if type_.startswith("flag"):
-            return flag(name, field)
-        if type_ == "bool":
-            return _field_hex(at, 1) != "00"
-        return _number(at, SIZES[type_], type_ == "i64").cast(SQL_TYPES[type_])
-
-    names: dict[str, str] = {}
-    for fields in layouts.values():
-        names.update({f: t for f, t in fields})
-    cols = []
-    for field in names:
-        cols.append(
-            by_kind(lambda n, fs: value(n, fs, field, dict(fs)[field]) if field in dict(fs) else None).alias(field)
-        )
-    struct = F.when(F.col("_ok"), F.struct(*cols)).alias(out)
-    helpers = [f"_s{i + 1}" for i in range(places.depth)]
-    kept = [c for c in df.columns if c not in ("_back", "_ok", "_keys", *helpers)]
-    return df.select(*kept, struct)
+    return df.withColumn(out, _reader(layouts, exact)("kind", "data"))
 
 
 EVENT_LAYOUTS = {k: layout(v) for k, v in L.EVENT_LAYOUTS.items()}
