@@ -16,7 +16,7 @@ col = F.col
 def _hex_le(number: Column, size: int) -> Column:
     text = F.lpad(F.hex(number.cast("bigint")), 2 * size, "0")
     text = F.right(text, F.lit(2 * size))
-    return F.concat(*(F.substring(text, 2 * i + 1, 2) for i in reversed(range(size))))
+    return F.reverse(F.regexp_replace(text, "(.)(.)", "$2$1"))
 
 
 def key_hex(number: Column) -> Column:
@@ -73,7 +73,8 @@ def trade_events(spark: SparkSession, sf: str) -> DataFrame:
         },
     )
     cut = F.when(col("log_id") % 53 == 0, F.substring(data, 1, 200)).otherwise(data)
-    return t.select("log_id", cut.alias("data"))
+    # kept apart so that the bytes are built once, as a stored column would be read once
+    return t.select("log_id", F.inline(F.array(F.struct(cut.alias("data")))))
 
 
 def tx_views(spark: SparkSession, sf: str) -> DataFrame:
