@@ -372,7 +372,8 @@ def token_detail(
 def token_overview(tokens: DataFrame, meta: DataFrame, log: DataFrame, markets: DataFrame, trades: DataFrame) -> DataFrame:
     """Tokens beside their create event, current market and newest trade."""
     doc = F.from_json("payload", "name STRING, symbol STRING, uri STRING")
-    made = log.select(
+    # only a create event is ever a token's create_event_id
+    made = log.where("event_type = 'create'").select(
         F.col("event_id").alias("create_event_id"), F.col("protocol").alias("create_protocol"),
         F.col("event_type").alias("create_event_type"), F.col("event_unix_ts").alias("create_unix_ts"),
         *(doc[c].alias(f"create_{c}") for c in ("name", "symbol", "uri")),
