@@ -104,6 +104,11 @@ def tx_views(spark: SparkSession, sf: str) -> DataFrame:
     ).when(col("side") == "buy_exact_sol_in", instruction_record("curve_buy_exact_sol_in", args))
     make = instruction_record("curve_create", {"name": name, "symbol": col("user_address"), "uri": F.lit("ipfs://x"), "creator": col("user_no")})
 
+    # kept apart so that the bytes of a record are built once
+    built = F.struct(trade.alias("trade_bytes"), create.alias("create_bytes"), call.alias("call_bytes"), make.alias("make_bytes"))
+    t = t.select("*", F.inline(F.array(built)))
+    trade, create, call, make = (col(f"{n}_bytes") for n in ("trade", "create", "call", "make"))
+
     def accounts(kind: str) -> Column:
         known = {"mint": mint, "user": user, "bonding_curve": F.lit("1" * 31 + "6")}
         return F.array(*(known.get(r, F.lit(r)) for r in L.INSTRUCTION_ACCOUNTS[kind].split()))
