@@ -64,6 +64,30 @@ def test_bytes(awkward):
     assert got(suffixes.dedup_bytes(df), 5) == brute.byte_windows(rows)
 
 
+def test_bytes_of_a_crowded_anchor(spark):
+    rng = random.Random(8)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefgh") for _ in range(n))
+
+    lines, near = [noise(n) for n in (55, 75, 99)], [noise(30) for _ in range(4)]
+    rows = [(i, noise(120) + rng.choice(["", rng.choice(near)]) + lines[i % 3] + rng.choice(["", rng.choice(near)]) + noise(120)) for i in range(240)]
+    df = frame(spark, rows).repartition(3)
+    want = brute.byte_windows(rows)
+    assert sum(r[2] > 0 for r in want) > 40
+    assert got(suffixes.dedup_bytes(df, crowd=3), 5) == got(suffixes.dedup_bytes(df), 5) == want
+    # a gram smaller than those around it, so that it is the anchor of every window
+    many = np.frombuffer(noise(400_000).encode(), np.uint8)
+    k = int(suffixes._anchors(many, np.array([0, len(many)]))[0].argmin())
+    gram = many[k : k + 50].tobytes().decode()
+    contexts = [(1, i, 1, i, 0, bytearray((noise(50 - 4 * (i % 3)) + gram + noise(50)).encode())) for i in range(50)]
+    contexts += [(1, 50 + i, 1, 50 + i, 0, bytearray((noise(10) + "a" * 40 + gram + "b" * 9 + noise(41)).encode())) for i in range(50)]
+    contexts = spark.createDataFrame(contexts, "anchor int, context long, n long, first_doc long, first_start long, bytes binary")
+    parts = suffixes.parted(contexts, 3)
+    assert parts.agg(F.sum(F.col("span") + 1)).first()[0] == contexts.agg(F.sum(F.length("bytes") - 99)).first()[0]
+    assert parts.groupBy("shard").agg(F.count_distinct("piece").alias("n")).agg(F.max("n")).first()[0] <= 3
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for n in (1, 2, 3, 40, 700):

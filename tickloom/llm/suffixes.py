@@ -5,15 +5,19 @@ Every 100-byte window has an anchor: its smallest 50-byte gram. A count-min sket
 anchor form a context, known by a hash of its bytes. Contexts are collapsed to distinct ones with
 their earliest place, so a passage that a third of all documents share is one row per task and not
 one per document. Anchors with one distinct context are settled by that. Of the others the bytes of
-every distinct context are fetched once, and whole anchors are packed into shards. A shard's suffix
+every distinct context are fetched once, and groups that hold all equal windows are packed into
+shards: whole anchors, and of an anchor with more than ``CROWD`` contexts its parts. A shard's suffix
 array is built by induced sorting: suffixes are classified, the leftmost-smaller substrings sorted
 and named, their order found on the names, and all others induced, bucket by bucket in numpy. The
 permuted common prefixes give neighbours that agree in 100 bytes, and each such run its earliest
 place. The string of names has an alphabet as large as itself; it is ordered by doubling ranks
 instead of another round of buckets, and only as deep as windows reach.
 
-Equal windows have equal anchors at equal offsets, so they always meet in one shard. A shard is
-closed at ``SHARD`` bytes.
+Equal windows have equal anchors at equal offsets, so they always meet in one shard. The windows of a
+crowded anchor are cut by their offset to it, into halves of the range of offsets; all windows of a
+half hold the same bytes around the anchor, and a hash of those names the group. Groups still crowded
+are halved again, at last to single offsets, where a group is one distinct window. Distinct pieces
+stand once in a group. So a group has at most ``CROWD`` pieces, and a shard is closed at ``SHARD`` bytes.
 
 Defined results: a null or empty text has no bytes; shorter texts keep all; rows with one doc_id
 are one document whose texts are compared by start; a row without doc_id keeps all its bytes and
@@ -38,6 +42,8 @@ from .substrings import keyed
 LENGTH = 100
 GRAM = 50
 SHARD = 1 << 20
+CROWD = 4096
+LEVELS = 6  # halvings of the offsets 0 to LENGTH - GRAM down to single ones
 
 
 # --- suffix arrays ------------------------------------------------------------------
@@ -266,39 +272,95 @@ def _contexts(repeated, wanted=None):
     return run, _FOUND + (", bytes binary" if with_bytes else "")
 
 
-_KIND = "anchor int, context bigint, first_doc bigint, first_start bigint, windows array<int>, docs array<bigint>, starts array<bigint>"
+_PART = "anchor int, origin bigint, at int, span int, shard bigint, piece bigint, n bigint, first_doc bigint, first_start bigint, bytes binary"
+
+
+def _halve(level: int):
+    """The windows of every row, cut by their offset to the anchor into cells of ``2**(LEVELS - level)``."""
+    shift = LEVELS - level
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    schema = pa.schema([*zip(("anchor", "origin", "at", "span", "shard", "piece", "n", "first_doc", "first_start"), kinds), ("bytes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = {c: batch.column(c).to_numpy() for c in ("anchor", "origin", "at", "n", "first_doc", "first_start")}
+            for i, j, data, offsets in tx.pieces(batch.column("bytes")):
+                _, whole, anchor, sums = _anchors(data, offsets)
+                row = np.searchsorted(offsets, whole, "right") - 1
+                cell = (anchor - whole) >> shift
+                cut = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (row[1:] != row[:-1]))))
+                last = np.concatenate((cut[1:], [len(whole)])) - 1
+                lo, hi, mid, cell, row = whole[cut], whole[last], anchor[cut], cell[cut], row[cut]
+                # the bytes that all windows of the cell have
+                least = cell << shift
+                most = np.minimum(least + (1 << shift) - 1, LENGTH - GRAM)
+                shard = tx.span_hash(sums, mid - least, mid - most + LENGTH) + (cell + (level << 8)).astype(np.uint64) * tx.FACTORS[1]
+                piece = tx.span_hash(sums, lo, hi + LENGTH) + (mid - lo).astype(np.uint64) * tx.FACTORS[0]
+                own = {c: v[i:j][row] for c, v in given.items()}
+                ahead = lo - offsets[row]
+                text = data.tobytes()
+                columns = [own["anchor"], own["origin"], (own["at"] + ahead).astype(np.int32), (hi - lo).astype(np.int32), tx.mix(shard).view(np.int64), tx.mix(piece).view(np.int64), own["n"], own["first_doc"], own["first_start"] + ahead]
+                columns = [pa.array(c, f.type) for c, f in zip(columns, schema)]
+                columns.append(pa.array([text[a:b] for a, b in zip(lo.tolist(), (hi + LENGTH).tolist())], pa.binary()))
+                yield pa.record_batch(columns, schema=schema)
+
+    return run
+
+
+def parted(contexts: DataFrame, crowd: int) -> DataFrame:
+    """Pieces of the contexts of crowded anchors; equal windows share ``shard``, which has at most ``crowd`` distinct pieces."""
+    spark, done = contexts.sparkSession, []
+    parts = contexts.select("anchor", F.col("context").alias("origin"), F.lit(0).alias("at"), "n", "first_doc", "first_start", "bytes")
+    for level in range(1, LEVELS + 1):
+        path = scratch(spark, "parts")
+        parts.mapInArrow(_halve(level), _PART).write.parquet(path)
+        parts = spark.read.parquet(path)
+        path = scratch(spark, "crowded")
+        pieces = parts.select("shard", "piece").distinct().groupBy("shard").agg(F.count("*").alias("kinds"))
+        pieces.where(F.col("kinds") > crowd).select("shard").write.parquet(path)
+        crowded = spark.read.parquet(path)
+        if level == LEVELS or crowded.isEmpty():
+            break
+        done.append(parts.join(crowded, "shard", "left_anti"))
+        parts = parts.join(crowded, "shard", "left_semi")
+    for other in done:
+        parts = parts.unionByName(other)
+    return parts
+
+
+_KIND = "shard bigint, context bigint, first_doc bigint, first_start bigint, windows array<int>, docs array<bigint>, starts array<bigint>"
 _SETTLED = pa.schema(
-    [("anchor", pa.int32()), ("context", pa.int64()), ("first_doc", pa.int64()), ("first_start", pa.int64()), ("windows", pa.list_(pa.int32())), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))]
+    [("shard", pa.int64()), ("context", pa.int64()), ("first_doc", pa.int64()), ("first_start", pa.int64()), ("windows", pa.list_(pa.int32())), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))]
 )
 
 
 def _solved(shard: pa.Table) -> pa.RecordBatch:
-    number = {c: shard.column(c).to_numpy() for c in ("anchor", "context", "n", "first_doc", "first_start")}
+    number = {c: shard.column(c).to_numpy() for c in ("shard", "context", "n", "first_doc", "first_start")}
     found = earliest(shard.column("bytes").to_pylist(), number["first_doc"], number["first_start"])
     # a context that stands once and has nothing earlier says nothing
     use = np.array([n > 1 or len(w) > 0 for n, (w, _, _) in zip(number["n"].tolist(), found)], bool)
     lists = [[f[k].tolist() for f, u in zip(found, use) if u] for k in range(3)]
-    columns = [number[c][use] for c in ("anchor", "context", "first_doc", "first_start")] + lists
+    columns = [number[c][use] for c in ("shard", "context", "first_doc", "first_start")] + lists
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _SETTLED)], schema=_SETTLED)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The earliest place of every window of every context; rows arrive sorted by anchor."""
+    """The earliest place of every window of every context; rows arrive sorted by shard."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        anchor = batch.column("anchor").to_numpy()
+        group = batch.column("shard").to_numpy()
         sizes = np.cumsum(np.diff(tx.raw(batch.column("bytes"))[1]))
         begin = 0
-        # cut where a shard is full and an anchor ends
-        for edge in (np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist():
+        # cut where a shard is full and a group ends
+        for edge in (np.flatnonzero(group[1:] != group[:-1]) + 1).tolist():
             full = sum(b.nbytes for b in held) + int(sizes[edge - 1] - (sizes[begin - 1] if begin else 0)) >= SHARD
             if held and begin == 0 and full or not held and full:
                 yield _solved(pa.Table.from_batches([*held, batch.slice(begin, edge - begin)]))
                 held, begin = [], edge
         rest = batch.slice(begin)
-        if held and begin == 0 and held[-1].column("anchor")[-1].as_py() != anchor[0] and sum(b.nbytes for b in held) >= SHARD:
+        if held and begin == 0 and held[-1].column("shard")[-1].as_py() != group[0] and sum(b.nbytes for b in held) >= SHARD:
             yield _solved(pa.Table.from_batches(held))
             held = []
         held.append(rest)
@@ -309,10 +371,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Byte ranges covered by windows that start earlier elsewhere."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int32()), ("at", pa.int64()), ("to", pa.int64())])
-    names = ("doc_id", "text_key", "start", "span", "first_doc", "first_start", "windows", "docs", "starts")
+    names = ("doc_id", "text_key", "start", "span", "at", "part", "first_doc", "first_start", "windows", "docs", "starts")
     for batch in batches:
         out = []
-        for doc, key, start, span, first_doc, first_start, windows, docs, starts in zip(*(batch.column(c).to_pylist() for c in names)):
+        for doc, key, start, span, at, part, first_doc, first_start, windows, docs, starts in zip(*(batch.column(c).to_pylist() for c in names)):
+            start, span = start + at, span if part is None else part
             later = (first_doc, first_start) < (doc, start)
             if not windows:
                 if later:
@@ -333,7 +396,12 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
-def repeated_spans(docs: DataFrame, bits: int | None = None) -> DataFrame:
+def _sorted_out(shards: DataFrame) -> DataFrame:
+    # shards hold whole groups
+    return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(_settle, _KIND)
+
+
+def repeated_spans(docs: DataFrame, bits: int | None = None, crowd: int = CROWD) -> DataFrame:
     """doc_id, text_key, at, to: byte ranges to remove; ranges may overlap."""
     rows = keyed(docs).where("doc_id IS NOT NULL")
     if bits is None:
@@ -344,7 +412,8 @@ def repeated_spans(docs: DataFrame, bits: int | None = None) -> DataFrame:
     path = scratch(docs.sparkSession, "contexts")
     distinct.select("anchor", "context", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")).write.parquet(path)
     distinct = docs.sparkSession.read.parquet(path)
-    many = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    many = kinds.where("kinds > 1").select("anchor")
     mixed = distinct.join(many, "anchor", "left_semi")
     alone = distinct.where("n > 1").join(many, "anchor", "left_anti")
     # the bytes of every distinct context, from its first place
@@ -353,10 +422,24 @@ def repeated_spans(docs: DataFrame, bits: int | None = None) -> DataFrame:
     first = rows.mapInArrow(*_contexts(repeated, wanted)).select("anchor", "context", F.col("doc_id").alias("first_doc"), F.col("start").alias("first_start"), "bytes")
     first = first.dropDuplicates(["anchor", "context", "first_doc", "first_start"])
     shards = mixed.join(first, ["anchor", "context", "first_doc", "first_start"]).select("anchor", "context", "n", "first_doc", "first_start", "bytes")
-    # shards hold whole anchors
-    solved = shards.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settle, _KIND)
+    settled = ["anchor", "context", "at", "part", "first_doc", "first_start", "windows", "docs", "starts"]
     none = [F.lit(None).cast(t).alias(c) for c, t in (("windows", "array<int>"), ("docs", "array<bigint>"), ("starts", "array<bigint>"))]
-    settled = solved.unionByName(alone.select("anchor", "context", "first_doc", "first_start", *none))
+    known = alone.select("anchor", "context", "first_doc", "first_start", *none).withColumns({"at": F.lit(0), "part": F.lit(None).cast("int")}).select(settled)
+    crowded = kinds.where(F.col("kinds") > crowd).select("anchor")
+    if not crowded.isEmpty():
+        path = scratch(docs.sparkSession, "shards")
+        shards.write.parquet(path)
+        shards = docs.sparkSession.read.parquet(path)
+        parts = parted(shards.join(crowded, "anchor", "left_semi"), crowd)
+        # a piece that many contexts have stands once
+        pieces = parts.groupBy("shard", "piece").agg(F.min(F.struct("first_doc", "first_start")).alias("first"), F.sum("n").alias("n"), F.first("bytes").alias("bytes"))
+        pieces = pieces.select("shard", F.col("piece").alias("context"), "n", F.col("first.first_doc").alias("first_doc"), F.col("first.first_start").alias("first_start"), "bytes")
+        found = parts.select("shard", F.col("piece").alias("context"), "anchor", "origin", "at", F.col("span").alias("part")).join(_sorted_out(pieces), ["shard", "context"])
+        known = known.unionByName(found.drop("context").withColumnRenamed("origin", "context").select(settled))
+        shards = shards.join(crowded, "anchor", "left_anti")
+    solved = _sorted_out(shards.withColumn("shard", F.col("anchor").cast("bigint")))
+    solved = solved.withColumns({"anchor": F.col("shard").cast("int"), "at": F.lit(0), "part": F.lit(None).cast("int")}).select(settled)
+    settled = solved.unionByName(known)
     places = rows.mapInArrow(*_contexts(repeated))
     return places.join(settled, ["anchor", "context"]).mapInArrow(_spans, "doc_id bigint, text_key int, at bigint, to bigint")
 
@@ -386,8 +469,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("doc_id").slice(i, j - i), *(pa.array(c, pa.int64()) for c in (total, gone, spans)), pa.array(digest), pa.array(left, pa.binary())], schema=schema)
 
 
-def dedup_bytes(docs: DataFrame, bits: int | None = None) -> DataFrame:
+def dedup_bytes(docs: DataFrame, bits: int | None = None, crowd: int = CROWD) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
-    found = repeated_spans(docs, bits).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "to")).alias("found"))
+    found = repeated_spans(docs, bits, crowd).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "to")).alias("found"))
     kind = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     return sketch.with_found(keyed(docs), found, _cut, kind)
