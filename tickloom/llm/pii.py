@@ -3,14 +3,13 @@
 Base spans (emails, IP addresses, cards, phone numbers) are found by patterns in every whole
 text; their normalised values are the protected entities. A term discloses an entity by their
 pointwise mutual information over documents, log2(N * n(e, t) / (n(e) * n(t))), as a share of
-the entity's own information log2(N / n(e)). n(e, t) counts documents where the term stands
-within ``NEAR`` words of the entity, n(t) all rows with the term, N all documents. Near an
-entity, terms above ``REMOVE`` are taken out and terms above ``GENERALISE`` are replaced by the
-class of their shape. A pair must occur in ``SUPPORT`` documents: a term next to an entity once
-says nothing about either.
+the entity's own information log2(N / n(e)). n(e, t) counts documents that hold both, wherever
+they stand, n(t) all rows with the term, N all documents. In every document, with the entity or
+without it, terms above ``REMOVE`` are taken out and terms above ``GENERALISE`` are replaced by
+the class of their shape. A pair must occur in ``SUPPORT`` documents.
 
-Documents without an entity are never changed. The terms to count are looked up through a
-bitmap of fixed size, so the scan sends only words that may be among them.
+Only terms that are rare enough for some entity to reach the threshold are paired. Terms are
+looked up through bitmaps of fixed size, so a scan sends only words that may be among them.
 
 Defined results: a null text is empty and has no spans; repeated rows count as one document
 where they share doc_id and text; a row without doc_id gets base spans and no terms.
@@ -20,12 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +41,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-NEAR = 5
+PAIRS = 100_000  # pairs a task sends at once
 SUPPORT = 2
 GENERALISE, REMOVE = 0.85, 0.95
 
@@ -106,53 +105,102 @@ def _term(word: str) -> tuple[str, int, int]:
     return word[left:right].lower(), left, right
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words around each span that touch no span."""
-    out = []
-    for start, kind, end in spans:
-        name = entity(kind, text[start:end])
-        before, cut = [], start
-        # words left of the span, one at a time
-        while len(before) < NEAR and cut > 0:
-            stop = cut
-            while stop > 0 and text[stop - 1] in " \t\n\v\f\r":
-                stop -= 1
-            first = stop
-            while first > 0 and text[first - 1] not in " \t\n\v\f\r":
-                first -= 1
-            if first == stop:
-                break
-            before.append((first, stop))
-            cut = first
-        after = []
-        for m in WORD.finditer(text, end):
-            after.append((m.start(), m.end()))
-            if len(after) == NEAR:
-                break
-        for s, e in before + after:
-            term, left, right = _term(text[s:e])
-            a, b = s + left, s + right
-            # spans of one kind do not overlap, so a handful of neighbours is enough to look at
-            k = bisect_left(spans, (b,))
-            if len(term) >= 3 and not any(a < q for _, _, q in spans[max(0, k - 8) : k]):
-                out.append((name, term, a, b))
-    return out
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of every word that touches no span."""
+    k, reach, free = 0, 0, len(spans)
+    for m in WORD.finditer(text):
+        term, left, right = _term(m.group())
+        if len(term) >= 3:
+            a, b = m.start() + left, m.start() + right
+            while k < free and spans[k][0] < b:
+                reach = max(reach, spans[k][2])
+                k += 1
+            if a >= reach:
+                yield term, a, b
 
 
 def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).to_pylist()
 
 
-_NEAR = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
-
-
-def _find_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with an entity: its names, and the distinct terms of the whole text."""
+    kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
     for batch in batches:
         rows = []
-        for doc, key, text in zip(*(_column(batch, c) for c in ("doc_id", "text_key", "text"))):
-            rows += [(doc, key, *t) for t in near_terms(text, base_spans(text))]
+        for doc, text in zip(*(_column(batch, c) for c in ("doc_id", "text"))):
+            if spans := base_spans(text):
+                rows.append((doc, sorted({entity(k, text[s:e]) for s, k, e in spans}), sorted({t for t, _, _ in free_terms(text, spans)})))
         if rows:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _NEAR)], schema=_NEAR)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "entities", "terms"])
+
+
+def _marked(table: Broadcast):
+    """Whether a term may be in a bitmap of terms, with the words seen remembered."""
+    import xxhash
+
+    bits, cells = table.value, 1 << sketch.MARK_BITS
+    known: dict[str, bool] = {}
+
+    def test(term: str) -> bool:
+        hit = known.get(term)
+        if hit is None:
+            if len(known) > 200_000:
+                known.clear()
+            cell = xxhash.xxh64_intdigest(term.encode(), 42) % cells
+            hit = known[term] = bool(bits[cell >> 5] >> np.uint32(cell & 31) & 1)
+        return hit
+
+    return test
+
+
+def _pairs(table: Broadcast):
+    """Entities and marked terms of a document, each with each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test, out = _marked(table), []
+
+        def flush() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))], names=["doc_id", "entity", "term"])
+
+        for batch in batches:
+            for doc, names, terms in zip(*(_column(batch, c) for c in ("doc_id", "entities", "terms"))):
+                terms = [t for t in terms if test(t)]
+                for name in names:
+                    out += [(doc, name, t) for t in terms]
+                    if len(out) >= PAIRS:
+                        yield flush()
+                        out.clear()
+        if out:
+            yield flush()
+
+    return run
+
+
+def _occurrences(table: Broadcast):
+    """Where marked terms stand in any document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = _marked(table)
+        words: dict[str, bool] = {}
+        for batch in batches:
+            rows = []
+            for doc, key, text in zip(*(_column(batch, c) for c in ("doc_id", "text_key", "text"))):
+                if len(words) > 200_000:
+                    words.clear()
+                hit = False
+                for word in set(WORD.findall(text)):
+                    may = words.get(word)
+                    if may is None:
+                        may = words[word] = test(_term(word)[0])
+                    hit |= may
+                if hit:
+                    rows += [(doc, key, *found) for found in free_terms(text, base_spans(text)) if test(found[0])]
+            if rows:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
 
 
 def _shape(term: str) -> str:
@@ -202,25 +250,37 @@ def _sanitise(carry: list[str]):
     return run
 
 
-def disclosures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, start, stop, share: term occurrences above the lower threshold."""
-    spark = docs.sparkSession
-    path = scratch(spark, "near-terms")
-    docs.where("doc_id IS NOT NULL").mapInArrow(_find_near, "doc_id bigint, text_key bigint, entity string, term string, start int, stop int").write.parquet(path)
-    near = spark.read.parquet(path)
-    pairs = near.select("doc_id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    n_e = near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    path = scratch(spark, "pairs")
-    pairs.join(n_e, "entity").write.parquet(path)
-    pairs = spark.read.parquet(path)
-    terms = pairs.select("term").distinct()
-    n_t = document_counts(docs, terms)
-    total = docs.select("doc_id").where("doc_id IS NOT NULL").agg(F.count_distinct("doc_id")).first()[0]
-    n = F.lit(float(max(total, 1)))
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def disclosing_terms(docs: DataFrame) -> DataFrame:
+    """term, share: the terms above the lower threshold, with their largest share of any entity."""
+    docs = docs.where("doc_id IS NOT NULL")
+    held = _stored(docs.mapInArrow(_find_entities, "doc_id bigint, entities array<string>, terms array<string>"), "entities")
+    n_e = _stored(held.select("doc_id", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e")), "entity-counts")
+    n_t = _stored(document_counts(docs, held.select(F.explode("terms").alias("term")).distinct()), "term-counts")
+    total = max(docs.agg(F.count_distinct("doc_id")).first()[0], 1)
+    n = F.lit(float(total))
+    # n(e, t) <= n(e), so a term above the threshold has n(t) <= n(e) * (N / n(e)) ** (1 - GENERALISE)
+    widest = n_e.agg(F.max(F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(1 - GENERALISE)))).first()[0] or 0.0
+    rare = n_t.where(F.col("n_t") <= widest * 1.001 + 1)
+    table = sketch.bitmap(F.xxhash64("term"), rare)
+    pairs = held.mapInArrow(_pairs(table), "doc_id bigint, entity string, term string")
+    pairs = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
     own = F.log2(n / F.col("n_e"))
     shared = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    known = pairs.join(n_t, "term").withColumn("share", F.when(own > 0, shared / own).otherwise(0.0)).where(F.col("share") >= GENERALISE)
-    return near.join(known.select("entity", "term", "share"), ["entity", "term"]).groupBy("doc_id", "text_key", "start", "stop").agg(F.max("share").alias("share"))
+    known = pairs.join(n_e, "entity").join(rare, "term").withColumn("share", F.when(own > 0, shared / own).otherwise(0.0))
+    return known.where(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"))
+
+
+def disclosures(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, start, stop, share: occurrences of disclosing terms in all documents."""
+    known = _stored(disclosing_terms(docs), "disclosing")
+    found = docs.where("doc_id IS NOT NULL").mapInArrow(_occurrences(sketch.bitmap(F.xxhash64("term"), known)), "doc_id bigint, text_key bigint, term string, start int, stop int")
+    return found.join(known, "term").select("doc_id", "text_key", "start", "stop", "share").distinct()
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
