@@ -118,13 +118,20 @@ def test_disclosing_terms_in_whole_documents(spark):
     rows = [(i, f"plain words {far} {i}") for i in range(40)]
     rows += [(100 + i, f"zanzibar stands {far} away from 10.1.2.3 today {i}") for i in range(3)]
     # the term six words from no entity at all, twice, and against a span of another kind
-    rows += [(200, f"a (Zanzibar) {far} again zanzibar; me@zanzibar.org zanzibar")]
+    rows += [(200, f"a (Zanzibar) {far} one zanzibar; me@zanzibar.org zanzibar")]
     out = {r.doc_id: r for r in pii.sanitise(frame(spark, rows).repartition(3)).collect()}
     assert all("zanzibar" not in out[i].clean_text.lower() for i in (100, 101, 102, 200))
     assert out[200].clean_text.startswith("a ([word]) one") and out[200].n_term == 3
     assert out[5].clean_text == rows[5][1]
 
 
+def test_entity_of_one_document_has_terms(spark):
+    rows = [(i, f"plain words here and there {i % 5}") for i in range(60)] + [(100, "plain words of qaanaaq to a.b@c.org here"), (101, "plain words here")]
+    out = {r.doc_id: r for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert out[100].n_term == 1 and out[100].clean_text == "plain words of [word] to [email] here"
+    assert out[5].clean_text == rows[5][1] and out[101].n_term == 0
+
+
 def test_quality_base(awkward, spark):
     rows, df = awkward
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -6,7 +6,8 @@ pointwise mutual information over documents, log2(N * n(e, t) / (n(e) * n(t))),
 the entity's own information log2(N / n(e)). n(e, t) counts documents that hold both, wherever
 they stand, n(t) all rows with the term, N all documents. In every document, with the entity or
 without it, terms above ``REMOVE`` are taken out and terms above ``GENERALISE`` are replaced by
-the class of their shape. A pair must occur in ``SUPPORT`` documents.
+the class of their shape. n(e, t) / n(t) is smoothed by ``PRIOR`` documents that hold the entity
+at its rate in the corpus, so what stands in one document counts, but less than what stands in many.
 
 Only terms that are rare enough for some entity to reach the threshold are paired. Terms are
 looked up through bitmaps of fixed size, so a scan sends only words that may be among them.
@@ -42,7 +43,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 PAIRS = 100_000  # pairs a task sends at once
-SUPPORT = 2
+PRIOR = 0.5
 GENERALISE, REMOVE = 0.85, 0.95
 
 
@@ -264,14 +265,15 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     n_t = _stored(document_counts(docs, held.select(F.explode("terms").alias("term")).distinct()), "term-counts")
     total = max(docs.agg(F.count_distinct("doc_id")).first()[0], 1)
     n = F.lit(float(total))
-    # n(e, t) <= n(e), so a term above the threshold has n(t) <= n(e) * (N / n(e)) ** (1 - GENERALISE)
+    # n(e, t) <= n(e), so a term above the threshold has n(t) <= n(e) * (N / n(e)) ** (1 - GENERALISE); smoothing only lowers a positive share
     widest = n_e.agg(F.max(F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(1 - GENERALISE)))).first()[0] or 0.0
     rare = n_t.where(F.col("n_t") <= widest * 1.001 + 1)
     table = sketch.bitmap(F.xxhash64("term"), rare)
     pairs = held.mapInArrow(_pairs(table), "doc_id bigint, entity string, term string")
-    pairs = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
+    pairs = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     own = F.log2(n / F.col("n_e"))
-    shared = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    rate = F.col("n_e") / n
+    shared = F.log2((F.col("n_et") + PRIOR * rate) / ((F.col("n_t") + PRIOR) * rate))
     known = pairs.join(n_e, "entity").join(rare, "term").withColumn("share", F.when(own > 0, shared / own).otherwise(0.0))
     return known.where(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"))
 
