@@ -210,6 +210,30 @@ def test_held_out_accuracy(spark, name, label):
     assert right / n > 0.95 and 0 <= low and high <= 1
 
 
+def test_training_reads_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(byte_cnn, "train", lambda texts, y: seen.extend(zip((len(t) for t in texts), y)))
+    docs = spark.createDataFrame([(i, "x" * (9000 * (i % 3) + i)) for i in range(1, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    byte_cnn.fit(docs, labels)
+    assert set(seen) == {(9000 * (i % 3) + i, i % 2) for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5}
+    del seen[:]
+    byte_cnn.fit(docs, labels, limit_bytes=30_000)
+    assert {y for _, y in seen} == {0, 1} and all(n in {9000 * (i % 3) + i for i in range(1, 40)} for n, _ in seen)
+
+
+def test_training_features_equal_scoring(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = byte_cnn.Model(rng.normal(0, 1, (byte_cnn.WIDTH, 256, byte_cnn.FILTERS)).astype(np.float32), np.zeros(byte_cnn.FILTERS, np.float32), np.zeros(25, np.float32))
+    for piece in (256, byte_cnn.PIECE):
+        monkeypatch.setattr(byte_cnn, "PIECE", piece)
+        for n in (1, 5, 127, 128, 129, 256, 257, 512, 1000):
+            text = rng.integers(1, 256, n).astype(np.uint8)
+            _, chunk = byte_cnn._peaks(np.concatenate([text, np.zeros(8, np.uint8)]), n, model)
+            want = byte_cnn.features(text, np.array([0, n]), model)[0]
+            assert np.allclose(np.concatenate([chunk.mean(axis=0), chunk.max(axis=0)]), want, rtol=1e-5)
+
+
 def test_classifiers_without_labels(awkward, spark):
     _, df = awkward
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -4,8 +4,9 @@ Filters of ``WIDTH`` bytes slide over the whole text. Their rectified outputs ar
 chunks of two blocks that overlap by one, so every byte is in a chunk and no chunk edge hides a
 pattern; the mean and the maximum of the chunk features over the document give one probability.
 
-Training reads at most ``SAMPLE`` labelled texts outside the held-out fold, in hash order, and of
-a long one ``EXCERPTS`` blocks spread over its whole length. Scoring reads every byte.
+Training reads whole texts: the first labelled ones outside the held-out fold in hash order, at
+most ``SAMPLE`` and as many as fit into ``SAMPLE_BYTES``, but one of each class at least. Features
+are taken over the same chunks as in scoring. Scoring reads every byte.
 
 Defined results: a null or empty text has zero features and gets the probability of the constant
 term; without labels, or with one class only, every score is 0.5; repeated rows score alike.
@@ -21,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from . import textops as tx
 from .toxicity import training_rows
 
 SAMPLE = 4_000
-EXCERPTS, EXCERPT = 12, 256
+SAMPLE_BYTES = 1 << 26
 WIDTH, FILTERS = 5, 12
 BLOCK = 128
 EPOCHS, RATE, BATCH = 8, 0.01, 64
@@ -92,6 +94,30 @@ def features(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
     return out
 
 
+def _peaks(full: np.ndarray, size: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Per chunk and filter the place of the largest output and its value, over a text of ``size`` bytes with its padding."""
+    places, peaks, step = [], [], PIECE // BLOCK * BLOCK
+    last = (size - 1) // BLOCK * BLOCK
+    for begin in range(0, last + 1, step):
+        # the last block takes the padding along
+        end = begin + step if begin + step <= last else size + WIDTH - 1
+        values = convolve(full[begin : end + WIDTH - 1], model)[: end - begin]
+        whole = min(begin + step, last) - begin
+        if whole:
+            blocks = values[:whole].reshape(-1, BLOCK, FILTERS)
+            places.append(blocks.argmax(axis=1) + (begin + np.arange(0, whole, BLOCK))[:, None])
+            peaks.append(blocks.max(axis=1))
+        if end > last + BLOCK or end > size:
+            places.append(values[whole:].argmax(axis=0)[None, :] + begin + whole)
+            peaks.append(values[whole:].max(axis=0)[None, :])
+    place, peak = np.concatenate(places), np.concatenate(peaks)
+    after = peak[1:] > peak[:-1]
+    joined_place, joined_peak = place.copy(), peak.copy()
+    joined_place[:-1] = np.where(after, place[1:], place[:-1])
+    joined_peak[:-1] = np.where(after, peak[1:], peak[:-1])
+    return joined_place, joined_peak
+
+
 def _train_step(texts: list[np.ndarray], y: np.ndarray, model: Model) -> tuple[list[np.ndarray], float]:
     """Gradients of the log loss on a batch; pooling passes them to one byte per chunk and filter."""
     grads = [np.zeros_like(model.table), np.zeros_like(model.bias), np.zeros_like(model.out)]
@@ -99,21 +125,18 @@ def _train_step(texts: list[np.ndarray], y: np.ndarray, model: Model) -> tuple[l
     for text, label in zip(texts, y):
         if not len(text):
             continue
-        values = convolve(text, model)
-        edges = np.arange(0, len(text), BLOCK)
-        spans = [(int(s), int(min(s + 2 * BLOCK, len(text)))) for s in edges]
-        best = np.array([s + values[s:e].argmax(axis=0) for s, e in spans])
-        chunk = np.take_along_axis(values, best, axis=0)
+        # as in scoring, the padding behind a text counts
+        full = np.concatenate([text, np.zeros(2 * (WIDTH - 1), np.uint8)])
+        best, chunk = _peaks(full, len(text), model)
         top = chunk.argmax(axis=0)
         feat = np.concatenate([chunk.mean(axis=0), chunk.max(axis=0), [1.0]])
         p = 1 / (1 + np.exp(-np.clip(feat @ model.out, -30, 30)))
         loss -= np.log(max(p if label else 1 - p, 1e-9))
         err = p - label
         grads[2] += err * feat
-        back = np.repeat((err * model.out[:FILTERS] / len(spans))[None, :], len(spans), axis=0)
+        back = np.repeat((err * model.out[:FILTERS] / len(best))[None, :], len(best), axis=0)
         back[top, np.arange(FILTERS)] += err * model.out[FILTERS : 2 * FILTERS]
         back *= chunk > 0
-        full = np.concatenate([text, np.zeros(WIDTH - 1, np.uint8)])
         filters = np.broadcast_to(np.arange(FILTERS), best.shape)
         for k in range(WIDTH):
             np.add.at(grads[0][k], (full[best + k], filters), back)
@@ -144,30 +167,25 @@ def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: in
     return model
 
 
-def excerpt(text: bytes) -> np.ndarray:
-    data = np.frombuffer(text, np.uint8)
-    if len(data) <= EXCERPTS * EXCERPT:
-        return data
-    starts = np.linspace(0, len(data) - EXCERPT, EXCERPTS).astype(np.int64)
-    return np.concatenate([data[s : s + EXCERPT] for s in starts])
-
-
-def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cut = [excerpt(t.encode()).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.record_batch([batch.column("mark"), batch.column("label").cast(pa.int32()), pa.array(cut, pa.binary())], names=["mark", "label", "cut"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, limit_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model, or None where the labels have one class only.
 
-    What reaches the driver is bounded by ``limit`` excerpts of ``EXCERPTS * EXCERPT`` bytes.
+    What reaches the driver is bounded by ``limit`` texts and ``limit_bytes``, or one text of each class if those are longer.
     """
-    rows = training_rows(docs, labels, "quality", limit).mapInArrow(_excerpts, "mark bigint, label int, cut binary").orderBy("mark").toArrow()
-    y = rows.column("label").to_numpy().astype(float)
-    if not len(y) or y.min() == y.max():
+    path = scratch(docs.sparkSession, "training")
+    training_rows(docs, labels, "quality", limit).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    sizes = rows.select("mark", F.col("label").cast("int").alias("label"), F.octet_length("text").alias("size")).orderBy("mark").toArrow()
+    mark, label, size = (sizes.column(c).to_numpy() for c in ("mark", "label", "size"))
+    if not len(label) or label.min() == label.max():
         return None
-    return train([np.frombuffer(c, np.uint8) for c in rows.column("cut").to_pylist()], y)
+    use = np.cumsum(size, dtype=np.int64) <= limit_bytes
+    use[[np.flatnonzero(label == c)[0] for c in np.unique(label)]] = True
+    wanted = mark[use].tolist()
+    rows = rows.where(F.col("mark").isin(wanted)) if len(wanted) < len(mark) else rows
+    rows = rows.orderBy("mark").select(F.col("label").cast("int").alias("label"), F.encode("text", "UTF-8").alias("bytes")).toArrow()
+    texts = [np.frombuffer(t.as_buffer(), np.uint8) for t in rows.column("bytes")]
+    return train(texts, rows.column("label").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
