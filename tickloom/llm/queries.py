@@ -1,4 +1,4 @@
-"""One query per operator over its whole table, and the SQL that must give the same rows.
+"""One query per operator over its whole table, and SQL for those that it can express.
 
 Operators keep their own outputs (texts, spans, files); the queries derive digest columns.
 """
@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, decontaminate, pieces, pii, quality_rules, setsketch, shards, substrings, suffixes, toxicity
+from . import byte_cnn, decontaminate, pieces, pii, quality_rules, runs, setsketch, shards, substrings, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +86,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("bigint").alias("n_items"), "items")
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.word_runs(table(spark, sf_dir, "documents"), reading=runs.planted, texts=False).drop("runs", "n_words")
