@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, decontaminate, pieces, pii, quality_rules, runs, setsketch, shards, substrings, suffixes, toxicity
+from . import byte_cnn, decontaminate, masks, pieces, pii, quality_rules, runs, setsketch, shards, substrings, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.word_runs(table(spark, sf_dir, "documents"), reading=runs.planted, texts=False).drop("runs", "n_words")
+
+
+_SPLIT = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op12_ranked_search",
+    f"""
+    WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_SPLIT} AS words FROM documents WHERE text IS NOT NULL),
+    terms AS (SELECT row, doc_id, len(words) AS n, unnest(words) AS term FROM docs),
+    tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM terms GROUP BY ALL),
+    corpus AS (SELECT count(*) AS n_docs, sum(len(words))::BIGINT AS total FROM docs WHERE len(words) > 0),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    wanted AS (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL),
+    items AS (SELECT DISTINCT item_id, text, unnest({_SPLIT}) AS term FROM wanted),
+    scored AS (
+        SELECT items.item_id, items.text, tf.row, tf.doc_id,
+            sum(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total))))::BIGINT AS score
+        FROM items JOIN tf USING (term) JOIN df USING (term) CROSS JOIN corpus GROUP BY ALL),
+    ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
