@@ -269,23 +269,43 @@ def _wire_json(spark, sf):
     return log.withColumn("_head", head).select("log_id", F.when(n % 17 == 0, col("_head")).otherwise(body).alias("value"))
 
 
+_WIRE_COLUMNS = """event_id, 'solana' AS chain, protocol, event_type, CASE WHEN log_id % 10 = 0 THEN '' ELSE 'processed' END AS commitment, slot, tx_signature, tx_index,
+      CASE WHEN log_id % 11 = 0 THEN NULL WHEN inner_index IS NULL THEN 'outer' ELSE 'inner' END AS source,
+      CASE WHEN log_id % 11 = 0 THEN NULL ELSE outer_index END AS outer_index, CASE WHEN log_id % 11 = 0 THEN NULL ELSE inner_index END AS inner_index,
+      event_source, event_unix_ts, ref_mint AS mint,
+      CASE WHEN log_id % 17 <> 0 AND event_type IN ('trade', 'swap') THEN CASE WHEN event_type = 'swap' THEN swap_side ELSE side END END AS side,
+      CASE WHEN log_id % 11 = 0 THEN 'instruction path missing' WHEN log_id % 17 = 0 THEN 'unsupported payload' END AS error"""
+
+
+def _wire_view(out):
+    path = col("instruction_path")
+    there = path["source"].isNotNull() & (F.coalesce(col("error"), F.lit("")) != "instruction path missing")
+    return out.select(
+        "event_id", "chain", "protocol", "event_type", "commitment", "slot", "tx_signature", "tx_index", F.when(there, path["source"]).alias("source"),
+        F.when(there, path["outer_index"]).alias("outer_index"), path["inner_index"].alias("inner_index"), "event_source", "event_unix_ts",
+        col("refs.mint").alias("mint"), F.get_json_object("payload", "$.side").alias("side"), "error",
+    )
+
+
+@query("read_json_events", f"SELECT {_WIRE_COLUMNS} FROM chain_log", ["chain_log"])
+def read_json_events(spark, sf):
+    return _wire_view(wire.read_json_events(_wire_json(spark, sf)))
+
+
 @query(
     "read_proto_events",
-    """
-    SELECT event_id, 'solana' AS chain, protocol, event_type, CASE WHEN log_id % 10 = 0 THEN '' ELSE 'processed' END AS commitment, slot,
-      CASE WHEN log_id % 11 = 0 THEN '' WHEN inner_index IS NULL THEN 'outer' ELSE 'inner' END AS source, event_source, ref_mint AS mint,
-      CASE WHEN log_id % 17 <> 0 AND event_type IN ('trade', 'swap') THEN CASE WHEN event_type = 'swap' THEN swap_side ELSE side END END AS side,
-      CASE WHEN log_id % 11 = 0 THEN 'instruction path missing' WHEN log_id % 17 = 0 THEN 'unsupported payload' END AS error
-    FROM chain_log
+    f"""
+    , wire AS (SELECT log_id, {_WIRE_COLUMNS} FROM chain_log WHERE log_id % 13 <> 0)
+    SELECT * EXCLUDE (log_id) FROM wire
+    UNION ALL BY NAME SELECT 'malformed message' AS error FROM chain_log WHERE log_id % 13 = 0
     """,
     ["chain_log"],
 )
 def read_proto_events(spark, sf):
-    out = wire.read_json_events(_wire_json(spark, sf))
-    return out.select(
-        "event_id", "chain", "protocol", "event_type", "commitment", "slot", col("instruction_path.source").alias("source"), "event_source",
-        col("refs.mint").alias("mint"), F.get_json_object("payload", "$.side").alias("side"), "error",
-    )
+    """The same messages in binary form, some of them cut off; unknown enumerations and missing paths among them."""
+    sent = E.to_messages(_wire_json(spark, sf), wire.envelope_message())
+    cut = F.when(col("log_id") % 13 == 0, F.substring("value", F.lit(1), F.length("value") - 1)).otherwise(col("value"))
+    return _wire_view(wire.read_proto_events(sent.withColumn("value", cut)))
 
 
 @query("write_by_subject", "SELECT 'solana.tracked.' || protocol || '.' || event_type AS subject, count(*) AS n, sum(log_id)::BIGINT AS ids FROM chain_log GROUP BY 1", ["chain_log"])

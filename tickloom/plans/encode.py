@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import CURVE_PROGRAM, TOKEN_PROGRAM
 from ..operators.decode import ALPHABET, EVENT_LAYOUTS, INSTRUCTION_LAYOUTS, SIZES
 from ..sources import layouts as L
+from ..sources.messages import SPAN, VARINT, Message, wire_type
 from . import bindings as B
 
 col = F.col
@@ -146,3 +152,43 @@ def tx_views(spark: SparkSession, sf: str) -> DataFrame:
         F.filter(groups, lambda g: g.instructions.isNotNull()).alias("inner_instruction_groups"),
         F.flatten(F.transform("xs", lambda r: r.x.lines)).alias("log_messages"),
     )
+
+
+# --- binary messages ----------------------------------------------------------------
+
+
+def varint(number: int) -> bytes:
+    number &= (1 << 64) - 1
+    out = bytearray()
+    while number > 127:
+        out.append(number & 127 | 128)
+        number >>= 7
+    return bytes(out) + bytes([number])
+
+
+def message_bytes(value: dict, kind: Message) -> bytes:
+    """The wire form of a nested dict: fields that are null are left out, and untracked zeros, too."""
+    out = bytearray()
+    for f in kind.fields:
+        held = value.get(f.name)
+        if held is None or not f.tracked and not held:
+            continue
+        if wire_type(f) == VARINT:
+            out += varint(f.number << 3 | VARINT) + varint(int(held))
+            continue
+        body = message_bytes(held, f.message) if f.message is not None else held.encode()
+        out += varint(f.number << 3 | SPAN) + varint(len(body)) + body
+    return bytes(out)
+
+
+def to_messages(df: DataFrame, kind: Message, column: str = "value") -> DataFrame:
+    """JSON text in ``column`` as binary messages; other columns stay."""
+    schema = T.StructType([f if f.name != column else T.StructField(column, T.BinaryType()) for f in df.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = pa.array([message_bytes(json.loads(x), kind) for x in batch.column(column).to_pylist()], pa.binary())
+            columns = [body if c == column else batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return df.mapInArrow(run, schema)
