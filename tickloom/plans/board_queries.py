@@ -293,9 +293,9 @@ def _feed(name: str, mode: str):
     @query(
         name,
         f"""
-        , page AS (SELECT event_id, log_id, 'page' AS src FROM chain_log WHERE log_id <= {B.position_sql(6)} AND log_id % 2 = 0),
-        live AS (SELECT event_id, log_id, 'live' AS src FROM chain_log WHERE log_id % 3 = 0
-          UNION ALL SELECT event_id, log_id + 2 * {B.position_sql(10)}, 'live' FROM chain_log WHERE log_id % 10 = 0)
+        , page AS (SELECT event_id, log_id, 'page' AS src FROM chain_log WHERE log_id <= {B.position_sql(6)}),
+        live AS (SELECT event_id, log_id, 'live' AS src FROM chain_log WHERE log_id > {B.position_sql(4)}
+          UNION ALL SELECT event_id, log_id + 2 * {B.position_sql(10)}, 'live' FROM chain_log WHERE log_id > {B.position_sql(8)})
         SELECT event_id, log_id, src, CASE WHEN src = '{wins}' THEN 0 ELSE 1 END::BIGINT AS part
         FROM (SELECT * FROM page UNION ALL SELECT * FROM live WHERE log_id > {B.position_sql(5)})
         QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY src = '{wins}' DESC, {'-' if mode == 'prepend' else ''}log_id) = 1
@@ -303,11 +303,12 @@ def _feed(name: str, mode: str):
         ["chain_log"],
     )
     def run(spark, sf):
+        """A page and the live rows overlap, and the newest live rows come again: every row takes part."""
         log = B.chain_log(spark, sf).select("event_id", "log_id")
-        half, most, top = (B.position(spark, sf, t) for t in (5, 6, 10))
-        page = log.where((col("log_id") <= most) & (col("log_id") % 2 == 0)).withColumn("src", F.lit("page"))
-        again = log.where("log_id % 10 = 0").withColumn("log_id", col("log_id") + 2 * top)
-        live = log.where("log_id % 3 = 0").unionByName(again).withColumn("src", F.lit("live"))
+        early, half, most, late, top = (B.position(spark, sf, t) for t in (4, 5, 6, 8, 10))
+        page = log.where(col("log_id") <= most).withColumn("src", F.lit("page"))
+        again = log.where(col("log_id") > late).withColumn("log_id", col("log_id") + 2 * top)
+        live = log.where(col("log_id") > early).unionByName(again).withColumn("src", F.lit("live"))
         return G.feed_merge(page, live, half, mode)
 
 

@@ -192,6 +192,36 @@ def seeded(spark, sf):
     return _rolled(spark, live, points.where(col("insert_seq") < cut))
 
 
+AGE, AGE_DELAY = {"1h": 3600, "6h": 21600}, 86400
+
+
+def _aged_sql(windows: dict[str, int], delay: int) -> str:
+    cols = ["t.asset_id", "t.as_of", "arg_max(close_price, second) AS latest_price"]
+    for n, w in windows.items():
+        inside = f"second > as_of - {w} AND close_price <> 0"
+        cols.append(f"arg_min(open_price, second) FILTER ({inside}) AS anchor_price_{n}")
+        cols += [f"CAST(coalesce(sum({c}) FILTER ({inside}), 0) AS BIGINT) AS {c}_{n}" for c in ("buys", "sells")]
+        cols += [f"round(coalesce(sum({c}) FILTER ({inside}), 0), 9) AS {c}_{n}" for c in M.VOLUMES]
+    spans = ", ".join(f"({w})" for w in windows.values())
+    return _roll_sql(windows).split("newest AS")[0] + f"""
+    ticks AS (SELECT DISTINCT asset_id, second + w AS as_of FROM seconds, (VALUES {spans}) AS spans(w), (SELECT max(second) AS top FROM seconds)
+      WHERE close_price <> 0 AND second + w < top - {delay})
+    SELECT {', '.join(cols)} FROM ticks t JOIN seconds s ON s.asset_id = t.asset_id AND s.second <= t.as_of GROUP BY ALL
+    """
+
+
+@query("metrics_stream_ageing", POINTS + _aged_sql(AGE, AGE_DELAY), ["ev_trades", "ev_meta"])
+def ageing(spark, sf):
+    """Every time at which a trade leaves a window, between batches and while an asset is idle."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    points = M.priced_points(B.ev_trades(spark, sf), B.ev_meta(spark, sf))
+    out = metrics_stream(as_stream(spark, points, "insert_seq", _cuts(spark, sf)), AGE, delay=f"{AGE_DELAY} seconds", ageing=True)
+    path = scratch(spark, "aged")
+    upsert_stream(out, path, scratch(spark, "checkpoint"))
+    rows = VersionedTable(path).all(spark).where("final").drop("final", "v")
+    return rounded(rows, *(f"{c}_{n}" for c in M.VOLUMES for n in AGE))
+
+
 @query("replay_then_live", "SELECT log_id, event_id FROM chain_log, (SELECT max(event_id) AS top FROM events) WHERE log_id > 500", ["chain_log"])
 def replay_then_live(spark, sf):
     """The stored log and the live files overlap; each row after the cursor comes once."""

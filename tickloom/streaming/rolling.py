@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,8 +63,8 @@ def second_partials(points: DataFrame, side_mode: str = "reference_live") -> Dat
     return rows.mapInPandas(_partials, PARTIAL)
 
 
-def output_schema(windows: Mapping[str, int]) -> str:
-    cols = ["asset_id string", "as_of long", "latest_price double"]
+def output_schema(windows: Mapping[str, int], ageing: bool = False) -> str:
+    cols = ["asset_id string", "as_of long", "latest_price double"] + ["final boolean"] * ageing
     for n in windows:
         cols += [f"anchor_price_{n} double", f"buys_{n} long", f"sells_{n} long"]
         cols += [f"{c}_{n} double" for c in ("volume", "buy_volume", "sell_volume")]
@@ -73,22 +74,36 @@ def output_schema(windows: Mapping[str, int]) -> str:
 class RollingMetrics(StatefulProcessor):
     """Keeps the seconds of the longest window and emits the windows of changed assets.
 
-    Windows end at the newest second seen for the asset. A second that arrives late is
+    Windows of a batch end at the newest second seen for the asset. A second that arrives late is
     added to its own bucket, never over a newer one.
+
+    With ``ageing``, every second that leaves a window emits too, an idle asset's last ones included: a timer
+    stands at the next such time, and when the watermark has passed it, one row per time up to the
+    watermark is given. No row of that time can come any more, so these rows are final, however the
+    input was cut into batches. State then reaches back from the watermark instead of the newest second.
     """
 
-    def __init__(self, windows: Mapping[str, int], ttl: int = STATE_TTL):
-        self.windows, self.ttl = dict(windows), ttl
+    def __init__(self, windows: Mapping[str, int], ttl: int = STATE_TTL, ageing: bool = False):
+        self.windows, self.ttl, self.ageing = dict(windows), ttl, ageing
+        self.span = max(self.windows.values())
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seconds = handle.getMapState("seconds", "second long", SECOND)
         self.newest = handle.getValueState("newest", "second long")
+        # the last time for which windows were given as final
+        self.final = handle.getValueState("final", "second long")
+
+    def _edge(self, newest: int) -> int:
+        """Seconds up to this one are in no window that is still to be given."""
+        if not self.ageing:
+            return newest - self.span
+        return (min(newest, self.final.get()[0]) if self.final.exists() else -(2**62)) - self.span
 
     def _merge(self, rows: pd.DataFrame) -> int:
         newest = self.newest.get()[0] if self.newest.exists() else -1
         newest = max(newest, int(rows.second.max()))
-        edge = newest - max(self.windows.values())
+        edge = self._edge(newest)
         for row in combine(rows).itertuples():
             key = (int(row.second),)
             if row.second <= edge:
@@ -102,6 +117,48 @@ class RollingMetrics(StatefulProcessor):
         self.newest.update((newest,))
         return newest
 
+    def _held(self, edge: int) -> pd.DataFrame:
+        """The seconds in order; those up to ``edge`` go, but for the last, which has the latest price."""
+        held = sorted((k[0], *v) for k, v in self.seconds.iterator())
+        old = [row for row in held if row[0] <= edge]
+        if not self.ageing:
+            held = held[len(old) :]
+        else:
+            held, old = held[max(len(old) - 1, 0) :], old[:-1]
+        for row in old:
+            self.seconds.removeKey((row[0],))
+        return pd.DataFrame(held, columns=["second", *FIELDS])
+
+    def _windows(self, asset: str, table: pd.DataFrame, times: list[int], final: bool = False) -> pd.DataFrame:
+        """The windows that end at each of some times."""
+        second, close = table.second.to_numpy(), table.close_price.to_numpy()
+        live = table[table.close_price != 0]
+        at, opened = live.second.to_numpy(), live.open_price.to_numpy()
+        sums = {c: live[c].to_numpy() for c in ("buys", "sells", "volume", "buy_volume", "sell_volume")}
+        stop, out = np.searchsorted(at, times, "right"), []
+        for t, b, last in zip(times, stop.tolist(), np.searchsorted(second, times, "right").tolist()):
+            row = {"asset_id": asset, "as_of": t, "latest_price": close[last - 1] if last else None} | ({"final": final} if self.ageing else {})
+            for name, span in self.windows.items():
+                a = int(np.searchsorted(at, t - span, "right"))
+                row[f"anchor_price_{name}"] = opened[a] if a < b else None
+                row |= {f"{c}_{name}": v[a:b].sum() for c, v in sums.items()}
+            out.append(row)
+        return pd.DataFrame(out)
+
+    def _changes(self, table: pd.DataFrame, after: int, before: float) -> list[int]:
+        """The times after one and before another at which a second leaves a window."""
+        at = table.second.to_numpy()[table.close_price.to_numpy() != 0]
+        found = np.unique(np.concatenate([at + span for span in self.windows.values()]))
+        return found[(found > after) & (found < before)].tolist()
+
+    def _set_timer(self, table: pd.DataFrame, newest: int) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        ahead = [newest + self.ttl]
+        if self.ageing:
+            ahead += self._changes(table, self.final.get()[0] if self.final.exists() else -(2**62), np.inf)[:1]
+        self.handle.registerTimer(min(ahead) * 1000)
+
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Seconds of the history, loaded once before the asset's first live row."""
         if len(initialState):
@@ -109,28 +166,24 @@ class RollingMetrics(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest = self._merge(pd.concat(list(rows), ignore_index=True))
-        edge = newest - max(self.windows.values())
-        held = [(k[0], v) for k, v in self.seconds.iterator()]
-        for second, _ in held:
-            if second <= edge:
-                self.seconds.removeKey((second,))
-        table = pd.DataFrame([(s, *v) for s, v in held if s > edge], columns=["second", *FIELDS]).sort_values("second")
-        out = {"asset_id": key[0], "as_of": newest, "latest_price": table.close_price.iloc[-1]}
-        live = table[table.close_price != 0]
-        for name, span in self.windows.items():
-            part = live[live.second > newest - span]
-            out[f"anchor_price_{name}"] = part.open_price.iloc[0] if len(part) else None
-            for c in ("buys", "sells", "volume", "buy_volume", "sell_volume"):
-                out[f"{c}_{name}"] = part[c].sum()
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((newest + self.ttl) * 1000)
-        yield pd.DataFrame([out])
+        table = self._held(self._edge(newest))
+        self._set_timer(table, newest)
+        yield self._windows(key[0], table, [newest])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seconds.clear()
-        self.newest.clear()
-        return iter(())
+        newest, passed = self.newest.get()[0], timerValues.getCurrentWatermarkInMs() / 1000
+        if self.ageing:
+            table = self._held(self._edge(newest))
+            times = self._changes(table, self.final.get()[0] if self.final.exists() else -(2**62), passed)
+            if times:
+                yield self._windows(key[0], table, times, True)
+            self.final.update((int(np.ceil(passed)) - 1,))
+        if newest + self.ttl < passed or not self.ageing:
+            self.seconds.clear()
+            self.newest.clear()
+            self.final.clear()
+        else:
+            self._set_timer(self._held(self._edge(newest)), newest)
 
     def close(self) -> None:
         pass
@@ -142,18 +195,22 @@ def metrics_stream(
     history: DataFrame | None = None,
     delay: str = "1 hour",
     side_mode: str = "reference_live",
+    ageing: bool = False,
+    ttl: int = STATE_TTL,
 ) -> DataFrame:
     """Windows of every asset that changed, per batch.
 
-    ``history`` (priced points before the stream) seeds the state once.
+    ``history`` (priced points before the stream) seeds the state once. With ``ageing`` there is
+    also a row marked ``final`` for each time at which a second leaves a window, once the watermark (the newest
+    event less ``delay``) has passed it. An asset without a trade for ``ttl`` seconds is dropped.
     """
     partials = second_partials(points, side_mode).withWatermark("event_time", delay)
     seed = None
     if history is not None:
         seed = second_partials(history, side_mode).groupBy("asset_id")
     return partials.groupBy("asset_id").transformWithStateInPandas(
-        statefulProcessor=RollingMetrics(windows),
-        outputStructType=output_schema(windows),
+        statefulProcessor=RollingMetrics(windows, ttl, ageing),
+        outputStructType=output_schema(windows, ageing),
         outputMode="Update",
         timeMode="EventTime",
         initialState=seed,
