@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import LATENCY_BOUNDS
+from ..functions.display import bucket_start
 from ..operators import metrics as M
 from ..operators import ops as O
 from ..session import scratch
+from ..operators import candles as C
+from ..streaming import bars as T
 from ..streaming import pipelines as S
 from ..streaming.rolling import metrics_stream
 from ..streaming.tables import VersionedTable, drain, latest_rows, upsert_stream
@@ -147,6 +150,48 @@ def late_trades(spark, sf):
     return VersionedTable(f"{path}/dirty").all(spark).select("asset_id", "bucket").distinct()
 
 
+SIZES, BAR_DELAY = (60, 300, 3600), 3600
+
+
+def _closed_bars() -> str:
+    """Bars of every size that end before the newest event less the delay."""
+    parts = []
+    for size in SIZES:
+        parts.append(f"SELECT {size} AS size, * FROM ({_bars('ev_trades', size)}) WHERE make_timestamp((bucket + {size}) * 1000000) <= (SELECT max(event_time) FROM ev_trades WHERE token_amount_raw <> 0) - INTERVAL {BAR_DELAY} SECOND")
+    return " UNION ALL BY NAME ".join(parts)
+
+
+@query("candle_stream_rollups", ", closed AS (" + _closed_bars() + ") SELECT * FROM closed", ["ev_trades"])
+def candle_stream_rollups(spark, sf):
+    """Three sizes from one stream, stopped after half of the files and started again."""
+    trades, cuts = B.ev_trades(spark, sf), _cuts(spark, sf)
+    source, path, checkpoint = scratch(spark, "source"), scratch(spark, "bars"), scratch(spark, "checkpoint")
+    table = VersionedTable(path)
+    files = spark.sparkContext.defaultParallelism
+    for low, high in ((None, cuts[1]), (cuts[1], None)):
+        part = trades if low is None else trades.where(col("insert_seq") >= low)
+        (part if high is None else part.where(col("insert_seq") < high)).repartition(files).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", files).parquet(source)
+        rolled = S.rollup_stream(stream, SIZES, f"{BAR_DELAY} seconds")
+        drain(rolled.writeStream.outputMode("append").foreachBatch(lambda df, i: table.write(df, i)), checkpoint)
+    return table.all(spark).drop("v")
+
+
+@query("late_trades_reloaded", _bars("ev_trades", 3600), ["ev_trades"])
+def late_trades_reloaded(spark, sf):
+    """Stored bars without the late trades; after the reload they equal bars of all trades, a second reload is idle."""
+    trades, cut = B.ev_trades(spark, sf), _cuts(spark, sf)[0]
+    opened = trades.where(col("insert_seq") >= cut).groupBy("asset_id").agg(F.max(bucket_start(col("event_unix_ts"), 3600)).alias("open_bucket"))
+    on_time = trades.where(col("insert_seq") >= cut).unionByName(S.split_late(trades.where(col("insert_seq") < cut), opened, 3600)[0].drop("bucket"))
+    table, path = T.BarTable(scratch(spark, "bars"), 3600), scratch(spark, "late")
+    table.create(C.candles(on_time, 3600))
+    stream = as_stream(spark, trades, "insert_seq", _cuts(spark, sf), first_last=True)
+    S.late_trades(stream, path, scratch(spark, "checkpoint"), 3600)
+    T.reload_late(spark, table, trades, path)
+    T.reload_late(spark, table, trades, path)
+    return table.read(spark).drop("day")
+
+
 ROLL = {"6h": 21600, "2d": 2 * 86400}
 
 

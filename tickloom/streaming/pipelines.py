@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +127,46 @@ def candle_stream(trades: DataFrame, size: int = 60, delay: str = "1 hour") -> D
     )
 
 
+def rollup_stream(trades: DataFrame, sizes: Sequence[int] = (60, 300, 3600), delay: str = "1 hour") -> DataFrame:
+    """Closed bars of several sizes, each size from the next finer one, in one stream with column ``size``.
+
+    A bar of the finest size is closed when the watermark passes its end, and its end is the time by which the
+    next size closes, so the watermark is carried up the chain. Bars come out once, in append mode. Each
+    size is a chain of its own: a size repeats the state of the finer ones below it, whose rows are bars.
+    """
+    parts = []
+    for top in range(len(sizes)):
+        timed = trades.where("token_amount_raw <> 0").withColumn("price", raw_price(F.col("quote_amount_raw"), F.col("token_amount_raw")))
+        bars = (
+            timed.withWatermark("event_time", delay)
+            .groupBy("asset_id", F.window("event_time", f"{sizes[0]} seconds").alias("w"))
+            .agg(
+                F.min_by("price", "insert_seq").alias("open_raw_price"),
+                F.max("price").alias("high_raw_price"),
+                F.min("price").alias("low_raw_price"),
+                F.max_by("price", "insert_seq").alias("close_raw_price"),
+                F.min("quote_mint").alias("quote_mint_sample"),
+                F.sum("quote_amount_raw").alias("volume_quote_raw"),
+            )
+        )
+        for size in sizes[1 : top + 1]:
+            bars = (
+                bars.withColumn("at", F.col("w.start"))
+                .groupBy("asset_id", F.window("w", f"{size} seconds").alias("w"))
+                .agg(
+                    F.min_by("open_raw_price", "at").alias("open_raw_price"),
+                    F.max("high_raw_price").alias("high_raw_price"),
+                    F.min("low_raw_price").alias("low_raw_price"),
+                    F.max_by("close_raw_price", "at").alias("close_raw_price"),
+                    F.min("quote_mint_sample").alias("quote_mint_sample"),
+                    F.sum("volume_quote_raw").alias("volume_quote_raw"),
+                )
+            )
+        bucket = F.unix_seconds("w.start").alias("bucket")
+        parts.append(bars.select("asset_id", F.lit(sizes[top]).alias("size"), bucket, *(c for c in bars.columns if c not in ("asset_id", "w"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def split_late(batch: DataFrame, opened: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Trades at or after their asset's open bucket, and the buckets of the late ones.
 
