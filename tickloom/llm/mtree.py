@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -194,8 +195,10 @@ def build(vectors: DataFrame, keep: int, fan: int = FAN, cell: int = CELL, page:
         if sizes.isEmpty():
             done.append(now)
             break
-        done.append(now.join(sizes, "node", "left_anti"))
-        crowded = _spread(now, sizes, "node")
+        # at first one node holds all
+        crowded = _spread(now, sizes, "node") if level else now
+        if level:
+            done.append(now.join(sizes, "node", "left_anti"))
         if level == depth:
             part = F.pmod(F.xxhash64("point", F.lit(level)), F.ceil(F.col("n") * 2 / cell))
             cut = crowded.withColumn("child", F.concat_ws(".", "node", part.cast("string")))
@@ -204,7 +207,7 @@ def build(vectors: DataFrame, keep: int, fan: int = FAN, cell: int = CELL, page:
             levels.append(_stored(entry.select(F.col("node").alias("parent"), F.col("child").alias("node"), "route", "radius", F.lit(0.0).alias("to_parent"), parent.alias("above")), "level"))
             done.append(cut.select(F.col("child").alias("node"), "point", "ids", "to_route", "route"))
             break
-        crowded = _stored(crowded.drop("n"), "crowded-points")
+        crowded = _stored(crowded.drop("n"), "crowded-points") if level else crowded
         order = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("point"), "point"))
         routes = crowded.select("node", "point").withColumn("place", order).where(F.col("place") <= fan)
         routes = routes.groupBy("node").agg(F.collect_list("point").alias("routes"))
@@ -214,9 +217,7 @@ def build(vectors: DataFrame, keep: int, fan: int = FAN, cell: int = CELL, page:
         entry = entry.withColumn("parent", F.regexp_replace("node", r"\.[0-9]+$", ""))
         levels.append(_stored(entry.join(above.withColumnRenamed("node", "parent"), "parent").select("parent", "node", "route", "radius", "to_parent", "above"), "level"))
         now = moved.select("node", "point", "ids", "to_route", "route")
-    cells = done[0]
-    for other in done[1:]:
-        cells = cells.unionByName(other)
+    cells = reduce(DataFrame.unionByName, done)
     cells = _stored(cells, "cells")
     pages = _stored(cells.groupBy("node").applyInArrow(*_pages(top, page)), "pages")
     # the routing point of the cell, from which the pages' stored distances are measured
@@ -385,10 +386,7 @@ def nearest(tree: Tree, queries: DataFrame, k: int, chunk: int = CHUNK) -> DataF
         cells = tree.pages.select("node").distinct()
         found.append(_stored(_meet(visits.join(cells, "node", "left_semi"), tree.pages, chunk, work), "found"))
         visits = visits.join(cells, "node", "left_anti")
-    out = found[0]
-    for other in found[1:]:
-        out = out.unionByName(other)
-    return out
+    return reduce(DataFrame.unionByName, found)
 
 
 def _renamed(work):
