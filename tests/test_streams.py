@@ -9,15 +9,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import candles as C
+from tickloom.operators import project as P
+from tickloom.plans import bindings as B
 from tickloom.session import scratch
 from tickloom.streaming import pipelines as S
 from tickloom.streaming.bars import BarTable, reload_late
+from tickloom.streaming.keyed import KeyedTable
 from tickloom.streaming.rolling import metrics_stream
 from tickloom.streaming.tables import VersionedTable, drain
 
 POINT = "asset_id string, event_unix_ts long, insert_seq long, side string, price double, volume double"
 TRADE = "asset_id string, event_unix_ts long, event_time timestamp, insert_seq long, quote_mint string, token_amount_raw long, quote_amount_raw long"
 T0 = 1_700_000_000
+SF = "/root/testdata/sf0.001"
 
 
 def fed(spark, rows, schema, cuts):
@@ -184,3 +188,112 @@ def test_refresh_leaves_open_and_old_buckets(spark):
     table.refresh(every, spark.createDataFrame(rows[1::2], TRADE), now, 0, lookback=2 * 86400)
     want = C.refresh_candles(C.candles(spark.createDataFrame(rows[::2], TRADE), 3600), every, spark.createDataFrame(rows[1::2], TRADE), now, 3600, 2 * 86400)
     assert shown(table.read(spark)) == shown(want)
+
+
+# --- tables in hash buckets ---------------------------------------------------------
+
+
+def size_of(path):
+    return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+
+def add(old, new):
+    return old.unionByName(new).groupBy("k").agg(F.sum("x").alias("x"))
+
+
+def test_keyed_table_against_a_dict(spark):
+    rng, want = random.Random(4), {}
+    table = KeyedTable(scratch(spark, "keyed"), ["k"], limit=30)
+    for v, n in enumerate([40, 0, 150, 1]):
+        part = [(rng.choice([None, *(f"k{i}" for i in range(60 * (v + 1)))]), rng.randint(1, 9)) for _ in range(n)]
+        part = list({k: (k, x) for k, x in part}.values())
+        table.upsert(spark.createDataFrame(part, "k string, x long"), v, add)
+        for k, x in part:
+            want[k] = want.get(k, 0) + x
+        buckets = table.manifest.read(spark, v).collect()
+        assert sum(b.n for b in buckets) == len(want) and max(b.n for b in buckets) <= 60
+        # the buckets cover every hash once
+        assert sum(2.0**-b.depth for b in buckets) == 1
+        if want:
+            assert dict(map(tuple, table.read(spark, v).select("k", "x").collect())) == want
+    assert max(b.depth for b in buckets) > 1
+
+
+def test_a_batch_touches_its_own_buckets(spark):
+    table = KeyedTable(scratch(spark, "keyed"), ["k"], limit=500)
+    table.upsert(spark.range(40_000).selectExpr("concat('key', id) AS k", "id AS x"), 0, add)
+    whole = size_of(table.data.at(0))
+    read = []
+    for v in range(1, 4):
+        delta = spark.range(5).selectExpr(f"concat('key', id * 131 + {v}) AS k", "1L AS x")
+        read.append(len(table.touched(delta, v)[1]))
+        table.upsert(delta, v, add)
+        assert size_of(table.data.at(v)) < whole / 8
+    assert max(read) <= 5
+    assert table.read(spark, 3).agg(F.sum("x")).first()[0] == 39_999 * 20_000 + 15
+
+
+def test_a_killed_version_is_written_again(spark, monkeypatch):
+    table = KeyedTable(scratch(spark, "keyed"), ["k"], limit=20)
+    table.upsert(spark.range(100).selectExpr("concat('key', id) AS k", "id AS x"), 0, add)
+    delta = spark.range(30).selectExpr("concat('key', id) AS k", "1L AS x")
+    monkeypatch.setattr(table.manifest, "write", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        table.upsert(delta, 1, add)
+    monkeypatch.undo()
+    assert table.read(spark, 0).agg(F.sum("x")).first()[0] == 4950
+    for _ in range(2):  # a version that is there may come again, too
+        table.upsert(delta, 1, add)
+        assert table.read(spark, 1).agg(F.sum("x"), F.count("*")).first()[:] == (4980, 100)
+
+
+def chain_log(spark):
+    return B.chain_log(spark, SF)
+
+
+def test_ids_read_per_batch_stay_flat(spark, monkeypatch):
+    log = chain_log(spark).orderBy("log_id").limit(300).cache()
+    ids = sorted(r[0] for r in log.select("log_id").collect())
+    source = scratch(spark, "source")
+    for a in range(0, 300, 60):
+        part = log.where(F.col("log_id").between(ids[a], ids[a + 59]))
+        (part.unionByName(log.where(F.col("log_id").between(ids[max(a - 30, 0)], ids[a])))).coalesce(1).write.mode("append").parquet(source)
+    path, read = scratch(spark, "log"), []
+    touched = KeyedTable.touched
+
+    def seen(self, delta, version):
+        out = touched(self, delta, version)
+        read.append((version, max(sum(b.n for b in out[1]), 0)))
+        return out
+
+    monkeypatch.setattr(KeyedTable, "touched", seen)
+    S.ingest_exact(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source), path, scratch(spark, "checkpoint"), limit=1)
+    # a bucket holds one id or two, so a batch of 91 ids reads about as many however long the log is
+    assert max(n for _, n in read) <= 2 * 91
+    rows = VersionedTable(path).all(spark)
+    assert rows.count() == 300 == rows.select("event_id").distinct().count()
+
+
+def test_projection_survives_a_kill(spark, monkeypatch):
+    log = chain_log(spark)
+    top = log.agg(F.max("log_id")).first()[0]
+    source, path, checkpoint = scratch(spark, "source"), scratch(spark, "model"), scratch(spark, "checkpoint")
+    for low, high in ((0, top // 2), (top // 2, top + 1)):
+        log.where((F.col("log_id") >= low) & (F.col("log_id") < high)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    write, killed = VersionedTable.write, []
+
+    def fails(self, df, version):
+        if version == 1 and self.path.endswith("markets/manifest") and not killed:
+            killed.append(1)
+            raise RuntimeError("killed")
+        write(self, df, version)
+
+    monkeypatch.setattr(VersionedTable, "write", fails)
+    with pytest.raises(Exception, match="killed"):
+        S.project_stream(stream, path, checkpoint, limit=8)
+    assert killed and VersionedTable(f"{path}/mark").newest(spark) == 0
+    version = S.project_stream(stream, path, checkpoint, limit=8)
+    want = P.read_model(P.project_batch(log))
+    for name, table in S.projected(spark, path, version).items():
+        assert table.exceptAll(want[name].select(table.columns)).count() == 0 and table.count() == want[name].count(), name

@@ -94,7 +94,7 @@ def replay_then_live_restarted(spark, sf):
 def ingest_exact(spark, sf):
     stream = as_stream(spark, B.chain_log(spark, sf), "log_id", _cuts(spark, sf), repeat_first=True)
     path = scratch(spark, "log")
-    S.ingest_exact(stream, path, scratch(spark, "checkpoint"))
+    S.ingest_exact(stream, path, scratch(spark, "checkpoint"), limit=500)
     return VersionedTable(path).all(spark).select("log_id", "event_id", "event_type")
 
 
@@ -108,9 +108,9 @@ def _projected(spark, sf):
     path = scratch(spark, "model")
     stream = as_stream(spark, B.chain_log(spark, sf), "log_id", _cuts(spark, sf))
     checkpoint = scratch(spark, "checkpoint")
-    S.project_stream(stream, path, checkpoint)
+    S.project_stream(stream, path, checkpoint, limit=20)
     # a restart with nothing new stands at the same version
-    version = S.project_stream(stream, path, checkpoint)
+    version = S.project_stream(stream, path, checkpoint, limit=20)
     return S.projected(spark, path, version)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from ..functions.scalars import empty_to_null, raw_price, strict_other_side, top
 from ..operators import project as P
 from ..operators.common import first_per_key, spread_join
 from ..sources.log import append_log, classify, parse_payload, payload_error
+from .keyed import LIMIT, KeyedTable
 from .tables import VersionedTable, drain
 
 
@@ -36,19 +37,21 @@ def ingest_stream(source: DataFrame, delay: str | None = None) -> DataFrame:
     return with_event_time(known).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def ingest_exact(source: DataFrame, path: str, checkpoint: str) -> int:
-    """Insert-once with no time limit: every batch is checked against the log written so far."""
-    table = VersionedTable(path)
+def ingest_exact(source: DataFrame, path: str, checkpoint: str, limit: int = LIMIT) -> int:
+    """Insert-once with no time limit: every batch is checked against the ids of the log written so far.
+
+    The ids are kept beside the log, in hash buckets of at most ``limit``. A batch reads and writes the buckets
+    its own ids fall in, so its cost stays flat as the log grows. The ids are written after the
+    rows; a batch that broke off in between is checked against the ids before it, as if it were new.
+    """
+    table, ids = VersionedTable(path), KeyedTable(f"{path.rstrip('/')}-ids", ["event_id"], limit)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         known = parse_payload(batch, []).where(payload_error().isNull()).drop("doc")
-        if batch_id > 0:
-            # versions of this and later batches are left over from a failed attempt
-            seen = table.all(spark).where(F.col("v") < batch_id)
-            table.write(append_log(known, seen), batch_id)
-        else:
-            table.write(first_per_key(known, ["event_id"], F.col("log_id")), 0)
+        fresh = first_per_key(known, ["event_id"], F.col("log_id"))
+        seen = ids.touched(fresh.select("event_id"), batch_id)[2]
+        table.write(append_log(fresh, seen), batch_id)
+        ids.upsert(table.read(batch.sparkSession, batch_id).select("event_id"), batch_id, lambda old, new: old.unionByName(new))
 
     return drain(source.writeStream.foreachBatch(step), checkpoint)
 
@@ -69,25 +72,28 @@ def topic_fanout(source: DataFrame) -> DataFrame:
 # --- projection ---------------------------------------------------------------------
 
 
-def project_stream(source: DataFrame, path: str, checkpoint: str) -> int:
+def state_tables(path: str, limit: int = LIMIT) -> dict[str, KeyedTable]:
+    return {name: KeyedTable(f"{path}/{name}", [P.KEYS[name]], limit) for name in P.RULES}
+
+
+def project_stream(source: DataFrame, path: str, checkpoint: str, limit: int = LIMIT) -> int:
     """Continuous projection; returns the version the state stands at, after an idle run too.
 
-    Each batch merges into the state before it and writes everything under its own id; the
-    high-water mark is written last, so a reader that starts from the mark never sees half
-    a batch. State tables hold one row per key and are rewritten; facts are appended.
+    Each batch merges into the state before it and writes under its own id, of the state tables only
+    the hash buckets its keys fall in; the high-water mark is written last, so a reader that starts from the
+    mark never sees half a batch. Facts are appended.
     """
-    states = {name: VersionedTable(f"{path}/{name}") for name in P.RULES}
+    states = state_tables(path, limit)
     facts = {name: VersionedTable(f"{path}/{name}") for name in P.FACTS}
     marks = VersionedTable(f"{path}/mark")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         delta = P.project_batch(batch)
         for name, table in states.items():
-            merged = delta[name]
-            if batch_id > 0:
-                merged = P.merge_table(name, table.read(spark, batch_id - 1), delta[name])
-            table.write(merged, batch_id)
+            # projected once, though it is looked at for its keys and for its values
+            staged = VersionedTable(f"{path}/{name}/delta")
+            staged.write(delta[name], batch_id)
+            table.upsert(staged.read(batch.sparkSession, batch_id), batch_id, partial(P.merge_table, name))
         for name, table in facts.items():
             table.write(delta[name], batch_id)
         marks.write(batch.agg(F.max("log_id").alias("last_log_id")), batch_id)
@@ -98,7 +104,7 @@ def project_stream(source: DataFrame, path: str, checkpoint: str) -> int:
 
 def projected(spark: SparkSession, path: str, version: int) -> dict[str, DataFrame]:
     """The read model at a version."""
-    state = {name: VersionedTable(f"{path}/{name}").read(spark, version) for name in P.RULES}
+    state = {name: table.read(spark, version) for name, table in state_tables(path).items()}
     for name in P.FACTS:
         rows = VersionedTable(f"{path}/{name}").all(spark).where(F.col("v") <= version).drop("v")
         state[name] = first_per_key(rows, ["event_time", "event_id"], F.col("insert_seq"))
