@@ -12,6 +12,7 @@ from tickloom.operators import board as G
 from tickloom.operators import candles as C
 from tickloom.operators import metrics as M
 from tickloom.operators import project as P
+from tickloom.operators import asof
 from tickloom.operators.asof import asof_price
 from tickloom.plans import bindings as B
 
@@ -106,6 +107,38 @@ def test_asof_over_one_hot_asset_matches_brute_force(spark):
         assert got[i] == want
 
 
+@pytest.mark.parametrize("span", [60_000_000, 3])
+def test_asof_within_one_crowded_minute(spark, span, monkeypatch):
+    """All rows in one asset and minute, or even in three microseconds."""
+    rng, start = random.Random(2), 1_700_000_040_000_000
+    trades = [("hot", start + rng.randrange(span), i % 4, i, float(i) if i % 9 else None) for i in range(3000)]
+    probes = [("hot", start + rng.randrange(-1, span + 1), i) for i in range(600)] + [("cold", start, 999)]
+    t = spark.createDataFrame(trades, "asset_id string, us long, slot long, insert_seq long, price double")
+    t = t.select("asset_id", F.timestamp_micros("us").alias("event_time"), F.floor(F.col("us") / 1_000_000).alias("event_unix_ts"), "slot", "insert_seq", "price")
+    p = spark.createDataFrame(probes, "asset_id string, us long, id long").select("asset_id", "id", F.timestamp_micros("us").alias("probe_time"))
+    sizes = []
+    split = asof.split_crowded
+
+    def seen(rows):
+        parts = split(rows)
+        sizes.extend(r[0] for r in parts.groupBy("_part").count().select("count").collect())
+        return parts
+
+    monkeypatch.setattr(asof, "split_crowded", seen)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r.id: r.price for r in asof.asof_price(t, p, 3600, crowd=200).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    order = sorted((r for r in trades if r[4] is not None), key=lambda r: r[1:4])
+    for asset, us, i in probes:
+        before = [r for r in order if r[1] <= us and r[0] == asset]
+        after = [r for r in order if r[1] >= us and r[0] == asset]
+        assert got[i] == (before[-1][4] if before else after[0][4] if after else None)
+    # the largest part is a small multiple of an even share
+    assert len(sizes) > 8 and max(sizes) <= 3 * sum(sizes) / 16
+
+
 def test_state_does_not_depend_on_the_cut(spark):
     log = B.chain_log(spark, SF).where("log_id < 300").cache()
     whole = P.read_model(P.project_batch(log))
