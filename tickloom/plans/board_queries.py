@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..constants import LIQUIDITY_HEAT, MARKET_CAP_HEAT, NATIVE_MINT as NATIVE, TXN_HEAT, VOLUME_HEAT
 from ..operators import board as G
+from ..operators import grams as I
 from ..operators import metrics as M
 from ..operators import project as P
+from ..session import scratch
 from . import bindings as B
 from .log_queries import ACTIVITY, MARKETS, TOKEN_UPDATES, TOKENS
 from .metric_queries import CURRENT, LATEST, POINTS, STATS, _anchor_sql, _current
@@ -154,6 +156,22 @@ _search("search_symbol", "brand#1", 8)
 _search("search_id", "a0_", 20)
 
 
+def _search_indexed(name: str, raw: str, limit: int):
+    @query(name, POINTS + MODEL + SNAP + _search_sql(raw.strip(), limit), ["chain_log", "ev_trades", "ev_meta"])
+    def run(spark, sf):
+        """The index is written sorted by gram; text without three characters in a row goes to the scan."""
+        _, tokens, meta, _ = _model(spark, sf)
+        metrics = M.latest_trade(B.ev_trades(spark, sf), meta).select("asset_id", "latest_price")
+        path = scratch(spark, "grams")
+        I.write_index(I.gram_index(tokens, meta), path)
+        return I.search_indexed(spark.read.parquet(path), tokens, meta, metrics, raw, limit).drop("first_seen_at", "image_uri")
+
+
+_search_indexed("search_indexed_name", " Ring ", 20)
+_search_indexed("search_indexed_wildcard", "rand%1", 12)
+_search_indexed("search_indexed_short", "a1", 20)
+
+
 @query("markets_of", MODEL + MARKETS + "SELECT * FROM markets WHERE asset_id = 'A06' ORDER BY started_at DESC, market_id LIMIT 10", ["chain_log"])
 def markets_of(spark, sf):
     return G.markets_of(P.project_markets(B.chain_log(spark, sf)), "A06", 10)

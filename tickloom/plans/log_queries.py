@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..constants import NATIVE_MINT as NATIVE
 from ..operators import logscan as L
 from ..operators import project as P
+from ..session import scratch
 from ..sources import log as S
+from ..sources.pages import PagedLog
 from . import bindings as B
 from .registry import query
 
@@ -97,6 +99,31 @@ def events_by_pool(spark, sf):
     return L.events_by_ref(B.chain_log(spark, sf), "pool", "QA03", 50).select("log_id", "event_type")
 
 
+def _paged(spark, sf, key):
+    """The log in a hundred files, written in two parts of which the second begins before the first ends."""
+    log = B.chain_log(spark, sf).withColumn("asset_id", F.col("refs.mint"))
+    store = PagedLog(scratch(spark, "paged"), key)
+    early, late = B.position(spark, sf, 5), B.position(spark, sf, 7)
+    store.append(log.where((F.col("log_id") <= early) | (F.col("log_id") > late)), 0, 50)
+    store.append(log.where((F.col("log_id") > early) & (F.col("log_id") <= late)), 1, 50)
+    return store
+
+
+@query("paged_events_newest", f"SELECT log_id, event_type FROM chain_log WHERE ref_mint = 'A03' AND log_id < {B.position_sql(8)} ORDER BY log_id DESC LIMIT 100", LOG)
+def paged_events_newest(spark, sf):
+    return _paged(spark, sf, "asset_id").newest(spark, "A03", 100, B.position(spark, sf, 8)).select("log_id", "event_type")
+
+
+@query("paged_events_after", "SELECT log_id, event_id FROM chain_log WHERE log_id > 700 ORDER BY log_id LIMIT 512", LOG)
+def paged_events_after(spark, sf):
+    return _paged(spark, sf, None).after(spark, 700, 512).select("log_id", "event_id")
+
+
+@query("paged_events_after_asset", f"SELECT log_id, event_id FROM chain_log WHERE log_id > {B.position_sql(3)} AND ref_mint = 'A05' ORDER BY log_id LIMIT 64", LOG)
+def paged_events_after_asset(spark, sf):
+    return _paged(spark, sf, "asset_id").after(spark, B.position(spark, sf, 3), 64, "A05").select("log_id", "event_id")
+
+
 @query("events_after", "SELECT log_id, event_id FROM chain_log WHERE log_id > 700 ORDER BY log_id LIMIT 512", LOG)
 def events_after(spark, sf):
     return L.events_after(B.chain_log(spark, sf), 700, 512).select("log_id", "event_id")

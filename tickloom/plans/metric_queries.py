@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators import traders as D
 from ..operators.asof import asof_price
 from ..operators.common import requested_left
+from ..session import scratch
 from . import bindings as B
 from .registry import query, rounded
 from .sqlparts import normalized, price, quote_dec, scaled
@@ -263,6 +265,30 @@ def stats_24h(spark, sf):
     return rounded(M.stats_24h(B.ev_trades(spark, sf), B.ev_meta(spark, sf), 7 * 86400), *STAT_VOLUMES)
 
 
+@query(
+    "distinct_traders",
+    """
+    , last AS (SELECT asset_id, max(event_time) AS last FROM ev_trades GROUP BY 1)
+    SELECT asset_id, count(DISTINCT user_address) AS makers, count(DISTINCT user_address) FILTER (side = 'buy') AS buyers,
+      count(DISTINCT user_address) FILTER (side = 'sell') AS sellers
+    FROM ev_trades JOIN last USING (asset_id) WHERE event_time > last - INTERVAL 7 DAY GROUP BY 1
+    """,
+    ["ev_trades"],
+)
+def distinct_traders(spark, sf):
+    """Codes and minutes are kept for three parts of the trades, one of them given twice, and then merged."""
+    trades = B.ev_trades(spark, sf)
+    cuts = [0, *(B.position(spark, sf, t) for t in (3, 7)), 1 << 62]
+    parts = [trades.where((F.col("insert_seq") >= a) & (F.col("insert_seq") < b)) for a, b in zip(cuts, cuts[1:])]
+    codes, minutes = None, []
+    for part in parts:
+        path = scratch(spark, "codes")
+        D.trader_codes(part, codes).write.parquet(path)
+        codes = spark.read.parquet(path)
+        minutes.append(D.trader_minutes(part, codes))
+    return D.distinct_traders(D.merge_minutes(*minutes, minutes[1]), trades, codes, 7 * 86400)
+
+
 METRIC_POINTS = f"""
 , last AS ({LATEST}),
 kept AS (

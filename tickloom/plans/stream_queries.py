@@ -10,6 +10,7 @@ from ..functions.display import bucket_start
 from ..operators import metrics as M
 from ..operators import ops as O
 from ..session import scratch
+from ..sources.logstream import log_stream
 from ..operators import candles as C
 from ..streaming import bars as T
 from ..streaming import pipelines as S
@@ -90,6 +91,18 @@ def replay_then_live_restarted(spark, sf):
     return VersionedTable(path).all(spark).select("log_id", "event_id")
 
 
+@query("log_stream_followed", "SELECT log_id, event_id FROM chain_log WHERE log_id > 500", ["chain_log"])
+def log_stream_followed(spark, sf):
+    """One stream over the stored log: history, then rows that come later, some of them again, after a restart."""
+    log, cuts = B.chain_log(spark, sf), _cuts(spark, sf)
+    source, path, checkpoint = scratch(spark, "log"), scratch(spark, "feed"), scratch(spark, "checkpoint")
+    for low, high in ((None, cuts[1]), (cuts[0], cuts[2]), (cuts[2], None)):
+        part = log if low is None else log.where(col("log_id") >= low)
+        (part if high is None else part.where(col("log_id") < high)).write.mode("append").parquet(source)
+        S.follow(log_stream(spark, source, log.schema, 500), path, checkpoint)
+    return VersionedTable(path).all(spark).select("log_id", "event_id")
+
+
 @query("ingest_exact", "SELECT log_id, event_id, event_type FROM chain_log", ["chain_log"])
 def ingest_exact(spark, sf):
     stream = as_stream(spark, B.chain_log(spark, sf), "log_id", _cuts(spark, sf), repeat_first=True)

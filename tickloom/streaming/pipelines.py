@@ -238,6 +238,17 @@ def replay_then_live(log: DataFrame, live: DataFrame, since: int, path: str, che
     return drain(fresh.writeStream.foreachBatch(step), checkpoint)
 
 
+def follow(log: DataFrame, path: str, checkpoint: str, asset: str | None = None) -> int:
+    """Replay and live rows of a ``log_stream`` in one table, each once.
+
+    The stream's offset is the log position, so a restart or a file that comes again brings no row twice; a
+    position that stands twice in one batch counts once.
+    """
+    table = VersionedTable(path)
+    mine = log if asset is None else log.where(F.col("refs.mint") == asset)
+    return drain(mine.writeStream.foreachBatch(lambda batch, i: table.write(first_per_key(batch, ["log_id"], F.col("event_id")), i)), checkpoint)
+
+
 def tracked_stream(source: DataFrame, known: DataFrame, path: str, checkpoint: str) -> int:
     """Events of assets whose create event has passed, or that were known at start.
 
