@@ -186,9 +186,10 @@ def build(vectors: DataFrame, keep: int, fan: int = FAN, cell: int = CELL, page:
     """The tree over vec_id and point rows; a point keeps its ``keep`` smallest ids."""
     place = F.row_number().over(Window.partitionBy("point").orderBy("vec_id"))
     points = vectors.withColumn("place", place).where(F.col("place") <= keep).groupBy("point").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("length2").alias("length2"))
-    points = _stored(points, "points")
+    # the root's name is stored, so that joins on it are joins on a column
+    points = _stored(points.withColumn("node", F.lit("0")), "points")
     top = points.agg(F.max("length2")).first()[0] or 0.0
-    now = points.select(F.lit("0").alias("node"), "point", "ids", F.lit(0.0).alias("to_route"), F.lit(None).cast("binary").alias("route"))
+    now = points.select("node", "point", "ids", F.lit(0.0).alias("to_route"), F.lit(None).cast("binary").alias("route"))
     done, levels = [], []
     for level in range(depth + 1):
         sizes = _stored(now.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > cell), "crowded")
@@ -379,7 +380,7 @@ def nearest(tree: Tree, queries: DataFrame, k: int, chunk: int = CHUNK) -> DataF
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     floors = first.where("vec_id IS NOT NULL").withColumn("place", place).where(F.col("place") == k).select("query", F.col("score").alias("floor"))
     known = home.select("query", F.col("node").alias("home")).join(floors, "query", "left")
-    visits, found = known.select("query", "floor", "home", F.lit("0").alias("node"), F.lit(None).cast("binary").alias("route")), [first]
+    visits, found = _stored(known.select("query", "floor", "home", F.lit("0").alias("node"), F.lit(None).cast("binary").alias("route")), "visits"), [first]
     for entries in tree.levels:
         entries = entries.withColumnRenamed("node", "child").withColumnRenamed("parent", "node")
         visits = _stored(_meet(visits, entries.withColumnRenamed("child", "node_below"), chunk, _renamed(_visit_nodes(tree.top, k))), "visits")

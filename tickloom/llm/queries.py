@@ -43,7 +43,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_pii")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.sanitise(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term", F.sha2("clean_text", 256).alias("clean_sha256"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term", "n_secret", "n_spans", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 @query("op4_suffix_array_dedup")
