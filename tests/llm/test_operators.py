@@ -150,7 +150,7 @@ def test_shares_against_plain_counts(spark):
             words += [entities[e] for e in named] + [f"(Tied{e}Ñx{rng.randrange(3)})" for e in named if rng.random() < 0.8] + rng.sample([f"only{i}", "shared"], 1)
         rng.shuffle(words)
         rows.append((i, " ".join(words)))
-    rows += [rows[4], rows[4], (4, "another text with word0"), (None, rows[8][1]), (900, None), (901, "")]
+    rows += [rows[4], rows[4], (4, "another text with word0 10.2.3.4 ---"), (902, "... word1 +++"), (None, rows[8][1]), (900, None), (901, "")]
     counted = [(i, t or "") for i, t in rows if i is not None]
 
     def terms(text, spans):

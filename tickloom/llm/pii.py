@@ -171,7 +171,8 @@ class Folder:
         for edge, step in ((left, 1), (right, -1)):
             live = np.flatnonzero(~strange)
             while len(live):
-                at = edge[live] if step > 0 else edge[live] - 1
+                # a word of marks alone is eaten up
+                at = np.clip(edge[live] if step > 0 else edge[live] - 1, 0, len(data) - 1)
                 live = live[(left[live] < right[live]) & ~ALNUM[data[at]]]
                 edge[live] += step
         hashes = tx.span_hash(tx.prefix_hash(low), left, right)
