@@ -371,29 +371,40 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Byte ranges covered by windows that start earlier elsewhere."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int32()), ("at", pa.int64()), ("to", pa.int64())])
-    names = ("doc_id", "text_key", "start", "span", "at", "part", "first_doc", "first_start", "windows", "docs", "starts")
     for batch in batches:
-        out = []
-        for doc, key, start, span, at, part, first_doc, first_start, windows, docs, starts in zip(*(batch.column(c).to_pylist() for c in names)):
-            start, span = start + at, span if part is None else part
-            later = (first_doc, first_start) < (doc, start)
-            if not windows:
-                if later:
-                    out.append((doc, key, start, start + span + LENGTH))
-                continue
-            gone = [later] * (span + 1)
-            for w, d, s in zip(windows, docs, starts):
-                gone[w] = (d, s) < (doc, start + w)
-            w = 0
-            while w <= span:
-                if gone[w]:
-                    first = w
-                    while w < span and gone[w + 1]:
-                        w += 1
-                    out.append((doc, key, start + first, start + w + LENGTH))
-                w += 1
-        if out:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        doc, key, first_doc, first_start = (batch.column(c).to_numpy() for c in ("doc_id", "text_key", "first_doc", "first_start"))
+        start = batch.column("start").to_numpy() + batch.column("at").to_numpy()
+        part = batch.column("part")
+        span = np.where(part.is_valid().to_numpy(zero_copy_only=False), part.fill_null(0).to_numpy(), batch.column("span").to_numpy()).astype(np.int64)
+        later = (first_doc < doc) | ((first_doc == doc) & (first_start < start))
+        lists = [batch.column(c) for c in ("windows", "docs", "starts")]
+        sizes = lists[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        # one verdict for all windows of the context
+        whole = np.flatnonzero(later & (sizes == 0))
+        rows, low, high = [whole], [start[whole]], [start[whole] + span[whole]]
+        mixed = np.flatnonzero(sizes > 0)
+        if len(mixed):
+            window, other, place = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in lists)
+            count = span[mixed] + 1
+            edge = np.cumsum(count) - count
+            gone = np.repeat(later[mixed], count)
+            owner = np.repeat(mixed, sizes[mixed])
+            gone[np.repeat(edge, sizes[mixed]) + window] = (other < doc[owner]) | ((other == doc[owner]) & (place < start[owner] + window))
+            # runs of windows that go, cut where a row ends
+            opens, closes = gone.copy(), gone.copy()
+            opens[1:] &= ~gone[:-1]
+            closes[:-1] &= ~gone[1:]
+            opens[edge] = gone[edge]
+            last = edge + count - 1
+            closes[last] = gone[last]
+            opens, closes = np.flatnonzero(opens), np.flatnonzero(closes)
+            row = np.searchsorted(edge, opens, "right") - 1
+            rows.append(mixed[row])
+            low.append(start[mixed[row]] + opens - edge[row])
+            high.append(start[mixed[row]] + closes - edge[row])
+        row, low, high = np.concatenate(rows), np.concatenate(low), np.concatenate(high)
+        if len(row):
+            yield pa.record_batch([doc[row], key[row], low, high + LENGTH], schema=schema)
 
 
 def _sorted_out(shards: DataFrame) -> DataFrame:
