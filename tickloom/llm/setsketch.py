@@ -315,21 +315,29 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("id"), "component").unionByName(links.select(F.col("component").alias("id"), "component").distinct())
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key that tells texts under one doc_id apart."""
+    return docs.withColumn("text_key", F.shiftright(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), 33).cast("int"))
+
+
 def classes_of(docs: DataFrame) -> DataFrame:
-    """Every row's sketch, stored: the scan of the texts is done once."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.shiftright(F.xxhash64(text), 33).cast("int").alias("text_key"))
+    """doc_id, text (null as empty) and text_key."""
+    return keyed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept and class_id (smallest doc_id of an equal set)."""
+    """Per row: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id of an equal set), text_key and component.
+
+    ``component`` is a number of the component: two components have one component_id where texts that share a doc_id stand in both.
+    """
     rows = classes_of(docs)
     sketches = _stored(rows.mapInArrow(_sketches, SKETCH), "sketches")
     full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    members = full.groupBy("set_key").agg(F.min("doc_id").alias("id"))
+    # a class is a set of shingles with a number of its own, since one doc_id may stand for several texts
+    members = full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     # among rows of the smallest doc_id with an equal set any text will do: the set is the same
-    first = full.select("set_key", F.col("doc_id").alias("id"), "text_key", "n_shingles", "bands", "registers").join(members, ["set_key", "id"])
-    classes = _stored(first.dropDuplicates(["id", "set_key"]), "classes")
+    first = full.select("set_key", "doc_id", "text_key", "n_shingles", "bands", "registers").join(members, ["set_key", "doc_id"])
+    classes = _stored(first.dropDuplicates(["set_key"]).withColumn("id", F.monotonically_increasing_id()), "classes")
     rows_with_id = rows.where("doc_id IS NOT NULL")
     buckets = classes.select("id", F.posexplode("bands").alias("band_no", "band"))
     shared = buckets.groupBy("band").agg(
@@ -339,18 +347,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = crowd.select("id", F.explode(F.array_distinct(F.array("low", "high", "other"))).alias("leader")).where("id <> leader")
     tried = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     # the texts of classes that share a bucket with another one
-    wanted = classes.join(crowd.select("id").distinct(), "id", "left_semi").select("id", "text_key")
-    held = rows_with_id.select(F.col("doc_id").alias("id"), "text_key", "text").join(wanted, ["id", "text_key"])
-    texts = _stored(held.dropDuplicates(["id", "text_key"]).select("id", "text"), "texts")
+    wanted = classes.join(crowd.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_key")
+    held = rows_with_id.select("doc_id", "text_key", "text").join(wanted, ["doc_id", "text_key"])
+    texts = _stored(held.dropDuplicates(["id"]).select("id", "text"), "texts")
     links = _stored(confirm(tried, classes, texts), "links")
     labels = _stored(components(links), "labels")
     more = connect(crowd.select("id", "band_no", "band"), labels, classes, texts)
     final = _stored(components(links.unionByName(more)), "labels")
-    owner = members.join(final, "id", "left").select("set_key", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    named = classes.select("set_key", "doc_id", "id").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    owner = named.join(least, "component").select("set_key", F.col("doc_id").alias("class_id"), "component_id", "component")
     # rows without a set or an id meet no owner
-    joined = sketches.select("doc_id", "n_shingles", "set_key").join(owner, "set_key", "left")
+    joined = sketches.select("doc_id", "text_key", "n_shingles", "set_key").join(owner, "set_key", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select(
         "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"),
-        F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "text_key",
+        F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"),
     )
