@@ -170,7 +170,8 @@ def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: in
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, limit_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model, or None where the labels have one class only.
 
-    What reaches the driver is bounded by ``limit`` texts and ``limit_bytes``, or one text of each class if those are longer.
+    What reaches the driver is bounded by ``limit`` texts and ``limit_bytes``: a text beyond what is left of them is
+    passed over, not cut, and the next ones are looked at. A class of which no text fits gives its first.
     """
     path = scratch(docs.sparkSession, "training")
     training_rows(docs, labels, "quality", limit).write.parquet(path)
@@ -179,8 +180,14 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, limit_bytes: in
     mark, label, size = (sizes.column(c).to_numpy() for c in ("mark", "label", "size"))
     if not len(label) or label.min() == label.max():
         return None
-    use = np.cumsum(size, dtype=np.int64) <= limit_bytes
-    use[[np.flatnonzero(label == c)[0] for c in np.unique(label)]] = True
+    use, held = np.zeros(len(size), bool), 0
+    for i, n in enumerate(size.tolist()):
+        # a text that doesn't fit is left out, and only that one
+        if held + n <= limit_bytes:
+            use[i], held = True, held + n
+    for c in np.unique(label):
+        if not use[label == c].any():
+            use[np.flatnonzero(label == c)[0]] = True
     wanted = mark[use].tolist()
     rows = rows.where(F.col("mark").isin(wanted)) if len(wanted) < len(mark) else rows
     rows = rows.orderBy("mark").select(F.col("label").cast("int").alias("label"), F.encode("text", "UTF-8").alias("bytes")).toArrow()
