@@ -49,15 +49,22 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
     inside = F.row_number().over(Window.partitionBy("stratum", "cell").orderBy(*ORDER))
     ranked = rows.join(cells, ["stratum", "cell"]).withColumn("rank", F.col("before") + inside - 1)
     placed = ranked.withColumn("fraction", (2 * F.col("rank") + 1) / (2 * F.col("total")).cast("double"))
-    placed = placed.withColumn("part", F.floor(F.col("fraction") * CELLS)).drop("cell", "before", "total", "rank")
+    placed = placed.withColumn("part", F.floor(F.col("fraction") * CELLS)).drop("before", "total", "rank")
     # at most CELLS rows
     parts = placed.groupBy("part").agg(F.count("*").alias("n")).select(
         "part",
         (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"),
         F.sum("n").over(Window.partitionBy()).alias("total"),
     )
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("fraction", "stratum", *ORDER))
-    whole = placed.join(parts, "part").withColumn("at", F.col("before") + inside - 1)
+    # very many sources may give one fraction: its rows are ranked in cells of the random order, as a source's are
+    cells = placed.groupBy("part", "fraction", "cell").agg(F.count("*").alias("n"))
+    line = Window.partitionBy("part").orderBy("fraction")
+    fractions = cells.groupBy("part", "fraction").agg(F.sum("n").alias("n")).select("part", "fraction", (F.sum("n").over(line) - F.col("n")).alias("lower"))
+    order = Window.partitionBy("part", "fraction").orderBy("cell")
+    cells = cells.select("part", "fraction", "cell", (F.sum("n").over(order) - F.col("n")).alias("ahead")).join(fractions, ["part", "fraction"])
+    inside = F.row_number().over(Window.partitionBy("part", "fraction", "cell").orderBy("h", "stratum", *ORDER[1:]))
+    whole = placed.withColumn("inside", inside).join(cells, ["part", "fraction", "cell"]).join(parts, "part")
+    whole = whole.withColumn("at", F.col("before") + F.col("lower") + F.col("ahead") + F.col("inside") - 1)
     whole = whole.withColumn("shard", F.expr(f"CAST((at * {shards}) DIV total AS INT)"))
     first = F.expr(f"(CAST(shard AS BIGINT) * total + {shards - 1}) DIV {shards}")
     return whole.select("doc_id", "stratum", "size", "text_crc32", "shard", (F.col("at") - first).alias("slot"))
