@@ -385,3 +385,40 @@ def test_pipeline(spark, tmp_path):
     last = steps["sentencepiece"](spark, fourth, SF)
     assert last.where("NOT restored").count() == 0
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r.doc_id for r in last.collect())
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, b), (4, ""), (4, None), (4, " "), (None, a)]
+    out = sorted((tuple(r)[:4] for r in setsketch.near_duplicates(frame(spark, rows)).collect()), key=repr)
+    assert out == sorted([(1, 56, 1, True), (1, 56, 1, True), (2, 56, 1, False), (3, 56, 1, False), (3, 56, 1, False), *[(4, 0, 4, True)] * 3, (None, 56, None, True)], key=repr)
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), SF)
+    # an empty text and a null one have one key
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, a), (1, a), (1, b), (4, ""), (4, " ")])
+    far = [(1, a), (1, b), (2, a), (9, b)]
+    classes = {(r.doc_id, r.class_id, r.component_id) for r in setsketch.near_duplicates(frame(spark, far)).collect()}
+    assert classes == {(1, 1, 1), (2, 1, 1), (9, 1, 1)}
+
+
+def test_many_sources_of_one_row(spark):
+    rows = [(i, f"text {i}", "en", f"s{i}", 1, "clash", None) for i in range(900)] + [(1000 + i, "t", "en", "big", 1, "clash", None) for i in range(450)]
+    found = shards.interleave(spark.createDataFrame(rows, SCHEMA).repartition(3), 9).collect()
+    assert sorted((r.shard, r.slot) for r in found) == [(s, k) for s in range(9) for k in range(150)]
+    # sources of one row stand in the middle, and the large one is spread over all shards
+    assert all(45 <= sum(r.doc_id >= 1000 for r in found if r.shard == s) or s in range(1, 8) for s in range(9))
+
+
+def test_one_large_text_does_not_end_the_sample(spark):
+    texts = [(i, (f"good words here {i} " if i % 2 else f"#### %%% $$$ {i} ") * 4) for i in range(60)]
+    docs = spark.createDataFrame(texts + [(100 + i, "x" * 50_000) for i in range(5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(100 + i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    seen = []
+
+    def train(texts, y, *args):
+        seen.append([len(t) for t in texts])
+        return None
+
+    keep, byte_cnn.train = byte_cnn.train, train
+    byte_cnn.fit(docs, labels, limit_bytes=20_000)
+    byte_cnn.train = keep
+    assert len(seen[0]) >= 30 and max(seen[0]) < 100
