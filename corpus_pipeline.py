@@ -27,12 +27,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id.
 
-    A doc_id stays once. Rows without doc_id are in no group and stay.
+    Of rows that share that doc_id the text with the smallest key stays, and a repeated row once. Texts
+    without words and rows without doc_id are in no group; of such texts each stays once per doc_id, of such rows all.
     """
-    kept = setsketch.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.select(*COLUMNS)
-    once = named.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(named.where("doc_id IS NULL")).select(*COLUMNS)
+    verdict = setsketch.near_duplicates(docs).where("kept AND doc_id IS NOT NULL")
+    first = verdict.where("n_shingles > 0").groupBy("component", "doc_id").agg(F.min("text_key").alias("text_key")).drop("component")
+    kept = first.unionByName(verdict.where("n_shingles = 0").select("doc_id", "text_key").distinct())
+    keyed = setsketch.keyed(named.where("doc_id IS NOT NULL")).join(kept, ["doc_id", "text_key"], "left_semi")
+    return keyed.dropDuplicates(["doc_id", "text_key"]).select(*COLUMNS).unionByName(named.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
