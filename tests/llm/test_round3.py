@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm import masks, mtree, queries, runs
+from tickloom.llm import decontaminate, masks, mtree, queries, runs
 
 from . import brute
 from .test_operators import frame, rows_of
@@ -254,3 +254,89 @@ def test_queries(spark):
     for name, n in (("op11_top_k", 50), ("op12_ranked_search", None), ("op13_periodic_runs", 200)):
         found = queries.QUERIES[name](spark, SF)
         assert found.count() == n or n is None and found.count() > 0
+
+
+# --- benchmark passages -------------------------------------------------------------
+
+
+def near_any_part(pattern, text):
+    """The least edit distance of a pattern to a part of a text, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        last, row = row, [i]
+        for j, d in enumerate(text, 1):
+            row.append(min(last[j - 1] + (c != d), last[j] + 1, row[-1] + 1))
+    return min(row)
+
+
+def words_of(rng, n, kind):
+    if kind == "wide":
+        return "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n // 3 + 1))
+    out = ""
+    while len(out) < n:
+        out += "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9))) + (" " if kind == "spaced" else "")
+    return out[:n].strip()
+
+
+def edited(rng, text, n):
+    text = list(text)
+    for _ in range(n):
+        at, what = rng.randrange(len(text)), rng.randrange(3)
+        if what == 0:
+            text[at] = rng.choice("abcdefg")
+        elif what == 1:
+            text.insert(at, rng.choice("abcdefg "))
+        elif len(text) > 1:
+            del text[at]
+    return "".join(text)
+
+
+@pytest.mark.parametrize("kind", ["spaced", "joined", "wide"])
+def test_recall_by_size(kind):
+    rng = random.Random(21)
+    for low, high in ((8, 16), (16, 24), (24, 32), (32, 64), (64, 90), (90, 200), (200, 400)):
+        texts = [words_of(rng, rng.randint(low, high - 1), kind) for _ in range(40)]
+        items = decontaminate.Items(list(range(40)), texts)
+        for share in (0, 0.05, 0.1):
+            docs = []
+            for t in texts:
+                k = int(share * len(t.encode()))
+                docs.append(" ".join([words_of(rng, 150, kind), edited(rng, t, k // 3 if kind == "wide" else k), words_of(rng, 150, kind)]).encode())
+            found = decontaminate.find(np.frombuffer(b"".join(docs), np.uint8), np.cumsum([0, *map(len, docs)]), items)
+            caught = sum(i in f for i, f in enumerate(found)) / 40
+            assert caught == 1 if share == 0 else caught >= decontaminate.RECALL, (kind, low, share, caught)
+
+
+def test_items_against_brute_force(spark):
+    """No item is found that the table of distances does not allow, in one block or in many."""
+    rng = random.Random(4)
+    items = [(i, words_of(rng, rng.choice([3, 9, 14, 22, 40, 70, 120]), rng.choice(["spaced", "joined"]))) for i in range(24)]
+    items += [(50, items[3][1]), (51, ""), (52, None), (None, "abc"), (53, "  " + items[4][1].upper() + " ")]
+    docs = []
+    for i in range(50):
+        parts = [words_of(rng, 60, "spaced")]
+        for _ in range(rng.randint(0, 2)):
+            t = rng.choice(items[:24])[1]
+            parts += [edited(rng, t, rng.randint(0, max(1, len(t) // 8))), words_of(rng, 20, "joined")]
+        docs.append((i, rng.choice([" ", "\n\t", ""]).join(parts)))
+    docs += [(60, None), (61, ""), (None, docs[1][1]), (1, docs[1][1])]
+
+    def fold(t):
+        return bytes(0x20 if c in b" \t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+
+    want = {}
+    for _, t in docs:
+        own = [(i, fold(x).strip()) for i, x in items if i is not None and x]
+        want[t] = sorted(i for i, x in own if x and near_any_part(x, fold(t)) <= len(x) // 10)
+    assert sum(map(bool, want.values())) > 15
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (5000, 7):
+        out = decontaminate.contaminated(frame(spark, docs).repartition(3), bench, block)
+        rows = out.collect()
+        assert len(rows) == len(docs) and "_text_key" not in out.columns
+        for r in rows:
+            assert set(r["items"]) <= set(want[r.text])
+            # all short ones, and long ones but for the stated share
+            assert {i for i in want[r.text] if len(dict(items)[i].strip()) < decontaminate.SHORT} <= set(r["items"])
+        caught, all_ = sum(len(r["items"]) for r in rows), sum(len(want[r.text]) for r in rows)
+        assert caught >= decontaminate.RECALL * all_

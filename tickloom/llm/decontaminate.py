@@ -5,31 +5,46 @@ and a random bit of (step, character) decides whether to move on. Strings at a s
 get walks that differ in few places, so sampled places of several independent walks serve as
 locality-sensitive keys. Item-sized windows of every document that hold too few 8-grams of the
 items of their size class are passed over first, by the q-gram bound, which loses no match. In the
-others a walk starts at every word, and so it does in the items: an edit spoils the walks before it
-and not those after it. Windows that share a key with an item are confirmed by the exact edit
-distance (bit-parallel, anywhere around the place).
+others a walk starts at every word, and at every character of a word too long to be one (text without
+spaces), and so it does in the items: an edit spoils the walks before it and not those after it. Windows that share a key
+with an item are confirmed by the exact edit distance (bit-parallel, anywhere around the place).
+
+The number of walks and keys gives a recall above ``RECALL`` at the largest number of edits, as
+measured by the tests from ``SHORT`` bytes on; a walk reads at most ``STEPS`` bytes, which every item has, so an exact copy has
+the keys of the item. Items below ``SHORT`` bytes are too short for several walks: cut into one piece more than
+edits are allowed, one piece stands unchanged, so every place with the first bytes of a piece is a candidate. It must
+hold enough trigrams of the item, and is confirmed in the same way. None of these is lost.
 
 An item is found where at most ``floor(EDITS * length)`` edits turn it into a part of the text. Case
-of A-Z and the kind of white space do not count. Documents never meet each other here: each task
-holds a block of items (``BLOCK`` at most) and reads its own documents once per block.
+of A-Z and the kind of white space do not count. Documents never meet each other here. The items are read in
+blocks bounded in number and bytes; each block is a pass of its own over the documents that gives the texts with hits only,
+so no task holds more than one block.
 
 Defined results: null and empty texts are clean; null or empty items are never found; repeated
-items are all named; with no items every document is clean.
+items are all named; with no items every document is clean; equal texts have equal results, whatever their ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch
+from . import sketch
 from . import textops as tx
 
 EDITS = 0.1
 BLOCK = 5_000  # items a task holds at once
+BLOCK_BYTES = 4 << 20  # and their bytes; one longer item is a block of its own
+RECALL = 0.95
+SHORT = 64  # items of fewer bytes are found by pieces
+LONG_WORD = 16  # in words of more bytes a walk starts at every character
 WALKS, KEYS_PER_WALK, SAMPLES = 4, 5, 10
 STEPS = 56
 TAIL = 32  # bytes that must follow the start of a walk in an item
@@ -122,7 +137,9 @@ class Items:
         #: item and offset of every walk that starts in an item
         self.keys: dict[int, list[tuple[int, int]]] = {}
         if len(sizes):
-            starts, _, owner = tx.words(data, edges)
+            starts, owner = walk_starts(data, edges)
+            owned = sizes[owner] >= SHORT
+            starts, owner = starts[owned], owner[owned]
             use = (ends[owner] - starts >= TAIL) | (starts == edges[owner])
             starts, owner = starts[use], owner[use]
             place = list(zip(owner.tolist(), (starts - edges[owner]).tolist()))
@@ -133,9 +150,21 @@ class Items:
         #: the q-gram bound of each item alone
         self.grams = [frozenset(grams(np.frombuffer(t, np.uint8), 8).tolist()) for t in self.texts]
         self.least = [len(t) - 7 - 8 * e for t, e in zip(self.texts, self.edits)]
+        #: by their length, the first bytes of the pieces of short items: values, and item and offset of each
+        self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.trigrams: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(sizes < SHORT).tolist():
+            piece = int(sizes[i]) // (self.edits[i] + 1)
+            text = np.frombuffer(self.texts[i], np.uint8)
+            values = exact_grams(text, min(piece, 8))
+            for k in range(self.edits[i] + 1):
+                self.seeds.setdefault(min(piece, 8), {}).setdefault(int(values[k * piece]), []).append((i, k * piece))
+            self.trigrams[i] = np.unique(exact_grams(text, 3))
+        self.seed_lists = {q: np.array(sorted(held), np.uint64) for q, held in self.seeds.items()}
         self.classes = []
-        for c in np.unique(np.floor(np.log(np.maximum(sizes, 2)) / np.log(CLASS_GROWTH))) if len(sizes) else []:
-            inside = [i for i in range(len(sizes)) if np.floor(np.log(max(sizes[i], 2)) / np.log(CLASS_GROWTH)) == c]
+        size_class = np.floor(np.log(np.maximum(sizes, 2)) / np.log(CLASS_GROWTH))
+        for c in np.unique(size_class[sizes >= SHORT]):
+            inside = np.flatnonzero((size_class == c) & (sizes >= SHORT)).tolist()
             for q in (8, 4, 2, 1):
                 least = min(len(self.texts[i]) - q + 1 - q * self.edits[i] for i in inside)
                 if least >= 4 or q == 1:
@@ -147,6 +176,69 @@ class Items:
             self.classes.append((q, table, max(least, 1), longest))
 
 
+def walk_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of words, and of characters in very long words, with their rows."""
+    starts, ends, row = tx.words(data, offsets)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    if not len(long):
+        return starts, row
+    sizes = ends[long] - starts[long]
+    at = np.arange(int(sizes.sum())) + np.repeat(starts[long] - (np.cumsum(sizes) - sizes), sizes)
+    owner = np.repeat(row[long], sizes)
+    first = (data[at] & 0xC0) != 0x80
+    both = np.concatenate((starts, at[first]))
+    both, index = np.unique(both, return_index=True)
+    return both, np.concatenate((row, owner[first]))[index]
+
+
+def exact_grams(data: np.ndarray, q: int) -> np.ndarray:
+    """Every ``q`` consecutive bytes, at most eight, as one number."""
+    n = max(len(data) - q + 1, 0)
+    value = np.zeros(n, np.uint64)
+    for j in range(q):
+        value = (value << tx.U(8)) | data[j : j + n]
+    return value
+
+
+def find_short(low: np.ndarray, offsets: np.ndarray, items: Items, out: list[dict[int, tuple[int, int]]]) -> None:
+    """Short items by their pieces, into ``out``."""
+    text, three = low.tobytes(), None
+    for q, values in items.seed_lists.items():
+        cells = exact_grams(low, q)
+        if not len(cells):
+            continue
+        table = np.zeros(1 << TABLE_BITS, bool)
+        table[(values * GRAM_MULTIPLIER) >> tx.U(64 - TABLE_BITS)] = True
+        place = np.flatnonzero(table[(cells * GRAM_MULTIPLIER) >> tx.U(64 - TABLE_BITS)])
+        at = np.minimum(np.searchsorted(values, cells[place]), len(values) - 1)
+        hit = values[at] == cells[place]
+        place, at = place[hit], at[hit]
+        row = np.searchsorted(offsets, place, "right") - 1
+        whole = place + q <= offsets[row + 1]
+        place, at, row = place[whole], at[whole], row[whole]
+        by = np.argsort(at, kind="stable")
+        place, at, row = place[by], at[by], row[by]
+        cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True]))) if len(at) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            for i, shift in items.seeds[q][int(values[at[a]])]:
+                pattern, edits = items.texts[i], items.edits[i]
+                start, own = place[a:b] - shift, row[a:b]
+                begin = np.maximum(start - edits, offsets[own])
+                end = np.minimum(start + len(pattern) + edits, offsets[own + 1])
+                least = len(pattern) - 2 - 3 * edits
+                if least > 0:
+                    three = exact_grams(low, 3) if three is None else three
+                    wide = begin[:, None] + np.arange(len(pattern) + 2 * edits)
+                    held = np.isin(three[np.minimum(wide, max(len(three) - 1, 0))], items.trigrams[i]) & (wide + 3 <= end[:, None]) if len(three) else np.zeros((len(begin), 1), bool)
+                    enough = held.sum(axis=1) >= least
+                    begin, end, own = begin[enough], end[enough], own[enough]
+                for x, y, r in zip(begin.tolist(), end.tolist(), own.tolist()):
+                    if i not in out[r]:
+                        part = text[x:y]
+                        if pattern in part or edits and edit_distance_within(pattern, part) <= edits:
+                            out[r][i] = (x - int(offsets[r]), y - int(offsets[r]))
+
+
 def grams(data: np.ndarray, q: int) -> np.ndarray:
     """Cells of every ``q`` consecutive bytes."""
     n = len(data) - q + 1
@@ -168,8 +260,12 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[dict[int,
     """Per row the items found, by number, with the byte window they were found in."""
     out: list[dict[int, tuple[int, int]]] = [{} for _ in range(len(offsets) - 1)]
     low = fold(data)
-    starts, _, row = tx.words(low, offsets)
-    if not len(starts) or not items.ids:
+    if items.seeds:
+        find_short(low, offsets, items, out)
+    if not items.classes:
+        return out
+    starts, row = walk_starts(low, offsets)
+    if not len(starts):
         return out
     # words inside a window that may hold an item
     change = np.zeros(len(starts) + 1, np.int64)
@@ -211,28 +307,67 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[dict[int,
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+def _blocks(benchmark: DataFrame, count: int, limit: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks bounded in number and bytes, read one partition at a time."""
+    known = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
+    held, size = [], 0
+    for item_id, text in known.toLocalIterator():
+        more = len(text.encode())
+        if held and (len(held) >= count or size + more > limit):
+            yield held
+            held, size = [], 0
+        held.append((item_id, text))
+        size += more
+    if held:
+        yield held
+
+
+def _hits(held: Broadcast):
+    schema = pa.schema([("key", pa.int64()), ("items", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items([i for i, _ in held.value], [t for _, t in held.value])
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for i, j, data, offsets in tx.pieces(batch.column("text"), PIECE):
+                found = find(data, offsets, items)
+                rows = [k for k in range(j - i) if found[k]]
+                if rows:
+                    names = [sorted({items.ids[x] for x in found[k]}) for k in rows]
+                    yield pa.record_batch([keys[i:j][rows], pa.array(names, pa.list_(pa.int64()))], schema=schema)
+
+    return run, "key bigint, items array<bigint>"
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` with the sorted ids of the items found in each, as column ``items``.
 
     An input column of that name is replaced.
     """
     spark = docs.sparkSession
-    known = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    blocks = max(1, -(-known.count() // block))
-    rows = docs.withColumn("items", F.array().cast("array<bigint>"))
-    for number in range(blocks):
-        own = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number).orderBy("item_id", "text").collect()
-        held = spark.sparkContext.broadcast(([r.item_id for r in own], [r.text for r in own]))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            items = Items(*held.value)
+    key = F.xxhash64(F.col("text"))
+    texts = docs.where("length(text) > 0").select(key.alias("key"), "text")
+    passes = [texts.mapInArrow(*_hits(spark.sparkContext.broadcast(held))) for held in _blocks(benchmark, block, block_bytes)]
+    none = F.array().cast("array<bigint>")
+    if not passes:
+        return docs.withColumn("items", none)
+    path = scratch(spark, "contaminated")
+    found = reduce(DataFrame.unionByName, passes).groupBy(F.col("key").alias("_text_key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_found"))
+    found.write.parquet(path)
+    found = spark.read.parquet(path)
+    # only rows whose key is marked are shuffled
+    marks = sketch.bitmap(F.col("_text_key"), found)
+    rows = docs.withColumns({"items": none, "_text_key": F.when(F.col("text").isNull(), F.lit(0)).otherwise(key)})
+
+    def split(marked: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                names = []
-                for _, _, data, offsets in tx.pieces(batch.column("text"), PIECE):
-                    names += [[items.ids[k] for k in f] for f in find(data, offsets, items)]
-                at = batch.schema.get_field_index("items")
-                whole = [sorted({*old, *new}) for old, new in zip(batch.column(at).to_pylist(), names)]
-                yield batch.set_column(at, batch.schema.field(at), pa.array(whole, batch.schema.field(at).type))
-
-        rows = rows.mapInArrow(run, rows.schema)
-    return rows
+                cell = batch.column("_text_key").to_numpy() & ((1 << sketch.MARK_BITS) - 1)
+                hit = (marks.value[cell >> 5] >> (cell & 31).astype(np.uint32)) & 1 == 1
+                yield batch.filter(pa.array(hit if marked else ~hit))
+
+        return run
+
+    clean = rows.mapInArrow(split(False), rows.schema)
+    named = rows.mapInArrow(split(True), rows.schema).join(found, "_text_key", "left").withColumn("items", F.coalesce("_found", "items"))
+    return clean.unionByName(named.select(rows.columns)).drop("_text_key")
