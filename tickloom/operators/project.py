@@ -336,6 +336,18 @@ def project_activity(log: DataFrame) -> DataFrame:
     return first_per_key(rows, ["event_time", "event_id"], F.col("insert_seq"))
 
 
+def activity_of(log: DataFrame, asset: str, until: int | None = None) -> DataFrame:
+    """One asset's timeline, of events up to a time: only rows that can be the asset's are parsed and ranked.
+
+    An event's asset is its reference or stands in its payload, as it is or, in part, as escapes.
+    """
+    payload = F.col("payload")
+    near = (F.col("refs.mint") == asset) | payload.contains(asset) | payload.contains("\\u")
+    if until is not None:
+        near = near & (F.col("event_unix_ts") <= until)
+    return project_activity(log.where(near)).where(F.col("asset_id") == asset)
+
+
 # --- batches ------------------------------------------------------------------------
 
 

@@ -223,13 +223,13 @@ def _page_sql(where: str, limit: int) -> str:
 
 @query("activity_page", ACTIVITY + _shown("activity") + _page_sql("TRUE", 60), ["chain_log", "ev_meta"])
 def activity_page(spark, sf):
-    rows = P.project_activity(B.chain_log(spark, sf))
+    rows = P.activity_of(B.chain_log(spark, sf), "A06")
     return G.activity_page(rows, B.ev_meta(spark, sf), "A06", 60, None, B.position(spark, sf, 5)).select(*PAGE_COLS.split(", "))
 
 
 @query("activity_page_next", ACTIVITY + _shown("activity") + _page_sql("(event_unix_ts, slot, insert_seq) < (1705000000, 1000, 4000)", 500), ["chain_log", "ev_meta"])
 def activity_page_next(spark, sf):
-    rows = P.project_activity(B.chain_log(spark, sf))
+    rows = P.activity_of(B.chain_log(spark, sf), "A06", 1705000000)
     return G.activity_page(rows, B.ev_meta(spark, sf), "A06", 500, (1705000000, 1000, 4000), B.position(spark, sf, 5)).select(*PAGE_COLS.split(", "))
 
 
