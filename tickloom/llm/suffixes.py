@@ -9,9 +9,9 @@ every distinct context are fetched once, and groups that hold all equal windows
 shards: whole anchors, and of an anchor with more than ``CROWD`` contexts its parts. A shard's suffix
 array is built by induced sorting: suffixes are classified, the leftmost-smaller substrings sorted
 and named, their order found on the names, and all others induced, bucket by bucket in numpy. The
-permuted common prefixes give neighbours that agree in 100 bytes, and each such run its earliest
+permuted common prefixes, found in one pass in text order (``runs``), give neighbours that agree in 100 bytes, and each such run its earliest
 place. The string of names has an alphabet as large as itself; it is ordered by doubling ranks
-instead of another round of buckets, and only as deep as windows reach.
+instead of another round of buckets, and only among names not yet told apart.
 
 Equal windows have equal anchors at equal offsets, so they always meet in one shard. The windows of a
 crowded anchor are cut by their offset to it, into halves of the range of offsets; all windows of a
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from ..session import scratch
 from . import sketch
 from . import textops as tx
+from .runs import common_prefixes, suffix_order
 from .substrings import keyed
 
 LENGTH = 100
@@ -100,24 +101,8 @@ def _induce(text: np.ndarray, smaller: np.ndarray, alphabet: int, lms: np.ndarra
     return order
 
 
-def _double(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names by their first ``depth`` names at least."""
-    rank, step = names.astype(np.int64), 1
-    while True:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[:-step] = rank[step:] + 1
-        _, both = np.unique(rank * (int(rank.max()) + 2) + ahead, return_inverse=True)
-        step *= 2
-        rank = both
-        if step >= min(depth, len(rank)) or int(rank.max()) + 1 == len(rank):
-            return np.argsort(rank, kind="stable")
-
-
-def suffix_array(text: np.ndarray, alphabet: int, depth: int | None = None) -> np.ndarray:
-    """Starts of the suffixes in order; symbols are 0..alphabet-1 below 256, a prefix sorts first.
-
-    With ``depth`` suffixes that agree in that many symbols may come in any order.
-    """
+def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
+    """Starts of the suffixes in order; symbols are 0..alphabet-1 below 256, a prefix sorts first."""
     n = len(text)
     if n < 2:
         return np.arange(n)
@@ -146,33 +131,7 @@ def suffix_array(text: np.ndarray, alphabet: int, depth: int | None = None) -> n
     name[sequence] = np.cumsum(new) - 1
     if new.all():
         return _induce(text, smaller, alphabet, sequence)
-    # every name stands for two symbols or more
-    return _induce(text, smaller, alphabet, lms[_double(name[lms], n if depth is None else depth // 2 + 2)])
-
-
-def permuted_common_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """In text order, how many symbols a suffix shares with the one before it in the order.
-
-    Found by halving on running hashes and cut at ``length`` rounded up to a power of two, less one.
-    """
-    n = len(order)
-    sums = tx.prefix_hash(data)
-    before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    shared = np.zeros(n, np.int64)
-    here = np.flatnonzero(before >= 0)
-    there = before[here]
-    got = np.zeros(len(here), np.int64)
-    room = n - np.maximum(here, there)
-    step = 1 << (length.bit_length() - 1)
-    while step:
-        fits = np.flatnonzero(got + step <= room)
-        a, b = here[fits] + got[fits], there[fits] + got[fits]
-        same = tx.span_hash(sums, a, a + step) == tx.span_hash(sums, b, b + step)
-        got[fits[same]] += step
-        step //= 2
-    shared[here] = got
-    return shared
+    return _induce(text, smaller, alphabet, lms[suffix_order(name[lms])[0]])
 
 
 def earliest(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -187,8 +146,8 @@ def earliest(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray, length
     symbol[inside] = data[inside].astype(np.int64) + 1
     # only symbols that occur need a bucket; utf-8 never uses them all, so one byte holds them
     present, dense = np.unique(symbol, return_inverse=True)
-    order = suffix_array(dense, len(present), 2 * length)
-    agree = permuted_common_prefixes(dense.astype(np.uint8), order, length)[order] >= length
+    order = suffix_array(dense, len(present))
+    agree = common_prefixes(dense.astype(np.int16), order)[order] >= length
     group = np.empty(len(data), np.int64)
     group[order] = np.cumsum(~agree)
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)
