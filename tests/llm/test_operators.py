@@ -222,6 +222,50 @@ def test_binomial_tail(spark):
         assert p == pytest.approx(1.0 if k >= n * 0.01 else sum(comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(k + 1)))
 
 
+def test_cutoffs_against_plain_choice(spark):
+    """The same cutoffs as a plain selection on one half and a plain sequence of exact tests on the other."""
+    from math import comb
+
+    rng = random.Random(3)
+    rules, rows, labels = quality_rules.RULES, [], []
+    for i in range(4000):
+        lang = rng.choice(["en", "en", "de", None])
+        bad = rng.random() < 0.3
+        row = {r: rng.random() * cs[-1] * 1.5 if rng.random() < (0.5 if bad else 0.001) else 0.0 for r, cs in rules.items()}
+        rows.append((i, "none" if lang is None else "=" + lang, i % 50 == 0, *row.values()))
+        if rng.random() < 0.8:
+            labels.append((i, int(not bad) if rng.random() < 0.99 else None))
+    measured = spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean, " + ", ".join(f"{r} double" for r in rules))
+    found = quality_rules.cutoffs(measured, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    known = {i: q for i, q in labels if q is not None}
+    want, lines = [], {}
+    for stratum in {r[1] for r in rows}:
+        mine = [(r, known[r[0]]) for r in rows if r[1] == stratum and not r[2] and r[0] in known]
+        half = {h: [(r, q) for r, q in mine if (zlib.crc32(str(r[0]).encode()) % 2 == 0) == h] for h in (True, False)}
+        line = []
+        for k, (rule, cs) in enumerate(rules.items()):
+            best = None
+            for c in cs:
+                n = sum(q for _, q in half[False])
+                lost, caught = sum(q and r[3 + k] > c for r, q in half[False]), sum(not q and r[3 + k] > c for r, q in half[False])
+                if caught > lost and lost <= quality_rules.ALPHA * n:
+                    best = max(best or (0, 0), (caught - lost, c))
+            if best:
+                line.append((-best[0], rule, best[1]))
+        if line:
+            lines[stratum] = (sorted(line), half[True])
+    for stratum, (line, held) in lines.items():
+        n = sum(q for _, q in held)
+        for j in range(len(line)):
+            hit = [any(r[3 + list(rules).index(rule)] > c for _, rule, c in line[: j + 1]) for r, _ in held]
+            k = sum(q and h for (_, q), h in zip(held, hit))
+            tail = sum(comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)) if k < n * 0.02 else 1
+            if tail > quality_rules.DELTA / len(lines):
+                break
+            want.append((stratum, line[j][1], line[j][2], n, k, sum(not q and h for (_, q), h in zip(held, hit))))
+    assert sorted(map(tuple, found)) == sorted(want) and len({w[0] for w in want}) >= 2
+
+
 def test_certified_cutoffs_hold(spark):
     good = [(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(6000)]
     bad = [(10_000 + i, " ".join(f"w{i}y{k}***" for k in range(60))) for i in range(300)]
