@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm import decontaminate, masks, mtree, queries, runs
+from tickloom.llm import decontaminate, masks, mtree, pieces, queries, runs
 
 from . import brute
 from .test_operators import frame, rows_of
@@ -340,3 +340,59 @@ def test_items_against_brute_force(spark):
             assert {i for i in want[r.text] if len(dict(items)[i].strip()) < decontaminate.SHORT} <= set(r["items"])
         caught, all_ = sum(len(r["items"]) for r in rows), sum(len(want[r.text]) for r in rows)
         assert caught >= decontaminate.RECALL * all_
+
+
+# --- subword models of other kinds --------------------------------------------------
+
+
+def _number(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _field(n, body):
+    return _number(n << 3 | 2) + _number(len(body)) + body
+
+
+def rewritten(model, scored=False, spec=b"", user=()):
+    """The given model as one of scored pieces, with another normaliser, or with pieces defined by a user."""
+    out = b""
+    for k, v in pieces._fields(model):
+        if k == 1 and next(x for n, x in pieces._fields(v) if n == 1).decode() in user:
+            v += _number(3 << 3) + _number(4)
+        v += (_number(3 << 3) + _number(1)) * (k == 2 and scored) + spec * (k == 3)
+        out += _field(k, v)
+    return out
+
+
+@pytest.mark.parametrize(
+    "kind",
+    [{}, dict(spec=_number(3 << 3) + _number(0)), dict(spec=_number(4 << 3) + _number(1)), dict(user=("quick", "tion", "▁the", "x")), dict(scored=True), dict(spec="map"), dict(spec="map", scored=True), dict(spec="map", user=("tion", "①")), dict(user=("quick", "▁the"), scored=True)],
+)
+def test_models_against_the_library(kind, tmp_path):
+    import sentencepiece
+
+    if kind.get("spec") == "map":
+        normaliser = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+        spec = next(v for k, v in pieces._fields(normaliser) if k == 3)
+        kind = dict(kind, spec=b"".join(_field(2, v) for n, v in pieces._fields(spec) if n == 2))
+    with open(pieces.default_model(), "rb") as f:
+        model = rewritten(f.read(), **kind)
+    path = tmp_path / "own.model"
+    path.write_bytes(model)
+    library, own, rng = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Segmenter(str(path)), random.Random(4)
+    parts = [*"abc x\t\n é½ñÇ①Ａ㍿ﬁﾞⅣ…🙂▁", "é", "ｶﾞ", "你好", "안녕", " the ", " quick", "ing", "tion", "　", "​", "ﷺ", "information is the best"]
+    texts = ["", " ", "the  quick   ", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(250))]
+    if kind.get("scored"):
+        # the library sums in 32 bits, and what no piece covers costs 1e9 in this model: later scores would vanish beside it
+        parts = [*"abcxq", " the", " quick", "ing", "tion", "information is the best", *(["①", "Ａ", "Ⅳ"] if kind.get("spec") else [])]
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(250)]
+    # of a model of scores the library's lattice is asked: its quick way does not always give the best path
+    wanted = [library.nbest_encode_as_ids(t, 2)[0] if kind.get("scored") and t.strip() else library.encode(t) for t in texts]
+    score = library.get_score
+    for t, want in zip(texts, wanted):
+        got = np.frombuffer(own.encode(t), "<i4").tolist()
+        # paths of one weight may differ, in the library's 32-bit sums
+        assert got == want or kind.get("scored") and sum(map(score, got)) == pytest.approx(sum(map(score, want)), rel=1e-6), t

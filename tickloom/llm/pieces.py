@@ -1,20 +1,21 @@
 """Subword encoding and decoding as a weighted finite-state transducer.
 
-The model file is compiled into three parts: the normaliser (white space to its mark, the dummy
-prefix), the pieces as a trie from characters to ids, and the byte fallback as arcs for characters
-without a piece. Composed with an input they give a lattice of pieces over its positions. Arcs
-between pieces carry tropical weights: for a model of scored pieces the negative score; for a
+The model file is compiled into three parts: the normaliser (a trie of characters to be replaced, longest
+match first, then white space to its mark and the dummy prefix), the pieces as a trie from characters to ids, and the byte
+fallback as arcs for characters without a piece. Composed with an input they give a lattice of pieces over its
+positions. Arcs between pieces carry tropical weights: for a model of scored pieces the negative score; for a
 merge model zero where the merges of the model leave exactly this pair of pieces side by side,
 and infinite otherwise. The shortest path is then the model's own segmentation: for merges it is
 the only path of finite weight, and for every prefix there is one, so one state per position is
-enough.
+enough. Pieces that the model's user has defined pass the normaliser unchanged; in a merge model they part the lattice, in
+a model of scores their arcs cost less than any others over the same characters.
 
 Pieces never hold a space mark after another character, so words are separate sub-lattices; each
 distinct word of a task is solved once. The file's path is a parameter and is opened on the
 workers, where it must exist.
 
 Defined results: null and empty texts have no ids and decode to ''. Decoding inverts encoding up
-to the model's own reading of marks and white space: a text with '▁' decodes to one with spaces.
+to the model's own reading of marks, replaced characters and white space: a text with '▁' decodes to one with spaces.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ SPACE = "▁"
 WORDS_HELD = 250_000  # in each of two generations
 PAIRS_HELD = 50_000  # pieces whose right neighbours are known
 SHORT = 64  # longest word that is held
+AHEAD = 16  # characters that one entry of a character map covers at most
 
 
 def default_model() -> str:
@@ -53,6 +55,57 @@ class Compiled:
     merges: bool
     prefix: bool
     squeeze: bool
+    escape: bool
+    chars: CharacterMap | None
+    defined: re.Pattern | None  # the pieces defined by the user, longest first
+    user: frozenset[int]
+    least: float  # of the scores of ordinary pieces
+    most: float  # zero at least
+
+
+class CharacterMap:
+    """The model's map of characters: a double-array trie over bytes, and the replacements it leads to.
+
+    A unit of the trie holds a label, an offset and whether a value follows, in fixed bit places.
+    """
+
+    def __init__(self, blob: bytes):
+        size = int.from_bytes(blob[:4], "little")
+        self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
+        self.texts = blob[4 + size :]
+        self.held: dict[str, tuple[str, int]] = {}
+
+    def _longest(self, data: bytes) -> tuple[int, int]:
+        """Value and length of the longest key at the start; length 0 where there is none."""
+        units, found = self.units, (0, 0)
+        at = self._offset(units[0])
+        for n, c in enumerate(data, 1):
+            at ^= c
+            if at >= len(units) or units[at] & 0x800000FF != c:
+                break
+            leaf = units[at] >> 8 & 1
+            at ^= self._offset(units[at])
+            if leaf:
+                found = (units[at] & 0x7FFFFFFF, n)
+        return found
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 0x200) >> 6)
+
+    def __call__(self, text: str, at: int) -> tuple[str, int]:
+        """What the text starts with from a place on, replaced, and how many characters that takes."""
+        ahead = text[at : at + AHEAD]
+        known = self.held.get(ahead)
+        if known is None:
+            value, size = self._longest(ahead.encode())
+            if size:
+                known = self.texts[value : self.texts.index(b"\0", value)].decode(), len(ahead.encode()[:size].decode())
+            else:
+                known = ahead[0], 1
+            if len(self.held) < WORDS_HELD:
+                self.held[ahead] = known
+        return known
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -86,7 +139,8 @@ def compile_model(path: str) -> Compiled:
     with open(path, "rb") as f:
         top = list(_fields(f.read()))
     ids, score, surface, byte_ids, unknown = {}, [], [], [0] * 256, 0
-    merges, prefix, squeeze = False, True, True
+    merges, prefix, squeeze, escape, chars, defined = False, True, True, True, None, []
+    normal = []
     for field, value in top:
         if field == 1:
             piece, points, kind = "", 0.0, 1
@@ -99,25 +153,30 @@ def compile_model(path: str) -> Compiled:
                     kind = v
             number = len(score)
             score.append(points)
+            normal += [points] * (kind == 1)
             surface.append(piece.replace(SPACE, " ").encode() if kind in (1, 4) else b"")
             if kind in (1, 4):
                 ids.setdefault(piece, number)
+                defined += [piece] * (kind == 4)
             elif kind == 6:
                 byte_ids[int(piece[1:-1], 16)] = number
                 surface[number] = bytes([int(piece[1:-1], 16)])
             elif kind == 2:
                 unknown = number
         elif field == 2:
-            merges = any(k == 3 and v == 2 for k, v in _fields(value))
+            merges = [v for k, v in _fields(value) if k == 3][-1:] == [2]
         elif field == 3:
             for k, v in _fields(value):
                 if k == 2 and v:
-                    raise ValueError("only models with an identity character map are compiled")
-                if k == 3:
+                    chars = CharacterMap(v)
+                elif k == 3:
                     prefix = bool(v)
                 elif k == 4:
                     squeeze = bool(v)
-    return Compiled(ids, score, surface, byte_ids, unknown, max(map(len, ids), default=1), merges, prefix, squeeze)
+                elif k == 5:
+                    escape = bool(v)
+    own = re.compile("|".join(map(re.escape, sorted(defined, key=lambda p: (-len(p), p))))) if defined else None
+    return Compiled(ids, score, surface, byte_ids, unknown, max(map(len, ids), default=1), merges, prefix, squeeze, escape, chars, own, frozenset(ids[p] for p in defined), min(normal, default=0.0), max([0.0, *normal]))
 
 
 class Segmenter:
@@ -136,12 +195,29 @@ class Segmenter:
         else:
             self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if "\n" not in inside else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
+    def _replaced(self, text: str) -> str:
+        """The text through the character map, except for the user's pieces."""
+        out, at = [], 0
+        while at < len(text):
+            own = self.m.defined.match(text, at) if self.m.defined else None
+            part, size = (own.group(), own.end() - at) if own else self.m.chars(text, at)
+            out.append(part)
+            at += size
+        return "".join(out)
+
     def normalise(self, text: str) -> str:
+        if self.m.chars is not None:
+            text = self._replaced(text)
         if self.m.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
             return ""
-        return (SPACE if self.m.prefix else "") + text.replace(" ", SPACE)
+        text = (" " if self.m.prefix else "") + text
+        if self.m.escape:
+            text = text.replace(" ", SPACE)
+            # a mark that stood in the text goes with the spaces at the end
+            text = text.rstrip(SPACE) if self.m.squeeze else text
+        return text
 
     def merge(self, text: str) -> list[str]:
         """What the model's merges make of a short text: best score first, leftmost on ties."""
@@ -150,7 +226,7 @@ class Segmenter:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 k = ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or score[k] > best):
+                if k is not None and k not in self.m.user and (best is None or score[k] > best):
                     best, at = score[k], i
             if best is None:
                 break
@@ -215,13 +291,19 @@ class Segmenter:
     def _best_scores(self, word: str) -> list[str]:
         m, n = self.m, len(word)
         cost, back = [0.0] + [np.inf] * n, [0] * (n + 1)
-        floor = min(m.score) - 10.0
+        # as the library has it: what no piece covers costs ten more than the worst, the user's pieces win
+        floor = m.least - 10.0
         for end in range(1, n + 1):
             for start in range(max(0, end - m.longest), end):
                 k = m.ids.get(word[start:end])
                 if k is None and end - start > 1:
                     continue
-                c = cost[start] - (m.score[k] if k is not None else floor)
+                if k is None:
+                    c = cost[start] - floor
+                elif k in m.user:
+                    c = cost[start] - ((end - start) * m.most - 0.1)
+                else:
+                    c = cost[start] - m.score[k]
                 if c < cost[end]:
                     cost[end], back[end] = c, start
         out, at = [], n
@@ -232,6 +314,8 @@ class Segmenter:
 
     def solve(self, word: str) -> bytes:
         m, out = self.m, []
+        if m.merges and m.ids.get(word) in m.user:
+            return array("i", [m.ids[word]]).tobytes()
         for piece in self.path(word):
             k = m.ids.get(piece)
             if k is not None:
@@ -241,13 +325,23 @@ class Segmenter:
                 out += fallback if all(fallback) else [m.unknown]
         return array("i", out).tobytes()
 
+    def words_of(self, text: str) -> list[str]:
+        """Sub-lattices of a normalised text; in a merge model the user's pieces stand alone."""
+        if self.m.defined is None or not self.m.merges:
+            return self.cut.findall(text)
+        out, at = [], 0
+        for own in self.m.defined.finditer(text):
+            out += [*self.cut.findall(text[at : own.start()]), own.group()]
+            at = own.end()
+        return out + self.cut.findall(text[at:])
+
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit integers."""
         if len(self.words) > WORDS_HELD:
             self.words, self.older = {}, self.words
             self.tails.clear()
         held, older, out = self.words, self.older, []
-        for w in self.cut.findall(self.normalise(text)):
+        for w in self.words_of(self.normalise(text)):
             ids = held.get(w)
             if ids is None:
                 ids = older.get(w) or self.solve(w)
