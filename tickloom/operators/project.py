@@ -383,10 +383,10 @@ def read_model(state: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 def replay_from(log: DataFrame, offset: int, state: Mapping[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """State with everything after ``offset`` applied, and the new high-water mark (one row).
 
-    Offset 0 without a state rebuilds. The batch is as large as the caller lets it be;
+    Offset 0 without a state rebuilds, from position 0 on. The batch is as large as the caller lets it be;
     the result does not depend on where it is cut.
     """
-    rest = log.where(F.col("log_id") > offset)
+    rest = log if state is None and offset == 0 else log.where(F.col("log_id") > offset)
     delta = project_batch(rest)
     mark = rest.agg(F.greatest(F.coalesce(F.max("log_id"), F.lit(offset)), F.lit(offset)).cast("bigint").alias("last_log_id"))
     return (dict(delta) if state is None else merge_state(state, delta)), mark
