@@ -28,7 +28,7 @@ from ..functions.scalars import (
     quote_decimals_native_first,
     scale_amount,
 )
-from .common import first_per_key, top_per_key
+from .common import first_per_key, shuffled, top_per_key
 from .logscan import latest_event
 from .metrics import latest_trade, price_changes, trade_summary
 from .project import active_market, project_activity
@@ -61,7 +61,7 @@ def _snapshot_rows(tokens: DataFrame, meta: DataFrame) -> DataFrame:
         "is_mayhem_mode", "is_cashback_enabled",
     )
     return (
-        tokens.join(m, "asset_id", "left")
+        tokens.join(shuffled(m), "asset_id", "left")
         .withColumn("creator", F.coalesce("_c", "creator"))
         .withColumn("bonding_curve", F.coalesce("_b", "bonding_curve"))
         .withColumn("token_program", F.coalesce("_t", "token_program"))
@@ -86,7 +86,7 @@ def search(tokens: DataFrame, meta: DataFrame, metrics: DataFrame, text: str, li
     """
     wanted = text.strip()
     names = meta.select("asset_id", "name", "symbol", "image_uri")
-    rows = tokens.select("asset_id", "first_seen_at").join(names, "asset_id", "left")
+    rows = tokens.select("asset_id", "first_seen_at").join(shuffled(names), "asset_id", "left")
     name, symbol = F.coalesce("name", F.lit("")), F.coalesce("symbol", F.lit(""))
     if not wanted:
         rows = rows.limit(0)
@@ -139,7 +139,7 @@ def liquidity(log: DataFrame, priced: DataFrame) -> DataFrame:
     ``priced`` has asset_id, latest_price, decimals, quote_decimals and the active market's
     mints and decimals (``active_base_mint`` and so on).
     """
-    df = priced.join(latest_reserves(log), "asset_id", "inner")
+    df = priced.join(shuffled(latest_reserves(log)), "asset_id", "inner")
     asset, price = F.col("asset_id"), F.col("latest_price")
     zero = F.lit(0.0)
 
@@ -195,7 +195,7 @@ def board(
         "asset_id", "latest_price", "latest_trade_at", F.col(f"anchor_price_{w}").alias("anchor_price"),
         *(F.col(f"{c}_{w}").alias(f"{c}_window") for c in ("volume", "txns", "buys", "sells")),
     )
-    rows = _snapshot_rows(tokens, meta).join(active, "active_market_id", "left").join(numbers, "asset_id", "left")
+    rows = _snapshot_rows(tokens, meta).join(shuffled(active), "active_market_id", "left").join(shuffled(numbers), "asset_id", "left")
     counts = {f"{c}_window": F.coalesce(F.col(f"{c}_window"), F.lit(0)) for c in ("volume", "txns", "buys", "sells")}
     rows = rows.withColumns(counts).withColumns(
         {
@@ -210,7 +210,7 @@ def board(
     if limit is not None:
         page = rows.orderBy(*order).limit(limit)
         chosen = log.join(page.select(F.col("asset_id").alias("_a")), F.col("refs.mint") == F.col("_a"), "left_semi")
-    out = page.join(liquidity(chosen, page), "asset_id", "left")
+    out = page.join(shuffled(liquidity(chosen, page)), "asset_id", "left")
     return out.drop("anchor_price").orderBy(*order)
 
 
@@ -246,7 +246,7 @@ def _formatted(rows: DataFrame, meta: DataFrame) -> DataFrame:
     quote_dec = F.when(F.col("quote_mint").isNotNull(), quote_decimals_native_first(F.col("quote_mint"), F.col("_qd")))
     token, quote = F.col("token_amount_raw").cast("string"), F.col("quote_amount_raw").cast("string")
     return (
-        rows.join(m, "asset_id", "left")
+        rows.join(shuffled(m), "asset_id", "left")
         .withColumns(
             {
                 "token_amount": format_amount(token, F.col("_td")),
@@ -351,7 +351,7 @@ def token_detail(
     changes = price_changes(summary).select("asset_id", F.struct("m5", "h1", "h4", "h24").alias("price_changes"))
     out = snap
     for part in (create, market_list, trade_list, event_list, moved, current, stats, changes):
-        out = out.join(part, "asset_id", "left")
+        out = out.join(shuffled(part), "asset_id", "left")
     mint = F.coalesce(empty_to_null(F.col("_traded_quote")), empty_to_null(F.col("quote_mint")))
     quote = F.when(
         mint.isNotNull(),
@@ -387,7 +387,7 @@ def token_overview(tokens: DataFrame, meta: DataFrame, log: DataFrame, markets:
         "latest_event_unix_ts", "latest_price",
     )
     return (
-        tokens.join(made, "create_event_id", "left").join(market, "active_market_id", "left").join(last, "asset_id", "left")
+        tokens.join(shuffled(made), "create_event_id", "left").join(shuffled(market), "active_market_id", "left").join(shuffled(last), "asset_id", "left")
         .orderBy(F.desc("first_seen_at"), "asset_id")
     )
 
@@ -431,7 +431,7 @@ def live_activity(log: DataFrame, detail: DataFrame) -> DataFrame:
         .when(quote == F.col("d_market_quote_mint"), F.coalesce("d_market_quote_decimals", nine))
         .otherwise(F.coalesce("d_quote_decimals", nine))
     )
-    joined = rows.join(d, "asset_id", "left").withColumn("_t", token_dec).withColumn("_q", quote_dec)
+    joined = rows.join(shuffled(d), "asset_id", "left").withColumn("_t", token_dec).withColumn("_q", quote_dec)
     token, total = F.col("token_amount_raw").cast("string"), F.col("quote_amount_raw").cast("string")
     price = F.try_divide(scale_amount(F.col("quote_amount_raw"), F.col("_q")), scale_amount(F.col("token_amount_raw"), F.col("_t")))
     return joined.select(

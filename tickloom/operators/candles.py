@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..constants import CURVE, DEFAULT_TOKEN_DECIMALS, NATIVE_DECIMALS, RESOLUTIONS, ROLLUP_FROM
 from ..functions.display import bucket_start
 from ..functions.scalars import normalize_price, quote_decimals_of, raw_price, scale_amount
-from .common import first_per_key
+from .common import first_per_key, shuffled
 
 YEAR = 365 * 86400
 CANDLE = ["open_raw_price", "high_raw_price", "low_raw_price", "close_raw_price"]
@@ -83,7 +83,7 @@ def display_candles(bars: DataFrame, meta: DataFrame) -> DataFrame:
     def price(name: str) -> Column:
         return normalize_price(F.col(f"{name}_raw_price"), F.col("decimals"), quote_dec).alias(name)
 
-    return bars.join(m, "asset_id", "left").select(
+    return bars.join(shuffled(m), "asset_id", "left").select(
         "asset_id",
         F.col("bucket").alias("time"),
         *(price(n) for n in ("open", "high", "low", "close")),
@@ -188,7 +188,7 @@ def stage_markers(log: DataFrame, size: int, meta: DataFrame | None = None) -> D
     )
     decimals: Column = F.lit(DEFAULT_TOKEN_DECIMALS)
     if meta is not None:
-        moves = moves.join(meta.select("asset_id", "decimals"), "asset_id", "left")
+        moves = moves.join(shuffled(meta.select("asset_id", "decimals")), "asset_id", "left")
         decimals = F.coalesce(F.col("decimals"), decimals)
     price = F.try_divide(
         scale_amount(F.col("_quote"), F.lit(NATIVE_DECIMALS)), scale_amount(F.col("_token"), decimals)

@@ -31,6 +31,15 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], lim
     return df.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def shuffled(per_key: DataFrame) -> DataFrame:
+    """The side of a join that has a row per key, kept out of the driver.
+
+    Spark judges a side by its file size, which knows neither how far rows were packed nor that ``explode`` repeats them,
+    and would send millions of keys through the driver as a broadcast.
+    """
+    return per_key.hint("merge")
+
+
 def spread_join(
     rows: DataFrame,
     per_key: DataFrame,
@@ -42,13 +51,13 @@ def spread_join(
     """Join many rows per key with a side that has at most one row per key.
 
     A single asset may own a third of all rows, so its rows are spread over ``salts``
-    tasks by a hash of ``spread`` and the one-row side is repeated that often. Where the
-    runtime sees the one-row side is small it broadcasts it and the salt costs nothing.
+    tasks by a hash of ``spread`` and the one-row side is repeated that often. The repeated
+    side is shuffled, see ``shuffled``.
     """
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     left = rows.withColumn("_salt", salt)
     right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return left.join(shuffled(right), [*on, "_salt"], how).drop("_salt")
 
 
 def requested(df: DataFrame, assets: DataFrame | Sequence[str] | None) -> DataFrame:
@@ -56,14 +65,11 @@ def requested(df: DataFrame, assets: DataFrame | Sequence[str] | None) -> DataFr
     if assets is None:
         return df
     if isinstance(assets, DataFrame):
-        return df.join(assets.select("asset_id").distinct(), "asset_id", "left_semi")
+        return df.join(shuffled(assets.select("asset_id").distinct()), "asset_id", "left_semi")
     return df.where(F.col("asset_id").isin(list(assets)))
 
 
 def requested_left(assets: DataFrame, df: DataFrame, zero: Sequence[str] = ()) -> DataFrame:
-    """Every asked asset once, with nulls (or zeros) where ``df`` has no row for it.
-
-    No broadcast hint: the runtime broadcasts the asked side when it is small enough.
-    """
-    out = assets.select("asset_id").distinct().join(df, "asset_id", "left")
+    """Every asked asset once, with nulls (or zeros) where ``df`` has no row for it."""
+    out = assets.select("asset_id").distinct().join(shuffled(df), "asset_id", "left")
     return out.fillna(0, subset=list(zero)) if zero else out

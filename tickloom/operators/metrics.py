@@ -17,7 +17,7 @@ from ..functions.scalars import (
     scale_amount,
     trade_price,
 )
-from .common import display_key, requested, requested_left, spread_join
+from .common import display_key, requested, requested_left, shuffled, spread_join
 
 COUNTS = ["txns", "buys", "sells"]
 VOLUMES = ["volume", "buy_volume", "sell_volume"]
@@ -26,11 +26,13 @@ DAY = 86400
 
 
 def _meta(meta: DataFrame) -> DataFrame:
-    return meta.select(
-        "asset_id",
-        F.col("decimals").alias("_td"),
-        F.col("quote_mint").alias("_mq"),
-        F.col("quote_decimals").alias("_mqd"),
+    return shuffled(
+        meta.select(
+            "asset_id",
+            F.col("decimals").alias("_td"),
+            F.col("quote_mint").alias("_mq"),
+            F.col("quote_decimals").alias("_mqd"),
+        )
     )
 
 
@@ -199,7 +201,7 @@ def merge_windows(
     long: DataFrame, short: DataFrame, windows: Sequence[str] = tuple(LONG_WINDOWS), tail: str = "5m"
 ) -> DataFrame:
     """Long windows plus the short tail: counters add up, the long anchor wins."""
-    joined = long.join(short, "asset_id", "left")
+    joined = long.join(shuffled(short), "asset_id", "left")
     out = ["asset_id"]
     for name in windows:
         out.append(F.coalesce(f"anchor_price_{name}", f"anchor_price_{tail}").alias(f"anchor_price_{name}"))
@@ -251,8 +253,8 @@ def current_metrics(
 
     names = [*SHORT_WINDOWS, *long]
     return (
-        latest.join(short, "asset_id", "left")
-        .join(merged, "asset_id", "left")
+        latest.join(shuffled(short), "asset_id", "left")
+        .join(shuffled(merged), "asset_id", "left")
         .select(
             "asset_id",
             "latest_price",
@@ -358,7 +360,7 @@ def price_anchors(trades: DataFrame, meta: DataFrame, probes: Mapping[str, int]
 
 
 def trade_summary(trades: DataFrame, meta: DataFrame, probes: Mapping[str, int] = SUMMARY_PROBES) -> DataFrame:
-    return price_anchors(trades, meta, probes).join(stats_24h(trades, meta), "asset_id")
+    return price_anchors(trades, meta, probes).join(shuffled(stats_24h(trades, meta)), "asset_id")
 
 
 def metric_points(trades: DataFrame, meta: DataFrame, span: int = DAY) -> DataFrame:
@@ -455,7 +457,7 @@ def stats_from_points(
     for name in long:
         out.append(F.coalesce(f"_was_{name}", f"_open_{name}", fallback).alias(f"anchor_price_{name}"))
         out += [F.coalesce(F.col(f"{c}_{name}"), F.lit(0)).alias(f"{c}_{name}") for c in ("buys", "sells", *VOLUMES)]
-    return head.where("p > 0").join(rolled, "asset_id", "left").select(*out)
+    return head.where("p > 0").join(shuffled(rolled), "asset_id", "left").select(*out)
 
 
 # --- shapes of the wide row ---------------------------------------------------------
