@@ -524,18 +524,15 @@ def refresh_targets(states: DataFrame, now: int) -> DataFrame:
     return states.withColumn("action", F.when(evict, "evict").when(refresh, "refresh").otherwise("keep"))
 
 
-def missing_metrics(trades: DataFrame, metrics: DataFrame, limit: int) -> DataFrame:
-    """Assets that trade but have no metrics row, most recently traded first."""
+def missing_metrics(trades: DataFrame, metrics: DataFrame, limit: int | None = None) -> DataFrame:
+    """Assets that trade but have no metrics row, most recently traded first where there is a limit."""
     seen = trades.groupBy("asset_id").agg(F.max("event_unix_ts").alias("latest_trade_at"))
-    return (
-        seen.join(metrics.select("asset_id"), "asset_id", "left_anti")
-        .orderBy(F.desc("latest_trade_at"), "asset_id")
-        .limit(limit)
-    )
+    missing = seen.join(shuffled(metrics.select("asset_id")), "asset_id", "left_anti")
+    return missing if limit is None else missing.orderBy(F.desc("latest_trade_at"), "asset_id").limit(limit)
 
 
-def backfill_metrics(trades: DataFrame, meta: DataFrame, metrics: DataFrame, now: int, limit: int) -> DataFrame:
-    """Metrics with rows added for up to ``limit`` assets that lacked one."""
+def backfill_metrics(trades: DataFrame, meta: DataFrame, metrics: DataFrame, now: int, limit: int | None = None) -> DataFrame:
+    """Metrics with rows added for the assets that lacked one, at most ``limit`` of them where there is a limit."""
     todo = missing_metrics(trades, metrics, limit).select("asset_id")
     repaired = current_metrics(requested(trades, todo), meta, now)
     return metrics.unionByName(repaired)
