@@ -47,10 +47,14 @@ def _price(quote_raw: str, token_raw: str, quote: str) -> Column:
 # --- per minute ---------------------------------------------------------------------
 
 
-def metrics_1m(trades: DataFrame) -> DataFrame:
-    """Counts and raw volumes per asset and minute; only 'buy' and 'sell' exactly are counted apart."""
+def metrics_1m(trades: DataFrame, by_quote: bool = False) -> DataFrame:
+    """Counts and raw volumes per asset and minute; only 'buy' and 'sell' exactly are counted apart.
+
+    ``by_quote`` keeps the quote currencies of a minute apart, with the position of each one's first trade.
+    """
     buy, sell = F.col("side") == "buy", F.col("side") == "sell"
     quote = F.col("quote_amount_raw")
+    keys = ["quote_mint"] if by_quote else []
 
     def total(c: Column) -> Column:
         return F.coalesce(F.sum(c), F.lit(0)).cast("decimal(30,0)")
@@ -66,8 +70,9 @@ def metrics_1m(trades: DataFrame) -> DataFrame:
             bucket_start(F.col("event_unix_ts"), 60).alias("bucket"),
             raw_price(F.col("quote_amount_raw"), F.col("token_amount_raw")).alias("price"),
         )
-        .groupBy("asset_id", "bucket")
+        .groupBy("asset_id", "bucket", *keys)
         .agg(
+            *(F.min("insert_seq").alias("open_seq") for _ in keys),
             F.min_by("price", "insert_seq").alias("open_raw_price"),
             F.max_by("price", "insert_seq").alias("close_raw_price"),
             F.min("quote_mint").alias("quote_mint_sample"),
@@ -78,6 +83,7 @@ def metrics_1m(trades: DataFrame) -> DataFrame:
             total(F.when(buy, quote)).alias("buy_volume_quote_raw"),
             total(F.when(sell, quote)).alias("sell_volume_quote_raw"),
         )
+        .drop(*keys)
     )
 
 
@@ -92,17 +98,19 @@ def long_windows(
     """Windows ending ``SHORT_SPAN`` ago, from minute rows; one row per asked asset.
 
     ``until`` replaces the end (exclusive, a minute start) where the short part begins
-    on a minute boundary.
+    on a minute boundary. Minutes kept apart by quote currency open with the first trade of them all.
     """
     end = now - SHORT_SPAN if until is None else until
     scoped = minutes.where((F.col("bucket") >= now - max(windows.values())) & (F.col("bucket") < end))
     dec = _quote_dec("quote_mint_sample")
+    at = F.struct("bucket", *(c for c in minutes.columns if c == "open_seq"))
     scaled = (
         requested(scoped, assets)
         .join(_meta(meta), "asset_id", "left")
         .select(
             "asset_id",
             "bucket",
+            at.alias("at"),
             *COUNTS,
             normalize_price(F.col("open_raw_price"), F.col("_td"), dec).alias("open_price"),
             scale_amount(F.col("volume_quote_raw"), dec).alias("volume"),
@@ -113,7 +121,7 @@ def long_windows(
     aggs, filled = [], []
     for name, span in windows.items():
         inside = F.col("bucket") >= now - span
-        aggs.append(F.min_by(F.when(inside, F.col("open_price")), F.when(inside, F.col("bucket"))).alias(f"anchor_price_{name}"))
+        aggs.append(F.min_by(F.when(inside, F.col("open_price")), F.when(inside, F.col("at"))).alias(f"anchor_price_{name}"))
         for c in COUNTS + VOLUMES:
             aggs.append(F.sum(F.when(inside, F.col(c))).alias(f"{c}_{name}"))
             filled.append(f"{c}_{name}")
@@ -224,8 +232,8 @@ def current_metrics(
     """One wide row per asset that has a price: latest trade, anchors, counts and volumes.
 
     By default the minute that straddles the short window counts in both parts, as the
-    live path does; ``exact`` cuts both at that minute's start. ``minutes`` takes stored
-    minute rows instead of computing them.
+    live path does; ``exact`` cuts both at that minute's start and scales each quote currency of a
+    minute by its own decimals. ``minutes`` takes stored minute rows instead of computing them.
     """
     real = trades.where("token_amount_raw <> 0")
     latest = latest_trade(real, meta, assets).where("latest_price > 0")
@@ -243,7 +251,7 @@ def current_metrics(
     rows = minutes
     if rows is None:
         day = real.where((F.col("event_unix_ts") >= now - max(long.values())) & (F.col("event_unix_ts") < now))
-        rows = metrics_1m(day)
+        rows = metrics_1m(day, by_quote=exact)
     parts = long_windows(rows, meta, asked, now, long, until=edge if exact else None)
     merged = merge_windows(parts, short, tuple(long), tail)
     zero = F.lit(0)
