@@ -3,9 +3,11 @@
 A bucket is the low bits of a hash of the key: ``depth`` bits with the value ``prefix``. When a bucket would
 hold more than ``limit`` rows it is split as it is written, deeper by as many bits as it takes, so
 what a batch touches follows its keys and not the size of the table. A version writes the touched buckets below
-its own folder and then a manifest that says for every bucket in which version its rows lie. The manifest is
+its own folder and then a manifest that says for every bucket in which version and folder its rows lie. The manifest is
 written last: a reader of a version never sees half of it, and a retried batch starts from the
-manifest before it and overwrites what it wrote. Nothing is collected but the touched buckets, at most one per key of the batch;
+manifest before it and overwrites what it wrote. Small buckets with the same low bits share a folder of about ``PACK``
+rows, so that the number of files follows the bytes and not the buckets; each row says which bucket and version it is of, and
+a reader keeps those of the buckets it asked for. Nothing is collected but the touched buckets, at most one per key of the batch;
 a whole read lists the buckets of the table.
 """
 
@@ -22,7 +24,9 @@ from .tables import VersionedTable
 
 LIMIT = 1 << 17
 MOST = 48  # bits; more than any table needs
-MANIFEST = "depth int, prefix bigint, version bigint, n bigint"
+PACK = 1 << 13  # rows of small buckets that share a folder
+OWN = ["_depth", "_prefix", "_version"]  # the bucket and version of a stored row
+MANIFEST = "depth int, prefix bigint, version bigint, n bigint, folder int"
 
 
 def _low_bits(depth: Column) -> Column:
@@ -32,6 +36,8 @@ def _low_bits(depth: Column) -> Column:
 class KeyedTable:
     def __init__(self, path: str, keys: Sequence[str], limit: int = LIMIT):
         self.path, self.keys, self.limit = path.rstrip("/"), list(keys), limit
+        # bits of a bucket that do not tell its folder
+        self.shared = max(0, int(math.log2(PACK / limit)))
         self.data = VersionedTable(f"{self.path}/data")
         self.manifest = VersionedTable(f"{self.path}/manifest")
 
@@ -45,18 +51,24 @@ class KeyedTable:
         return self._hashed(df).withColumn("depth", kinds).withColumn("prefix", _low_bits(F.col("depth"))).join(buckets, ["depth", "prefix"])
 
     def _paths(self, buckets: list) -> list[str]:
-        return [f"{self.data.at(b.version)}/depth={b.depth}/prefix={b.prefix}" for b in buckets if b.n]
+        folders = {(b.version, b.folder, b.prefix) for b in buckets if b.n}
+        return sorted({f"{self.data.at(v)}/depth={d}/prefix={prefix & ((1 << d) - 1)}" for v, d, prefix in folders})
 
     def _rows(self, spark: SparkSession, buckets: list, schema: T.StructType) -> DataFrame:
         paths = self._paths(buckets)
-        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+        if not paths:
+            return spark.createDataFrame([], schema)
+        own = T.StructType().add("_depth", T.IntegerType()).add("_prefix", T.LongType()).add("_version", T.LongType())
+        stored = spark.read.schema(T.StructType([*schema.fields, *own.fields])).parquet(*paths)
+        asked = spark.createDataFrame([(b.depth, b.prefix, b.version) for b in buckets if b.n], own)
+        return stored.join(F.broadcast(asked), OWN, "left_semi").select(*schema.names)
 
     def read(self, spark: SparkSession, version: int, schema: T.StructType | None = None) -> DataFrame:
         """All rows as of a version."""
         buckets = self.manifest.read(spark, version).collect()
         if schema is None:
             newest = max((b for b in buckets if b.n), key=lambda b: b.version)
-            schema = spark.read.parquet(*self._paths([newest])).schema
+            schema = spark.read.parquet(*self._paths([newest])).drop(*OWN).schema
         return self._rows(spark, buckets, schema)
 
     def touched(self, delta: DataFrame, version: int) -> tuple[DataFrame, list, DataFrame]:
@@ -65,9 +77,9 @@ class KeyedTable:
         if version > 0:
             before = self.manifest.read(spark, version - 1)
         else:
-            before = spark.createDataFrame([(0, 0, -1, 0)], MANIFEST)
+            before = spark.createDataFrame([(0, 0, -1, 0, 0)], MANIFEST)
         depths = [r[0] for r in before.select("depth").distinct().collect()]
-        found = self._placed(delta.select(*self.keys), depths, before).groupBy("depth", "prefix", "version", "n").agg(F.count("*").alias("new"))
+        found = self._placed(delta.select(*self.keys), depths, before).groupBy("depth", "prefix", "version", "n", "folder").agg(F.count("*").alias("new"))
         buckets = found.collect()
         return before, buckets, self._rows(spark, buckets, delta.schema)
 
@@ -82,12 +94,14 @@ class KeyedTable:
             deeper = [(b.depth, b.prefix, min(MOST, b.depth + max(0, math.ceil(math.log2((b.n + b.new) / self.limit))))) for b in buckets]
             into = spark.createDataFrame(deeper, "depth int, prefix bigint, deep int")
             rows = self._placed(merge(old, delta), sorted({b.depth for b in buckets}), into)
-            rows = rows.withColumn("prefix", _low_bits(F.col("deep"))).withColumn("depth", F.col("deep")).drop("deep", "_hash")
+            own = {"_depth": F.col("deep"), "_prefix": _low_bits(F.col("deep")), "_version": F.lit(version).cast("bigint")}
+            rows = rows.withColumns(own).withColumn("depth", F.greatest(F.col("deep") - self.shared, F.lit(0)))
+            rows = rows.withColumn("prefix", _low_bits(F.col("depth"))).drop("deep", "_hash")
             rows.repartition("depth", "prefix").write.mode("overwrite").partitionBy("depth", "prefix").parquet(self.data.at(version))
-            written = self.data.read(spark, version).groupBy(F.col("depth").cast("int").alias("depth"), F.col("prefix").cast("bigint").alias("prefix")).agg(F.count("*").alias("n"))
+            written = self.data.read(spark, version).groupBy(F.col("_depth").alias("depth"), F.col("_prefix").alias("prefix")).agg(F.count("*").alias("n"))
             gone = spark.createDataFrame([(b.depth, b.prefix) for b in buckets], "depth int, prefix bigint")
             # a split leaves out the halves that no key falls in; they are buckets, too
             halves = spark.createDataFrame([(deep, prefix | k << depth) for depth, prefix, deep in deeper for k in range(1 << (deep - depth))], "depth int, prefix bigint")
-            now = halves.join(written, ["depth", "prefix"], "left").select("depth", "prefix", F.lit(version).cast("bigint").alias("version"), F.coalesce("n", F.lit(0)).alias("n"))
+            now = halves.join(written, ["depth", "prefix"], "left").select("depth", "prefix", F.lit(version).cast("bigint").alias("version"), F.coalesce("n", F.lit(0)).alias("n"), F.greatest(F.col("depth") - self.shared, F.lit(0)).alias("folder"))
             before = before.join(gone, ["depth", "prefix"], "left_anti").select(now.columns).unionByName(now)
         self.manifest.write(before.coalesce(8), version)
