@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import AMM, CHAIN, COMMITMENT, CURVE, SCHEMA_VERSION
 from ..functions.scalars import strict_other_side
 from ..sources.txviews import event_bytes, explode_instructions
+from .common import shuffled
 from .decode import decode_events, decode_instructions, extract_decimals
 from .pairing import pair_transactions
 
@@ -59,7 +60,7 @@ def build_envelope(pairs: DataFrame, decimals: DataFrame | None = None) -> DataF
     else:
         d = decimals.select(F.col("signature").alias("_sig"), F.col("mint").alias("_mint"), "mint_decimals")
         same = (F.col("signature") == F.col("_sig")) & (F.col("event.event.mint") == F.col("_mint"))
-        df = df.join(d, same, "left").drop("_sig", "_mint")
+        df = df.join(shuffled(d), same, "left").drop("_sig", "_mint")
     side = F.regexp_replace("instruction.kind", "^(curve|amm)_", "")
     by_type = F.col("event_type")
     selling = side == "sell"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.txviews import TX
-from .common import first_per_key
+from .common import first_per_key, shuffled
 
 Match = Callable[[Column, Column], Column]
 
@@ -37,7 +37,7 @@ def pair_events(
         row = F.struct(F.struct(*order).alias("at"), F.struct(*order, *rest).alias("row"))
         return df.groupBy(*keys).agg(F.array_sort(F.collect_list(row), _by_at).alias(name))
 
-    both = packed(instructions, instruction_order, "_i").join(packed(events, event_order, "_e"), list(keys))
+    both = packed(instructions, instruction_order, "_i").join(shuffled(packed(events, event_order, "_e")), list(keys))
     fits = match or (lambda i, e: F.lit(True))
     places = F.sequence(F.lit(0), F.size("_e") - 1)
 
