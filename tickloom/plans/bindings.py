@@ -31,9 +31,15 @@ def meta_number(partkey: Column) -> Column:
     return partkey + F.floor(partkey / 4)
 
 
-def ev_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Event log with kinds create, migrate and trade; two users share an asset."""
+def ev_log(spark: SparkSession, sf: str, files: int | None = None) -> DataFrame:
+    """Event log with kinds create, migrate and trade; two users share an asset.
+
+    ``files`` deals the narrow rows evenly to that many partitions first. A range of positions lies in few
+    splits of the table, so that a part of the log would be built by as few tasks.
+    """
     e = table(spark, sf, "events")
+    if files is not None:
+        e = e.repartition(files)
     k = F.get_json_object("props", "$.k").cast("bigint")
     asset = asset_name(F.floor(F.col("user_id") / 2))
     kind = F.when(F.col("event_type") == "signup", "create").when(
@@ -138,9 +144,9 @@ def li_trades(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def chain_log(spark: SparkSession, sf: str) -> DataFrame:
-    """The event table as a full envelope log with all seven kinds and JSON payloads."""
-    log = ev_log(spark, sf)
+def chain_log(spark: SparkSession, sf: str, files: int | None = None) -> DataFrame:
+    """The event table as a full envelope log with all seven kinds and JSON payloads; ``files`` as in ``ev_log``."""
+    log = ev_log(spark, sf, files)
     n, k = F.col("log_id"), F.col("token_amount_raw")
     text = _as_decimal_text
     amm = (

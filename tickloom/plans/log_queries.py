@@ -70,13 +70,13 @@ BROKEN = """
 """
 
 
-def broken_log(spark, sf):
+def broken_log(spark, sf, files=None):
     """The log with unsupported types, broken JSON and odd swap sides mixed in."""
     n = col("log_id")
     payload = F.when(n % 37 == 0, "{not json").when(
         (n % 43 == 0) & (col("event_type") == "swap"), F.regexp_replace("payload", '"side":"[a-z_]+"', '"side":"odd"')
     ).otherwise(col("payload"))
-    return B.chain_log(spark, sf).withColumn("payload", payload).withColumn(
+    return B.chain_log(spark, sf, files).withColumn("payload", payload).withColumn(
         "event_type", F.when(n % 41 == 0, "burn").otherwise(col("event_type"))
     )
 
@@ -101,7 +101,7 @@ def events_by_pool(spark, sf):
 
 def _paged(spark, sf, key):
     """The log in a hundred files, written in two parts of which the second begins before the first ends."""
-    log = B.chain_log(spark, sf).withColumn("asset_id", F.col("refs.mint"))
+    log = B.chain_log(spark, sf, spark.sparkContext.defaultParallelism).withColumn("asset_id", F.col("refs.mint"))
     store = PagedLog(scratch(spark, "paged"), key)
     early, late = B.position(spark, sf, 5), B.position(spark, sf, 7)
     store.append(log.where((F.col("log_id") <= early) | (F.col("log_id") > late)), 0, 50)
