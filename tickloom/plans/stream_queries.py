@@ -25,8 +25,11 @@ from .registry import query, rounded
 col = F.col
 
 
-def as_stream(spark: SparkSession, df: DataFrame, order: str, cuts: list, repeat_first: bool = False, first_last: bool = False, newest_first: bool = False) -> DataFrame:
-    """The rows written in parts cut at ``cuts`` of ``order``, and read back as a stream, a part per batch."""
+def as_stream(spark: SparkSession, df: DataFrame, order: str, cuts: list, repeat_first: bool = False, first_last: bool = False, newest_first: bool = False, dealt: bool = False) -> DataFrame:
+    """The rows written in parts cut at ``cuts`` of ``order``, and read back as a stream, a part per batch.
+
+    Rows already ``dealt`` evenly to as many partitions as a part has files are not dealt again.
+    """
     path = scratch(spark, "source")
     edges = [None, *cuts, None]
     parts = []
@@ -46,10 +49,15 @@ def as_stream(spark: SparkSession, df: DataFrame, order: str, cuts: list, repeat
     files = spark.sparkContext.defaultParallelism
     for part in parts:
         # the file source takes files in the order written, so a batch is a part
-        part.repartition(files).write.mode("append").parquet(path)
+        (part if dealt else part.repartition(files)).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def _log(spark, sf) -> DataFrame:
+    """The log, built by as many tasks for a range of positions as for all of it."""
+    return B.chain_log(spark, sf, spark.sparkContext.defaultParallelism)
+
+
 def _cuts(spark, sf) -> list[int]:
     """Three positions that cut the log into four."""
     top = B.table(spark, sf, "events").agg(F.max("event_id")).first()[0]
@@ -66,22 +74,22 @@ def _sink(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
 @query("ingest_stream", "SELECT log_id, event_id, event_type FROM chain_log WHERE log_id % 41 <> 0", ["chain_log"])
 def ingest_stream(spark, sf):
     """Four files, the first one twice, unknown kinds among them."""
-    log = B.chain_log(spark, sf).withColumn("event_type", F.when(col("log_id") % 41 == 0, "burn").otherwise(col("event_type")))
-    stream = as_stream(spark, log, "log_id", _cuts(spark, sf), repeat_first=True)
+    log = _log(spark, sf).withColumn("event_type", F.when(col("log_id") % 41 == 0, "burn").otherwise(col("event_type")))
+    stream = as_stream(spark, log, "log_id", _cuts(spark, sf), repeat_first=True, dealt=True)
     return _sink(spark, S.ingest_stream(stream)).select("log_id", "event_id", "event_type")
 
 
 @query("ingest_stream_late", "SELECT log_id, event_id FROM chain_log", ["chain_log"])
 def ingest_stream_late(spark, sf):
     """The newest file first: events of any age arrive once."""
-    stream = as_stream(spark, B.chain_log(spark, sf), "log_id", _cuts(spark, sf), newest_first=True)
+    stream = as_stream(spark, _log(spark, sf), "log_id", _cuts(spark, sf), newest_first=True, dealt=True)
     return _sink(spark, S.ingest_stream(stream)).select("log_id", "event_id")
 
 
 @query("replay_then_live_restarted", "SELECT log_id, event_id FROM chain_log WHERE log_id > 500", ["chain_log"])
 def replay_then_live_restarted(spark, sf):
     """Stopped after the first live files and run again; the second run brings old rows too."""
-    log, cuts = B.chain_log(spark, sf), _cuts(spark, sf)
+    log, cuts = _log(spark, sf), _cuts(spark, sf)
     source, path, checkpoint = scratch(spark, "source"), scratch(spark, "feed"), scratch(spark, "checkpoint")
     for low, high, seen in ((cuts[0], cuts[2], cuts[1]), (cuts[1], None, None)):
         part = log.where(col("log_id") >= low)
@@ -94,7 +102,7 @@ def replay_then_live_restarted(spark, sf):
 @query("log_stream_followed", "SELECT log_id, event_id FROM chain_log WHERE log_id > 500", ["chain_log"])
 def log_stream_followed(spark, sf):
     """One stream over the stored log: history, then rows that come later, some of them again, after a restart."""
-    log, cuts = B.chain_log(spark, sf), _cuts(spark, sf)
+    log, cuts = _log(spark, sf), _cuts(spark, sf)
     source, path, checkpoint = scratch(spark, "log"), scratch(spark, "feed"), scratch(spark, "checkpoint")
     for low, high in ((None, cuts[1]), (cuts[0], cuts[2]), (cuts[2], None)):
         part = log if low is None else log.where(col("log_id") >= low)
@@ -105,7 +113,7 @@ def log_stream_followed(spark, sf):
 
 @query("ingest_exact", "SELECT log_id, event_id, event_type FROM chain_log", ["chain_log"])
 def ingest_exact(spark, sf):
-    stream = as_stream(spark, B.chain_log(spark, sf), "log_id", _cuts(spark, sf), repeat_first=True)
+    stream = as_stream(spark, _log(spark, sf), "log_id", _cuts(spark, sf), repeat_first=True, dealt=True)
     path = scratch(spark, "log")
     S.ingest_exact(stream, path, scratch(spark, "checkpoint"), limit=500)
     return VersionedTable(path).all(spark).select("log_id", "event_id", "event_type")
@@ -113,13 +121,13 @@ def ingest_exact(spark, sf):
 
 @query("dead_letters_stream", BROKEN + "SELECT log_id, reason FROM broken WHERE reason IS NOT NULL", ["chain_log"])
 def dead_letters_stream(spark, sf):
-    stream = as_stream(spark, broken_log(spark, sf), "log_id", _cuts(spark, sf))
+    stream = as_stream(spark, broken_log(spark, sf, spark.sparkContext.defaultParallelism), "log_id", _cuts(spark, sf), dealt=True)
     return _sink(spark, S.split_dead_letters(stream)).select("log_id", "reason")
 
 
 def _projected(spark, sf):
     path = scratch(spark, "model")
-    stream = as_stream(spark, B.chain_log(spark, sf), "log_id", _cuts(spark, sf))
+    stream = as_stream(spark, _log(spark, sf), "log_id", _cuts(spark, sf), dealt=True)
     checkpoint = scratch(spark, "checkpoint")
     S.project_stream(stream, path, checkpoint, limit=20)
     # a restart with nothing new stands at the same version
@@ -283,8 +291,8 @@ def ageing(spark, sf):
 @query("replay_then_live", "SELECT log_id, event_id FROM chain_log, (SELECT max(event_id) AS top FROM events) WHERE log_id > 500", ["chain_log"])
 def replay_then_live(spark, sf):
     """The stored log and the live files overlap; each row after the cursor comes once."""
-    log, cuts = B.chain_log(spark, sf), _cuts(spark, sf)
-    live = as_stream(spark, log.where(col("log_id") >= cuts[0]), "log_id", cuts[1:])
+    log, cuts = _log(spark, sf), _cuts(spark, sf)
+    live = as_stream(spark, log.where(col("log_id") >= cuts[0]), "log_id", cuts[1:], dealt=True)
     path = scratch(spark, "feed")
     S.replay_then_live(log.where(col("log_id") < cuts[1] + 100), live, 500, path, scratch(spark, "checkpoint"))
     return VersionedTable(path).all(spark).select("log_id", "event_id")
@@ -296,7 +304,7 @@ def replay_then_live(spark, sf):
     ["chain_log"],
 )
 def topic_fanout(spark, sf):
-    stream = as_stream(spark, B.chain_log(spark, sf), "log_id", _cuts(spark, sf))
+    stream = as_stream(spark, _log(spark, sf), "log_id", _cuts(spark, sf), dealt=True)
     return _sink(spark, S.topic_fanout(stream)).select("log_id", "topic")
 
 
@@ -312,7 +320,7 @@ def topic_fanout(spark, sf):
 )
 def tracked_stream(spark, sf):
     known = B.ev_meta(spark, sf).where("asset_id IN ('A01', 'A02')").select("asset_id")
-    stream = as_stream(spark, B.chain_log(spark, sf), "log_id", _cuts(spark, sf))
+    stream = as_stream(spark, _log(spark, sf), "log_id", _cuts(spark, sf), dealt=True)
     path = scratch(spark, "tracked")
     S.tracked_stream(stream, known, path, scratch(spark, "checkpoint"))
     return VersionedTable(f"{path}/events").all(spark).select("log_id", "asset_id")
