@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from ..functions.scalars import (
 )
 from .common import first_per_key, shuffled, top_per_key
 from .logscan import latest_event
-from .metrics import latest_trade, price_changes, trade_summary
+from .metrics import change_columns, latest_trade, trade_summary
 from .project import active_market, project_activity
 
 VIEWS = ("hot", "new")
@@ -332,7 +333,11 @@ def token_detail(
     max_trades: int = 20,
     max_events: int = 20,
 ) -> DataFrame:
-    """One nested row per token: snapshot, create and migrate events, markets, newest trades and events, quote, numbers."""
+    """One nested row per token: snapshot, create and migrate events, markets, newest trades and events, quote, numbers.
+
+    The parts are made apart and meet in one shuffle. Joined one by one, all of them would be sorted and aggregated in
+    the same tasks, and each such step holds memory of its own.
+    """
     snap = _snapshot_rows(tokens, meta)
     market_cols = [c for c in markets.columns if c != "asset_id"]
     market_list = _lists(markets, [F.desc("started_at"), F.asc("market_id")], max_markets, market_cols, "markets")
@@ -347,11 +352,18 @@ def token_detail(
     current = active_market(tokens, markets).select("asset_id", F.struct("market_id", "market_type", "started_at", "ended_at").alias("active_market"))
     summary = trade_summary(trades, meta)
     stat_cols = [c for c in summary.columns if c.endswith("_24h") and not c.startswith("price")]
-    stats = summary.select("asset_id", F.col("quote_mint").alias("_traded_quote"), "latest_price", "latest_event_unix_ts", F.struct(*stat_cols).alias("stats_24h"))
-    changes = price_changes(summary).select("asset_id", F.struct("m5", "h1", "h4", "h24").alias("price_changes"))
-    out = snap
-    for part in (create, market_list, trade_list, event_list, moved, current, stats, changes):
-        out = out.join(shuffled(part), "asset_id", "left")
+    changes = F.when(F.col("latest_price").isNotNull(), F.struct(*change_columns()))
+    numbers = F.struct(
+        F.col("quote_mint").alias("_traded_quote"), "latest_price", "latest_event_unix_ts", F.struct(*stat_cols).alias("stats_24h"), changes.alias("price_changes")
+    )
+    parts = {
+        "create_event": create, "markets": market_list, "recent_trades": trade_list, "recent_events": event_list, "_migrate": moved,
+        "active_market": current, "_numbers": summary.select("asset_id", numbers.alias("_numbers")),
+    }
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts.values())
+    # every part has at most one row per asset
+    whole = rows.groupBy("asset_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in parts))
+    out = snap.join(shuffled(whole.select("*", "_numbers.*").drop("_numbers")), "asset_id", "left")
     mint = F.coalesce(empty_to_null(F.col("_traded_quote")), empty_to_null(F.col("quote_mint")))
     quote = F.when(
         mint.isNotNull(),

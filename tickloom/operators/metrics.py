@@ -487,13 +487,14 @@ def stat_payload(metrics: DataFrame, windows: Sequence[str] = tuple(WINDOWS)) ->
     return usable.withColumn("payload", F.to_json(F.struct("*")))
 
 
-def price_changes(summary: DataFrame) -> DataFrame:
-    def change(n: str) -> Column:
-        return pct_change(F.col("latest_price"), F.col(f"price_{n}_ago"))
+def change_columns() -> list[Column]:
+    """Percent changes of a summary's latest price."""
+    names = {"5m": "m5", "1h": "h1", "4h": "h4", "24h": "h24"}
+    return [pct_change(F.col("latest_price"), F.col(f"price_{n}_ago")).alias(c) for n, c in names.items()]
 
-    return summary.where("latest_price IS NOT NULL").select(
-        "asset_id", change("5m").alias("m5"), change("1h").alias("h1"), change("4h").alias("h4"), change("24h").alias("h24")
-    )
+
+def price_changes(summary: DataFrame) -> DataFrame:
+    return summary.where("latest_price IS NOT NULL").select("asset_id", *change_columns())
 
 
 def net_flow(metrics: DataFrame, windows: Sequence[str] = tuple(WINDOWS)) -> DataFrame:
