@@ -1,10 +1,11 @@
-"""A count-min sketch of 64-bit keys, built per task, merged by segment, saturating at two.
-
-Each of ``ROWS`` hash rows has ``2**bits`` cells. A task sends, per segment of cells, the cells
-it hit; a group merges a segment and keeps one bit per cell: hit at least twice or not. The
-merged sketch has a fixed size (``ROWS * 2**bits / 8`` bytes, 64 MB at the largest) whatever
-the input, so it may be collected and broadcast. Estimates never fall below true counts: a key
-that occurs twice always passes. A full sketch passes more keys and loses none.
+"""Which 64-bit keys may occur twice: hits counted per task, merged by segment, saturating at two.
+
+A key is counted by the first ``bits + PRINT`` bits of its hash. A task sends them per segment, once
+or twice each; a group merges a segment, and what it counts twice or more is marked in ``ROWS`` hash
+rows of ``2**bits`` cells. So only keys that repeat fill the cells, and a corpus of many different
+keys passes no more of them. The marks have a fixed size (``ROWS * 2**bits / 8`` bytes, 64 MB at the
+largest) whatever the input, so they may be collected and broadcast. Counts never fall below true
+ones: a key that occurs twice always passes. Full rows pass more keys and lose none.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from ..session import scratch
 
 ROWS = 2
 SEGMENT_BITS = 20  # cells of a segment
+PRINT = 12  # bits by which keys of one cell are told apart while they are counted
 MAX_BITS = 28
 FLUSH = 1 << 22  # keys a task holds before it sends a partial sketch
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+MULTIPLIER = 0x9E3779B97F4A7C15
+ROW_MULTIPLIERS = (1, 0x85EBCA6B)
 SCHEMA = pa.schema([("part", pa.int32()), ("cells", pa.binary())])
 
 
@@ -33,58 +36,56 @@ def bits_for(keys: int) -> int:
     return int(min(MAX_BITS, max(SEGMENT_BITS, np.ceil(np.log2(max(keys, 1) * 6)))))
 
 
-def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (keys * np.uint64(MULTIPLIERS[row])) >> np.uint64(64 - bits)
+def _prints(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys * np.uint64(MULTIPLIER)) >> np.uint64(64 - bits - PRINT)
+
+
+def _cells(low: np.ndarray, row: int) -> np.ndarray:
+    """Cells of a hash row inside the segment, from what a print has below the segment's number."""
+    return (low * np.uint32(ROW_MULTIPLIERS[row])) >> np.uint32(PRINT)
 
 
 def _partial(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    keys = np.concatenate(held)
-    per_row = 1 << (bits - SEGMENT_BITS)
-    parts, payload = [], []
-    for row in range(ROWS):
-        cells = np.sort(_cells(keys, row, bits).astype(np.uint32))
-        # a third hit of a cell says nothing new
-        if len(cells) > 2:
-            cells = cells[np.concatenate(([True, True], cells[2:] != cells[:-2]))]
-        blocks = np.bincount(cells >> np.uint32(16), minlength=1 << (bits - 16)).astype("<u4").reshape(per_row, -1)
-        cuts = np.concatenate(([0], np.cumsum(blocks.sum(axis=1, dtype=np.int64))))
-        low = (cells & np.uint32(0xFFFF)).astype("<u2")
-        for s in range(per_row):
-            if cuts[s] < cuts[s + 1]:
-                parts.append(row * per_row + s)
-                payload.append(blocks[s].tobytes() + low[cuts[s] : cuts[s + 1]].tobytes())
+    prints = np.sort(_prints(np.concatenate(held), bits))
+    # a third hit says nothing new
+    if len(prints) > 2:
+        prints = prints[np.concatenate(([True, True], prints[2:] != prints[:-2]))]
+    cuts = np.searchsorted(prints, np.arange(1 + (1 << (bits - SEGMENT_BITS)), dtype=np.uint64) << np.uint64(32))
+    # the bytes of one place stand together: the first of sorted numbers hardly changes
+    low = prints.astype("<u4").view(np.uint8).reshape(-1, 4)[:, ::-1]
+    parts = np.flatnonzero(np.diff(cuts))
+    payload = [low[cuts[s] : cuts[s + 1]].T.tobytes() for s in parts]
     return pa.record_batch([pa.array(parts, pa.int32()), pa.array(payload, pa.binary())], schema=SCHEMA)
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    count = np.zeros(1 << SEGMENT_BITS, np.uint8)
-    blocks = 1 << (SEGMENT_BITS - 16)
-    for payload in rows.cells:
-        sizes = np.frombuffer(payload, "<u4", blocks)
-        cells = (np.repeat(np.arange(blocks), sizes) << 16) + np.frombuffer(payload, "<u2", offset=4 * blocks)
-        twice = cells[1:][cells[1:] == cells[:-1]]
-        once = np.unique(cells)
-        count[once] = np.minimum(count[once] + 1, 2)
-        count[twice] = 2
-    return pd.DataFrame({"part": [int(rows.part.iloc[0])], "cells": [np.packbits(count == 2, bitorder="little").tobytes()]})
+    planes = [np.frombuffer(payload, np.uint8).reshape(4, -1).T for payload in rows.cells]
+    low = np.sort(np.ascontiguousarray(np.concatenate(planes)[:, ::-1]).view("<u4").ravel())
+    twice = low[1:][low[1:] == low[:-1]]
+    marks = np.zeros((ROWS, 1 << SEGMENT_BITS), bool)
+    for row in range(ROWS):
+        marks[row, _cells(twice, row)] = True
+    return pd.DataFrame({"part": [int(rows.part.iloc[0])], "cells": [np.packbits(marks, bitorder="little").tobytes()]})
 
 
 class Repeated:
-    """The merged sketch: which keys may occur twice or more."""
+    """The merged marks: which keys may occur twice or more."""
 
     def __init__(self, bits: int, tables: list[np.ndarray]):
         self.bits, self.tables = bits, tables
 
     def test(self, keys: np.ndarray) -> np.ndarray:
         hit = np.ones(len(keys), bool)
+        prints = _prints(keys, self.bits)
+        segment, low = (prints >> np.uint64(32)) << np.uint64(SEGMENT_BITS), prints.astype(np.uint32)
         for row, table in enumerate(self.tables):
-            cells = _cells(keys, row, self.bits)
+            cells = segment + _cells(low, row)
             hit &= (table[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return hit
 
 
 def repeated_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> Broadcast:
-    """Scan ``df``, sketch every key that ``keys_of`` yields, and broadcast the merged sketch."""
+    """Scan ``df``, count every key that ``keys_of`` yields, and broadcast the marks of those that repeat."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -103,8 +104,8 @@ def repeated_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
     tables = [np.zeros(size, np.uint8) for _ in range(ROWS)]
     segment = 1 << (SEGMENT_BITS - 3)
     for part, cells in merged.collect():
-        row, at = divmod(part * segment, size)
-        tables[row][at : at + segment] = np.frombuffer(cells, np.uint8)
+        for row, table in enumerate(tables):
+            table[part * segment : (part + 1) * segment] = np.frombuffer(cells, np.uint8, segment, row * segment)
     return spark.sparkContext.broadcast(Repeated(bits, tables))
 
 
@@ -121,6 +122,28 @@ def bitmap(cell: Column, df: DataFrame, bits: int = MARK_BITS) -> Broadcast:
     return df.sparkSession.sparkContext.broadcast(table)
 
 
+def wide_bits(rows: int) -> int:
+    """Cells for a bitmap of which a sixteenth at most is set, within the fixed bound."""
+    return int(min(MAX_BITS, max(MARK_BITS, np.ceil(np.log2(max(rows, 1) * 16)))))
+
+
+def _pack(rows: pd.DataFrame) -> pd.DataFrame:
+    marks = np.zeros(1 << SEGMENT_BITS, bool)
+    marks[rows.low.to_numpy()] = True
+    return pd.DataFrame({"part": [int(rows.part.iloc[0])], "cells": [np.packbits(marks, bitorder="little").tobytes()]})
+
+
+def wide_bitmap(cell: Column, df: DataFrame, bits: int) -> Broadcast:
+    """As ``bitmap``, in bytes; its segments are packed on the cluster, so that it may have up to ``2**MAX_BITS`` cells."""
+    cell = F.pmod(cell, F.lit(1 << bits))
+    keyed = df.select(F.shiftright(cell, SEGMENT_BITS).cast("int").alias("part"), cell.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int").alias("low"))
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    segment = 1 << (SEGMENT_BITS - 3)
+    for part, cells in keyed.groupBy("part").applyInPandas(_pack, "part int, cells binary").collect():
+        table[part * segment : (part + 1) * segment] = np.frombuffer(cells, np.uint8)
+    return df.sparkSession.sparkContext.broadcast(table)
+
+
 def split(marks: Broadcast, batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[pa.RecordBatch]:
     """The rows whose doc_id is marked, or those that are not; a null doc_id is not."""
     table = marks.value
