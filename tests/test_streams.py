@@ -5,6 +5,8 @@ import random
 import shutil
 from datetime import datetime, timezone
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tickloom.operators import project as P
 from tickloom.plans import bindings as B
 from tickloom.session import scratch
 from tickloom.streaming import pipelines as S
+from tickloom.streaming import rolling
 from tickloom.streaming.bars import BarTable, reload_late
 from tickloom.streaming.keyed import KeyedTable
 from tickloom.streaming.rolling import metrics_stream
@@ -297,3 +300,75 @@ def test_projection_survives_a_kill(spark, monkeypatch):
     want = P.read_model(P.project_batch(log))
     for name, table in S.projected(spark, path, version).items():
         assert table.exceptAll(want[name].select(table.columns)).count() == 0 and table.count() == want[name].count(), name
+
+
+# --- calls to the state store -------------------------------------------------------
+
+
+class CountedState:
+    """A map or value state that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, {}
+
+    def get(self):
+        self.calls.append("get")
+        return self.held.get(())
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held[()] = value
+
+    def getValue(self, key):
+        self.calls.append("getValue")
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls.append("updateValue")
+        self.held[key] = value
+
+    def containsKey(self, key):
+        self.calls.append("containsKey")
+        return key in self.held
+
+
+class CountedHandle:
+    def __init__(self):
+        self.calls = []
+
+    def getMapState(self, *args):
+        return CountedState(self.calls)
+
+    def getValueState(self, *args):
+        return CountedState(self.calls)
+
+    def registerTimer(self, at):
+        self.calls.append("registerTimer")
+
+    def deleteTimer(self, at):
+        self.calls.append("deleteTimer")
+
+
+def test_calls_to_the_store_follow_the_assets_and_not_their_seconds():
+    handle, processor = CountedHandle(), rolling.RollingMetrics({"1m": 60, "1h": 3600}, ageing=True)
+    processor.init(handle)
+    rows = pd.DataFrame([
+        {"asset_id": a, "second": T0 + s, "open_price": 1.0 + s, "open_seq": s, "close_price": 2.0 + s, "close_seq": s, "buys": 1, "sells": 0, "volume": 0.5, "buy_volume": 0.5, "sell_volume": 0.0}
+        for s in range(200) for a in "ABC"
+    ])
+    for part in (rows[rows.second < T0 + 100], rows[rows.second >= T0 + 100]):
+        handle.calls.clear()
+        (out,) = processor.handleInputRows((7,), iter([part]), None)
+        assert sorted(out.asset_id) == ["A", "B", "C"] and (out.as_of == part.second.max()).all()
+        assert len(handle.calls) <= 2 + 2 * 3 + 2
+    assert (out.buys_1m == 60).all() and (out.buys_1h == 200).all() and (out.anchor_price_1m == 1.0 + 140).all()
+
+
+def test_packed_seconds_are_summed_as_frames_are():
+    rng = np.random.default_rng(9)
+    n = 300
+    rows = pd.DataFrame({"asset_id": "A", "second": T0 + rng.integers(0, 60, n), "open_price": rng.choice([0.0, 1.5, 2.5], n), "open_seq": rng.permutation(n), "close_price": rng.random(n), "close_seq": rng.permutation(n)})
+    rows = rows.assign(buys=rng.integers(0, 3, n), sells=1, volume=rng.integers(0, 9, n) / 8, buy_volume=0.25, sell_volume=0.5)
+    want = rolling.packed(rolling.combine(rows).sort_values("second"))
+    assert rolling.merged(rolling.packed(rows)).tolist() == want.tolist()
+    assert len(rolling.merged(rolling.packed(rows[:0]))) == 0

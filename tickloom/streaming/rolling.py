@@ -3,11 +3,16 @@
 Rows are summed to (asset, second) inside each Arrow batch before the shuffle, so a busy
 asset sends seconds, not trades, to the task that keeps its state. State holds only the
 seconds of the longest window and is cleared a day after the asset's last trade.
+
+Assets are kept in ``GROUPS`` groups by a hash of their id: what a call of the processor, a frame in and a
+frame out cost falls on a group and not on every asset. Inside a group an asset has a value of its own, its seconds
+packed in order, and a batch reads and writes those of its own assets only; beside them the group lists when each
+asset is due.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -20,6 +25,11 @@ from ..operators.metrics import side_flags
 
 SECOND = "open_price double, open_seq long, close_price double, close_seq long, buys long, sells long, volume double, buy_volume double, sell_volume double"
 FIELDS = ["open_price", "open_seq", "close_price", "close_seq", "buys", "sells", "volume", "buy_volume", "sell_volume"]
+SUMS = ["buys", "sells", "volume", "buy_volume", "sell_volume"]
+PACKED = np.dtype([("second", "<i8"), *((f, "<i8" if f in ("open_seq", "close_seq", "buys", "sells") else "<f8") for f in FIELDS)])
+NEVER, FAR = -(2**62), 2**62
+GROUPS = 2048
+FLUSH = 10_000  # rows of a frame that is given
 PARTIAL = f"asset_id string, second long, event_time timestamp, {SECOND}"
 
 
@@ -36,6 +46,42 @@ def combine(rows: pd.DataFrame) -> pd.DataFrame:
     return first.join(last).join(sums).reset_index()
 
 
+def packed(rows: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(rows), PACKED)
+    for name in PACKED.names:
+        out[name] = rows[name].to_numpy()
+    return out
+
+
+def merged(rows: np.ndarray) -> np.ndarray:
+    """As ``combine``, of the packed rows of one asset; a row per second, in order."""
+    rows = rows[np.lexsort((np.where(rows["open_price"] != 0, rows["open_seq"], rows["open_seq"] + 2**62), rows["second"]))]
+    heads = np.flatnonzero(np.concatenate((rows["second"][:1] == rows["second"][:1], rows["second"][1:] != rows["second"][:-1])))
+    if len(heads) == len(rows):
+        return rows
+    out, last = rows[heads], rows[np.lexsort((rows["close_seq"], rows["second"]))][np.append(heads[1:], len(rows)) - 1]
+    for name in ("close_price", "close_seq"):
+        out[name] = last[name]
+    for name in SUMS:
+        out[name] = np.add.reduceat(rows[name], heads)
+    return out
+
+
+def by_asset(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[str, np.ndarray]]:
+    """The packed rows of every asset."""
+    names, rows = zip(*((f["asset_id"].to_numpy(), packed(f)) for f in frames if len(f)))
+    code, found = pd.factorize(np.concatenate(names))
+    by = np.argsort(code, kind="stable")
+    cuts = np.searchsorted(code[by], np.arange(len(found) + 1))
+    rows = np.concatenate(rows)[by]
+    for asset, a, b in zip(found, cuts[:-1], cuts[1:]):
+        yield asset, rows[a:b]
+
+
+def frame(parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+
+
 def _partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         out = combine(rows)
@@ -89,101 +135,130 @@ class RollingMetrics(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seconds = handle.getMapState("seconds", "second long", SECOND)
-        self.newest = handle.getValueState("newest", "second long")
-        # the last time for which windows were given as final
-        self.final = handle.getValueState("final", "second long")
-
-    def _edge(self, newest: int) -> int:
-        """Seconds up to this one are in no window that is still to be given."""
-        if not self.ageing:
-            return newest - self.span
-        return (min(newest, self.final.get()[0]) if self.final.exists() else -(2**62)) - self.span
-
-    def _merge(self, rows: pd.DataFrame) -> int:
-        newest = self.newest.get()[0] if self.newest.exists() else -1
-        newest = max(newest, int(rows.second.max()))
-        edge = self._edge(newest)
-        for row in combine(rows).itertuples():
-            key = (int(row.second),)
-            if row.second <= edge:
-                continue
-            value = tuple(getattr(row, f) for f in FIELDS)
-            if self.seconds.containsKey(key):
-                held = pd.DataFrame([self.seconds.getValue(key), value], columns=FIELDS)
-                whole = combine(held.assign(asset_id="", second=row.second)).iloc[0]
-                value = tuple(whole[f] for f in FIELDS)
-            self.seconds.updateValue(key, tuple(int(v) if f in ("open_seq", "close_seq", "buys", "sells") else float(v) for f, v in zip(FIELDS, value)))
-        self.newest.update((newest,))
-        return newest
-
-    def _held(self, edge: int) -> pd.DataFrame:
-        """The seconds in order; those up to ``edge`` go, but for the last, which has the latest price."""
-        held = sorted((k[0], *v) for k, v in self.seconds.iterator())
-        old = [row for row in held if row[0] <= edge]
-        if not self.ageing:
-            held = held[len(old) :]
+        # newest second, last time for which windows were given as final, and the packed seconds
+        self.assets = handle.getMapState("assets", "asset_id string", "newest long, final long, seconds binary")
+        self.due = handle.getValueState("due", "assets array<string>, at array<long>, timer long")
+
+    def _open(self) -> None:
+        held = self.due.get()
+        names, at, self.timer = held if held is not None else ([], [], NEVER)
+        self.times = dict(zip(names, at))
+
+    def _shut(self) -> None:
+        """Sets the timer of the group to the time at which the first of its assets is due."""
+        first = min(self.times.values(), default=FAR)
+        timer = first * 1000 if first != FAR else NEVER
+        if timer != self.timer:
+            if self.timer != NEVER:
+                self.handle.deleteTimer(self.timer)
+            if timer != NEVER:
+                self.handle.registerTimer(timer)
+        if self.times:
+            self.due.update((list(self.times), list(self.times.values()), timer))
         else:
-            held, old = held[max(len(old) - 1, 0) :], old[:-1]
-        for row in old:
-            self.seconds.removeKey((row[0],))
-        return pd.DataFrame(held, columns=["second", *FIELDS])
+            self.due.clear()
 
-    def _windows(self, asset: str, table: pd.DataFrame, times: list[int], final: bool = False) -> pd.DataFrame:
+    def _load(self, asset: str) -> None:
+        # every asset that is held is listed
+        self.newest, self.final, seconds = self.assets.getValue((asset,)) if asset in self.times else (-1, NEVER, b"")
+        self.table = np.frombuffer(seconds, PACKED)
+
+    def _save(self, asset: str) -> None:
+        self.assets.updateValue((asset,), (self.newest, self.final, self.table.tobytes()))
+
+    def _merge(self, fresh: np.ndarray) -> None:
+        """Seconds up to an edge are in no window that is still to be given. They go; with ``ageing`` the last
+        of them stays, which has the latest price."""
+        self.newest = max(self.newest, int(fresh["second"].max()))
+        edge = (min(self.newest, self.final) if self.ageing else self.newest) - self.span
+        self.table = merged(np.concatenate((self.table, fresh[fresh["second"] > edge])))
+        self._drop(edge)
+
+    def _drop(self, edge: int) -> None:
+        old = int(np.searchsorted(self.table["second"], edge, "right"))
+        self.table = self.table[max(old - 1, 0) if self.ageing else old :]
+
+    def _windows(self, asset: str, times: list[int], final: bool = False) -> dict[str, np.ndarray]:
         """The windows that end at each of some times."""
-        second, close = table.second.to_numpy(), table.close_price.to_numpy()
-        live = table[table.close_price != 0]
-        at, opened = live.second.to_numpy(), live.open_price.to_numpy()
-        sums = {c: live[c].to_numpy() for c in ("buys", "sells", "volume", "buy_volume", "sell_volume")}
-        stop, out = np.searchsorted(at, times, "right"), []
-        for t, b, last in zip(times, stop.tolist(), np.searchsorted(second, times, "right").tolist()):
-            row = {"asset_id": asset, "as_of": t, "latest_price": close[last - 1] if last else None} | ({"final": final} if self.ageing else {})
-            for name, span in self.windows.items():
-                a = int(np.searchsorted(at, t - span, "right"))
-                row[f"anchor_price_{name}"] = opened[a] if a < b else None
-                row |= {f"{c}_{name}": v[a:b].sum() for c, v in sums.items()}
-            out.append(row)
-        return pd.DataFrame(out)
-
-    def _changes(self, table: pd.DataFrame, after: int, before: float) -> list[int]:
-        """The times after one and before another at which a second leaves a window."""
-        at = table.second.to_numpy()[table.close_price.to_numpy() != 0]
+        times = np.array(times, np.int64)
+        last = np.searchsorted(self.table["second"], times, "right")
+        price = np.append(np.nan, self.table["close_price"])[last]
+        out = {"asset_id": np.full(len(times), asset, object), "as_of": times, "latest_price": price}
+        if self.ageing:
+            out["final"] = np.full(len(times), final)
+        # one row more, for windows that begin after the last second
+        live = np.append(self.table[self.table["close_price"] != 0], np.zeros(1, PACKED))
+        at = live["second"][:-1]
+        stop = np.searchsorted(at, times, "right")
+        for name, span in self.windows.items():
+            start = np.searchsorted(at, times - span, "right")
+            some = start < stop
+            out[f"anchor_price_{name}"] = np.where(some, live["open_price"][start], np.nan)
+            cuts = np.column_stack((start, stop)).ravel()
+            for c in SUMS:
+                # every window is summed by itself; running sums would carry the error of all before it
+                out[f"{c}_{name}"] = np.where(some, np.add.reduceat(live[c], cuts)[::2], 0)
+        return out
+
+    def _changes(self, before: float) -> list[int]:
+        """The times not yet given and before another at which a second leaves a window."""
+        at = self.table["second"][self.table["close_price"] != 0]
         found = np.unique(np.concatenate([at + span for span in self.windows.values()]))
-        return found[(found > after) & (found < before)].tolist()
+        return found[(found > self.final) & (found < before)].tolist()
 
-    def _set_timer(self, table: pd.DataFrame, newest: int) -> None:
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        ahead = [newest + self.ttl]
-        if self.ageing:
-            ahead += self._changes(table, self.final.get()[0] if self.final.exists() else -(2**62), np.inf)[:1]
-        self.handle.registerTimer(min(ahead) * 1000)
+    def _next(self) -> int:
+        """When the asset is due again: a second leaves a window, or it is dropped."""
+        return min([self.newest + self.ttl] + (self._changes(np.inf)[:1] if self.ageing else []))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """Seconds of the history, loaded once before the asset's first live row."""
-        if len(initialState):
-            self._merge(initialState)
+        """Seconds of the history, loaded once before the group's first live row."""
+        if not len(initialState):
+            return
+        self._open()
+        for asset, fresh in by_asset([initialState]):
+            self._load(asset)
+            self._merge(fresh)
+            self._save(asset)
+            self.times[asset] = FAR
+        self._shut()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = self._merge(pd.concat(list(rows), ignore_index=True))
-        table = self._held(self._edge(newest))
-        self._set_timer(table, newest)
-        yield self._windows(key[0], table, [newest])
+        self._open()
+        out = []
+        for asset, fresh in by_asset(rows):
+            self._load(asset)
+            self._merge(fresh)
+            self._save(asset)
+            self.times[asset] = self._next()
+            out.append(self._windows(asset, [self.newest]))
+        self._shut()
+        yield frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        newest, passed = self.newest.get()[0], timerValues.getCurrentWatermarkInMs() / 1000
-        if self.ageing:
-            table = self._held(self._edge(newest))
-            times = self._changes(table, self.final.get()[0] if self.final.exists() else -(2**62), passed)
-            if times:
-                yield self._windows(key[0], table, times, True)
-            self.final.update((int(np.ceil(passed)) - 1,))
-        if newest + self.ttl < passed or not self.ageing:
-            self.seconds.clear()
-            self.newest.clear()
-            self.final.clear()
-        else:
-            self._set_timer(self._held(self._edge(newest)), newest)
+        self._open()
+        self.timer, passed = NEVER, timerValues.getCurrentWatermarkInMs() / 1000  # a timer that went off is gone
+        out, n = [], 0
+        for asset in [a for a, at in self.times.items() if at < passed]:
+            self._load(asset)
+            if self.ageing:
+                times = self._changes(passed)
+                if times:
+                    out.append(self._windows(asset, times, True))
+                    n += len(times)
+                self.final = int(np.ceil(passed)) - 1
+            if self.newest + self.ttl < passed or not self.ageing:
+                self.assets.removeKey((asset,))
+                del self.times[asset]
+            else:
+                self._drop(min(self.newest, self.final) - self.span)
+                self._save(asset)
+                self.times[asset] = self._next()
+            if n >= FLUSH:
+                yield frame(out)
+                out, n = [], 0
+        self._shut()
+        if out:
+            yield frame(out)
 
     def close(self) -> None:
         pass
@@ -204,11 +279,12 @@ def metrics_stream(
     also a row marked ``final`` for each time at which a second leaves a window, once the watermark (the newest
     event less ``delay``) has passed it. An asset without a trade for ``ttl`` seconds is dropped.
     """
+    group = F.pmod(F.xxhash64("asset_id"), F.lit(GROUPS)).alias("group")
     partials = second_partials(points, side_mode).withWatermark("event_time", delay)
     seed = None
     if history is not None:
-        seed = second_partials(history, side_mode).groupBy("asset_id")
-    return partials.groupBy("asset_id").transformWithStateInPandas(
+        seed = second_partials(history, side_mode).select(group, "*").groupBy("group")
+    return partials.select(group, "*").groupBy("group").transformWithStateInPandas(
         statefulProcessor=RollingMetrics(windows, ttl, ageing),
         outputStructType=output_schema(windows, ageing),
         outputMode="Update",
