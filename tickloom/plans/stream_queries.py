@@ -234,6 +234,13 @@ def _roll_sql(windows) -> str:
     """
 
 
+def _points(spark, sf) -> DataFrame:
+    """The priced points, stored: a stream cut from them reads them once for every part."""
+    path = scratch(spark, "points")
+    M.priced_points(B.ev_trades(spark, sf), B.ev_meta(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _rolled(spark, stream, history=None) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = metrics_stream(stream, ROLL, history, delay="2 days")
@@ -245,14 +252,14 @@ def _rolled(spark, stream, history=None) -> DataFrame:
 
 @query("metrics_stream", POINTS + _roll_sql(ROLL), ["ev_trades", "ev_meta"])
 def rolling(spark, sf):
-    points = M.priced_points(B.ev_trades(spark, sf), B.ev_meta(spark, sf))
+    points = _points(spark, sf)
     return _rolled(spark, as_stream(spark, points, "insert_seq", _cuts(spark, sf)))
 
 
 @query("seeded_state", POINTS + _roll_sql(ROLL), ["ev_trades", "ev_meta"])
 def seeded(spark, sf):
     """The first three quarters are history, the rest is live."""
-    points = M.priced_points(B.ev_trades(spark, sf), B.ev_meta(spark, sf))
+    points = _points(spark, sf)
     cut = _cuts(spark, sf)[-1]
     live = as_stream(spark, points.where(col("insert_seq") >= cut), "insert_seq", [cut + 200])
     return _rolled(spark, live, points.where(col("insert_seq") < cut))
@@ -280,7 +287,7 @@ def _aged_sql(windows: dict[str, int], delay: int) -> str:
 def ageing(spark, sf):
     """Every time at which a trade leaves a window, between batches and while an asset is idle."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    points = M.priced_points(B.ev_trades(spark, sf), B.ev_meta(spark, sf))
+    points = _points(spark, sf)
     out = metrics_stream(as_stream(spark, points, "insert_seq", _cuts(spark, sf)), AGE, delay=f"{AGE_DELAY} seconds", ageing=True)
     path = scratch(spark, "aged")
     upsert_stream(out, path, scratch(spark, "checkpoint"))
